@@ -587,8 +587,8 @@ register(
 register(
     "resample_text_dates",
     on("dirty_customer", lambda df: rounded(I.resample(df, "signup_text", "balance", "sum", "day"), 4, "value")),
-    f"{Q.view('dirty_customer')}, src AS (SELECT {Q.date(Q.strip('signup_text'))} AS at, balance FROM dirty_customer), "
-    + _resample_sql("src", "at", "balance", "sum", "day").removeprefix("WITH "),
+    f"{Q.view('dirty_customer')}, src AS (SELECT {Q.date(Q.strip('signup_text'))} AS signup, balance FROM dirty_customer), "
+    + _resample_sql("src", "signup", "balance", "sum", "day").removeprefix("WITH "),
 )
 register(
     "scatter",
@@ -715,24 +715,24 @@ register(
 register(
     "category_compare",
     drifted(Drift.category_compare),
-    f"{_PAIR}, v AS (SELECT 'reference' AS source, coalesce(priority, 'None') AS category FROM orders_ref UNION ALL SELECT 'current', coalesce(priority, 'None') FROM orders_new) "
-    "SELECT source, category, n, round(n::DOUBLE / total, 6) AS frequency FROM (SELECT source, category, count(*) AS n, sum(count(*)) OVER (PARTITION BY source) AS total, "
-    "row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, category) AS r FROM v GROUP BY ALL) WHERE r <= 12",
+    f"{_PAIR}, v AS (SELECT 'reference' AS source, coalesce(priority, 'None') AS category FROM orders_ref UNION ALL SELECT 'current', coalesce(priority, 'None') FROM orders_new), "
+    "c AS (SELECT source, category, count(*) AS n FROM v GROUP BY source, category) "
+    "SELECT source, category, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY source), 6) AS frequency FROM c "
+    "QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, category) <= 12",
 )
 
 # ── sources and sinks ──────────────────────────────────────────────────────────────────────────
 
 
-def _csv_copy(spark: SparkSession, sf: str, source: str, sep: str = ",", encoding: str = "UTF-8") -> str:
+def _csv_copy(spark: SparkSession, df: DataFrame, separator: str = ",", encoding: str = "UTF-8") -> str:
     path = storage.scratch_path(spark, "csv")
-    df = table(spark, sf, source)
-    df.write.option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"').csv(path)
+    export.write_csv(df, path, separator=separator, encoding=encoding)
     return path
 
 
 def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """What the CSV reader makes of the dirty table: types it chose and nulls it recognised."""
-    loaded = tables.read_csv(spark, _csv_copy(spark, sf, "dirty_customer")).df
+    loaded = tables.read_csv(spark, _csv_copy(spark, table(spark, sf, "dirty_customer"))).df
     p = Profile(loaded)
     rows = [(c, type_names(loaded)[c], p.non_null(c)) for c in p.columns]
     return spark.createDataFrame(rows, "column string, dtype string, non_null long")
@@ -755,7 +755,7 @@ register(
 def _sniffed(spark: SparkSession, sf: str) -> DataFrame:
     rows = []
     for name, sep in (("comma", ","), ("semicolon", ";"), ("tab", "\t"), ("pipe", "|")):
-        path = _csv_copy(spark, sf, "orders", sep)
+        path = _csv_copy(spark, table(spark, sf, "orders"), sep)
         got = tables.read_csv(spark, path)
         rows.append((name, got.meta["separator"] == sep, got.df.count()))
     return spark.createDataFrame(rows, "separator string, found boolean, rows long")
@@ -773,9 +773,7 @@ def _encodings(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("João "), "c_name").alias("name"))
     out = []
     for encoding in ("UTF-8", "ISO-8859-1"):
-        path = storage.scratch_path(spark, "encoding")
-        df.write.option("header", True).option("encoding", encoding).csv(path)
-        got = tables.read_csv(spark, path)
+        got = tables.read_csv(spark, _csv_copy(spark, df, encoding=encoding))
         out.append(got.df.select(F.lit(got.meta["encoding"]).alias("encoding"), "c_custkey", "name"))
     return out[0].unionByName(out[1])
 

@@ -9,9 +9,16 @@ from tablecheck.functions.columns import local_frame
 from tablecheck.operators.profile import Profile
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One file per partition, each with a header; quotes doubled, empty text kept apart from null."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(
+    df: DataFrame, path: str, mode: str = "errorifexists", separator: str = ",", encoding: str = "UTF-8"
+) -> None:
+    """One file per partition, each with a header.
+
+    Quotes are doubled and blanks around text are kept; Spark would drop them while writing.
+    """
+    writer = df.write.mode(mode).option("header", True).option("sep", separator).option("encoding", encoding)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+    writer.options(**keep).csv(path)
 
 
 def export_tables(cleaned: DataFrame, p: Profile, path: str, fmt: str = "parquet") -> list[str]:

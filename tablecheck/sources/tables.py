@@ -9,7 +9,7 @@ from __future__ import annotations
 import csv
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException, IllegalArgumentException, SparkRuntimeException, UnknownException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +22,8 @@ SEPARATORS = [",", ";", "\t", "|"]  # fixed value: separators that are told apar
 SAMPLE_CHARS = 8192  # fixed value: how much of the file's head the separator is judged by
 SAMPLE_LINES = 100
 
+_READ_ERRORS = (AnalysisException, IllegalArgumentException, SparkRuntimeException, UnknownException)
+
 
 @dataclass
 class LoadResult:
@@ -45,7 +47,7 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 def _head(spark: SparkSession, path: str, encoding: str) -> list[str]:
     """First lines of the file, at most ``SAMPLE_CHARS`` characters each."""
     lines = spark.read.text(path).limit(SAMPLE_LINES)
-    decoded = F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), F.lit("ISO-8859-1"))
+    decoded = F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     return [r[0].lstrip("﻿") for r in lines.select(F.substring(decoded, 1, SAMPLE_CHARS)).collect()]
 
 
@@ -188,9 +190,9 @@ def read_csv(
             return LoadResult(None, f"Malformed file: a row has more than {len(names)} fields.", meta)
         df = null_values_to_null(raw.drop(extra).toDF(*names))
         return LoadResult(cast_types(df, infer_types(df)), None, meta)
-    except AnalysisException as e:
+    except _READ_ERRORS as e:
         return LoadResult(None, f"The file cannot be read: {e.getCondition() or e}", meta)
-    except (PySparkException, csv.Error) as e:
+    except csv.Error as e:
         return LoadResult(None, f"Malformed file: {e}", meta)
 
 
@@ -201,7 +203,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
         return read_csv(spark, path, **options)
     try:
         df = spark.table(path) if fmt == "table" else spark.read.format(fmt).options(**options).load(path)
-    except PySparkException as e:
+    except _READ_ERRORS as e:
         return LoadResult(None, f"The table cannot be read: {e.getCondition() or e}")
     if not df.columns:
         return LoadResult(None, "The table has no columns.")
