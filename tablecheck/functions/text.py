@@ -31,23 +31,24 @@ PATTERNS = {
 NUMBER = r"(?i)\A[+\-]?(?:(?:\d+(?:\.\d*)?|\.\d+)(?:e[+\-]?\d+)?|inf|infinity)\z"
 INTEGER = r"\A[+\-]?\d+\z"
 
-# Date shapes: (what the value looks like, formats tried in order; month-first before day-first).
+# Date shapes: (what the value looks like, rewrites to ISO order tried in turn). Month-first comes
+# before day-first; an impossible month or day makes the cast NULL and the next rewrite is tried.
 DATE_SHAPES = [
-    (r"\A\d{4}-\d{1,2}-\d{1,2}\z", ["yyyy-M-d"]),
-    (r"\A\d{4}/\d{1,2}/\d{1,2}\z", ["yyyy/M/d"]),
-    (r"\A\d{8}\z", ["yyyyMMdd"]),
-    (r"\A\d{4}-\d{2}\z", ["yyyy-MM"]),
-    (r"\A\d{4}\z", ["yyyy"]),
-    (r"\A\d{1,2}/\d{1,2}/\d{4}\z", ["M/d/yyyy", "d/M/yyyy"]),
-    (r"\A\d{1,2}-\d{1,2}-\d{4}\z", ["M-d-yyyy", "d-M-yyyy"]),
-    (r"\A\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}\z", ["yyyy-MM-dd HH:mm"]),
-    (r"\A\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\z", ["yyyy-MM-dd HH:mm:ss"]),
-    (r"\A\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\.\d{1,6}\z", ["yyyy-MM-dd HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"]),
-    (r"\A\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}\z", ["M/d/yyyy HH:mm", "d/M/yyyy HH:mm"]),
-    (r"\A\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}\z", ["M/d/yyyy HH:mm:ss", "d/M/yyyy HH:mm:ss"]),
-    (r"\A[A-Z][a-z]{2} \d{1,2},? \d{4}\z", ["MMM d yyyy"]),
-    (r"\A\d{1,2} [A-Z][a-z]{2} \d{4}\z", ["d MMM yyyy"]),
+    (r"\A(\d{4}-\d{1,2}-\d{1,2})\z", ["$1"]),
+    (r"\A(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\z", ["$1 $2"]),
+    (r"\A(\d{1,2})/(\d{1,2})/(\d{4})((?: \d{2}:\d{2}(?::\d{2})?)?)\z", ["$3-$1-$2$4", "$3-$2-$1$4"]),
+    (r"\A(\d{1,2})-(\d{1,2})-(\d{4})\z", ["$3-$1-$2", "$3-$2-$1"]),
+    (r"\A(\d{4})/(\d{1,2})/(\d{1,2})\z", ["$1-$2-$3"]),
+    (r"\A(\d{4})(\d{2})(\d{2})\z", ["$1-$2-$3"]),
+    (r"\A(\d{4}(?:-\d{2})?)\z", ["$1"]),
 ]
+# Month names: (shape, format).
+NAMED_MONTHS = [
+    (r"\A[A-Z][a-z]{2} \d{1,2},? \d{4}\z", "MMM d yyyy"),
+    (r"\A\d{1,2} [A-Z][a-z]{2} \d{4}\z", "d MMM yyyy"),
+]
+# Anything a shape can match: a cheap test that spares most cells the rest.
+MAYBE_DATE = r"\A(?:\d{1,4}[-/]\d[-/ T:.\d]{0,24}|\d{4}|\d{8}|(?:\d{1,2} )?[A-Z][a-z]{2} [ ,\d]{4,8})\z"
 FIRST_YEAR, LAST_YEAR = 1678, 2262
 
 
@@ -78,11 +79,12 @@ def to_number(c: Column) -> Column:
 
 
 def parse_datetime(stripped: Column) -> Column:
-    """Timestamp or NULL. The shape test picks at most two formats, so each cell is parsed once."""
-    out: Column | None = None
-    text = F.regexp_replace(F.regexp_replace(stripped, r"\A(\d{4}-\d{2}-\d{2})T", "$1 "), ",", "")
-    for shape, formats in DATE_SHAPES:
-        tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-        parsed = tries[0] if len(tries) == 1 else F.coalesce(*tries)
-        out = F.when(stripped.rlike(shape), parsed) if out is None else out.when(stripped.rlike(shape), parsed)
+    """Timestamp or NULL. The shape decides how a cell is read, so each is parsed once or twice."""
+    out = F.when(~stripped.rlike(MAYBE_DATE), F.lit(None).cast("timestamp"))
+    for shape, rewrites in DATE_SHAPES:
+        tries = [F.regexp_replace(stripped, shape, r).try_cast("timestamp") for r in rewrites]
+        out = out.when(stripped.rlike(shape), F.coalesce(*tries))
+    for shape, fmt in NAMED_MONTHS:
+        plain = F.regexp_replace(stripped, ",", "")
+        out = out.when(stripped.rlike(shape), F.try_to_timestamp(plain, F.lit(fmt)))
     return F.when(F.year(out).between(FIRST_YEAR, LAST_YEAR), out)

@@ -21,7 +21,7 @@ from tablecheck.functions.figures import clip
 from tablecheck.operators.duplicates import drop_duplicate_rows
 from tablecheck.operators.frequency import modes
 from tablecheck.operators.profile import Profile, iqr_bounds, outside, zscore_bounds
-from tablecheck.operators.quantiles import exact_quantiles, numeric_bounds
+from tablecheck.operators.quantiles import exact_quantiles
 from tablecheck.sources.storage import materialise
 
 UNKNOWN = "unknown"
@@ -143,9 +143,42 @@ def cap(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
 # ── steps that look at the whole table ─────────────────────────────────────────────────────────
 
 
-def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
-    r = df.agg(F.count("*").alias("rows"), *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
-    return r["rows"], {c: r["rows"] - r[f"n{i}"] for i, c in enumerate(df.columns)}
+@dataclass
+class _Facts:
+    """Row count, nulls per column and ``(non-null, min, max)`` per numeric column."""
+
+    rows: int
+    nulls: dict[str, int]
+    bounds: dict[str, tuple[int, float, float]]
+
+    @classmethod
+    def of(cls, df: DataFrame) -> _Facts:
+        numeric = C.names_of(df, C.NUMERIC)
+        r = df.agg(
+            F.count("*").alias("rows"),
+            *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)],
+            *[f(C.as_number(df, c)).alias(f"{f.__name__}{i}") for i, c in enumerate(numeric) for f in (F.min, F.max)],
+        ).first()
+        count = {c: r[f"n{i}"] for i, c in enumerate(df.columns)}
+        return cls(
+            r["rows"],
+            {c: r["rows"] - n for c, n in count.items()},
+            {c: (count[c], r[f"min{i}"], r[f"max{i}"]) for i, c in enumerate(numeric)},
+        )
+
+    def after(self, dropped: list[str], fills: dict[str, float | str]) -> _Facts:
+        """The same facts once columns are dropped and nulls are filled, without looking again."""
+        bounds = {}
+        for c, (n, low, high) in self.bounds.items():
+            if c in fills:
+                seen = [x for x in (low, high, fills[c]) if x is not None]
+                n, low, high = self.rows, min(seen), max(seen)
+            bounds[c] = (n, low, high)
+        return _Facts(
+            self.rows,
+            {c: 0 if c in fills else n for c, n in self.nulls.items() if c not in dropped},
+            {c: b for c, b in bounds.items() if c not in dropped},
+        )
 
 
 def sparse_columns(rows: int, nulls: dict[str, int], max_missing_pct: float) -> list[str]:
@@ -156,12 +189,13 @@ def sparse_columns(rows: int, nulls: dict[str, int], max_missing_pct: float) ->
     return found if len(found) < len(nulls) else []
 
 
-def fill_values(df: DataFrame, nulls: dict[str, int], numeric: str, text: str) -> dict[str, float | str]:
+def fill_values(df: DataFrame, facts: _Facts, numeric: str, text: str) -> dict[str, float | str]:
     """One value per column that has nulls; an all-null numeric column keeps them (except for zero)."""
     out: dict[str, float | str] = {}
+    nulls = facts.nulls
     gaps = [c for c in C.names_of(df, C.NUMERIC) if nulls[c]]
     if gaps and numeric == "median":
-        out |= {c: q[0] for c, q in exact_quantiles(df, {c: [0.5] for c in gaps}).items() if q[0] is not None}
+        out |= {c: q[0] for c, q in exact_quantiles(df, {c: [0.5] for c in gaps}, facts.bounds).items() if q[0] is not None}
     elif gaps and numeric == "mean":
         r = df.agg(*[F.avg(C.as_number(df, c)).alias(f"m{i}") for i, c in enumerate(gaps)]).first()
         out |= {c: m for c, m in zip(gaps, r) if m is not None}
@@ -176,7 +210,7 @@ def fill_values(df: DataFrame, nulls: dict[str, int], numeric: str, text: str) -
     return out
 
 
-def outlier_bounds(df: DataFrame, method: str) -> dict[str, tuple[float, float]]:
+def outlier_bounds(df: DataFrame, method: str, facts: _Facts) -> dict[str, tuple[float, float]]:
     """Bounds of every numeric column that has any spread, all from the same table."""
     numeric = C.names_of(df, C.NUMERIC)
     if not numeric:
@@ -187,7 +221,7 @@ def outlier_bounds(df: DataFrame, method: str) -> dict[str, tuple[float, float]]
         ).first()
         found = {c: zscore_bounds({"mean": r[2 * i], "std": r[2 * i + 1]}) for i, c in enumerate(numeric)}
     else:
-        q = exact_quantiles(df, {c: [0.25, 0.75] for c in numeric}, numeric_bounds(df, numeric))
+        q = exact_quantiles(df, {c: [0.25, 0.75] for c in numeric}, facts.bounds)
         found = {c: iqr_bounds({"q1": q[c][0], "q3": q[c][1]}) for c in numeric}
     return {c: b for c, b in found.items() if b[0] is not None}
 
@@ -218,18 +252,17 @@ def clean(df: DataFrame, options: CleanOptions | None = None, **changes) -> Clea
         body = drop_duplicate_rows(ready)
         if later and body is not ready:
             body = materialise(body, "deduplicated")
-    rows, nulls = null_counts(body)
+    facts = _Facts.of(body)
 
-    plan.dropped = sparse_columns(rows, nulls, options.max_missing_pct)
-    body = body.drop(*plan.dropped)
-    nulls = {c: n for c, n in nulls.items() if c not in plan.dropped}
-    plan.fills = fill_values(body, nulls, options.fill_numeric, options.fill_text)
-    body = fill(body, plan.fills)
-    nulls = {c: 0 if c in plan.fills else n for c, n in nulls.items()}
+    plan.dropped = sparse_columns(facts.rows, facts.nulls, options.max_missing_pct)
+    body, facts = body.drop(*plan.dropped), facts.after(plan.dropped, {})
+    plan.fills = fill_values(body, facts, options.fill_numeric, options.fill_text)
+    body, facts = fill(body, plan.fills), facts.after([], plan.fills)
+    rows, nulls = facts.rows, facts.nulls
 
     removed = 0
     if options.outliers in ("cap", "remove"):
-        bounds = outlier_bounds(body, options.outlier_method)
+        bounds = outlier_bounds(body, options.outlier_method, facts)
         plan.bounds = bounds
         hit = plan.is_outlier(body)
         r = body.agg(

@@ -17,7 +17,7 @@ MIN_VALUES = 5  # fixed value: fewer non-null values on a side and a numeric col
 MAX_CATEGORIES = 50  # fixed value: more distinct values in the union and a text column is skipped
 ALPHA = 0.05  # fixed value: KS significance
 PSI_MODERATE, PSI_SIGNIFICANT = 0.1, 0.2  # fixed values
-EDGES = 1000  # histogram edges per numeric column in the first KS pass
+EDGES = 256  # histogram edges per numeric column in the first KS pass
 
 NUMERIC_SCHEMA = (
     "column string, mean_ref double, mean_new double, delta_pct double, ks_statistic double, "

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecheck.functions.columns import NESTED, as_key, class_of, col
+from tablecheck.functions.columns import NESTED, TEXT, as_key, class_of, col
 
+NARROW = 8  # fixed-width columns that are about as cheap to shuffle as a hash
 BROADCAST_HASHES = 1_000_000  # 8 MB of hashes; beyond it rows are grouped in full
 _HASH = "__row_hash"
 
@@ -33,6 +34,10 @@ def _comparable(df: DataFrame) -> list[Column]:
     ]
 
 
+def _is_narrow(df: DataFrame) -> bool:
+    return len(df.columns) <= NARROW and all(class_of(f.dataType) not in (TEXT, NESTED) for f in df.schema.fields)
+
+
 def repeated_hashes(df: DataFrame) -> tuple[DataFrame, int]:
     """Hashes that occur more than once, and how many there are."""
     hashes = df.select(row_hash(df).alias(_HASH)).groupBy(_HASH).count().where("count > 1").select(_HASH)
@@ -41,12 +46,15 @@ def repeated_hashes(df: DataFrame) -> tuple[DataFrame, int]:
 
 def duplicate_rows(df: DataFrame) -> int:
     """Rows equal to an earlier row; nulls equal each other."""
-    hashes, repeated = repeated_hashes(df)
-    if repeated == 0:
-        return 0
     suspects = df
-    if repeated <= BROADCAST_HASHES:
-        suspects = df.withColumn(_HASH, row_hash(df)).join(F.broadcast(hashes), _HASH, "left_semi").drop(_HASH)
+    if not _is_narrow(df):
+        hashes, repeated = repeated_hashes(df)
+        if repeated == 0:
+            return 0
+        if repeated <= BROADCAST_HASHES:
+            suspects = df.withColumn(_HASH, row_hash(df)).join(
+                F.broadcast(hashes), _HASH, "left_semi"
+            ).drop(_HASH)
     groups = suspects.groupBy(*_comparable(suspects)).agg(F.count("*").alias("n")).where("n > 1")
     return int(groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0])
 
@@ -62,6 +70,8 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
         return df.select("*", *keys).dropDuplicates([f"__g{i}" for i in range(len(keys))]).select(
             *[col(c) for c in df.columns]
         )
+    if _is_narrow(df):
+        return df.dropDuplicates()
     hashes, repeated = repeated_hashes(df)
     if repeated == 0:
         return df

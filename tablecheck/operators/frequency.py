@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecheck.functions.columns import as_key, col, long_form
 
@@ -22,14 +23,38 @@ def value_counts(df: DataFrame, columns: list[str], keep: list[Column] = ()) ->
 def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """``(column, distinct)`` over non-null cells.
 
-    Exact: one row per distinct cell is shuffled, long text as a digest. ``approx`` shuffles only
-    HyperLogLog sketches.
+    Exact: one row per distinct cell is shuffled, numbers and times as 8 bytes, long text as a
+    digest. ``approx`` shuffles only HyperLogLog sketches.
     """
-    long = long_form(df, {c: as_key(df, c) for c in columns})
-    if approx:
-        return long.groupBy("column").agg(F.approx_count_distinct("value").alias("distinct"))
-    cells = long.groupBy("column", "value").agg(F.lit(1).alias("one"))
-    return cells.groupBy("column").agg(F.count("value").alias("distinct"))
+    out = None
+    for cells in _typed_cells(df, columns):
+        if approx:
+            part = cells.groupBy("slot").agg(F.approx_count_distinct("value").alias("distinct"))
+        else:
+            each = cells.where("value is not null").groupBy("slot", "value").agg(F.lit(1).alias("one"))
+            part = each.groupBy("slot").agg(F.count("*").alias("distinct"))
+        out = part if out is None else out.unionByName(part)
+    names = F.array(*[F.lit(c) for c in columns])
+    return out.select(names[F.col("slot")].alias("column"), "distinct")
+
+
+def _typed_cells(df: DataFrame, columns: list[str]) -> list[DataFrame]:
+    """``(slot, value)`` per kind of value; each kind scans only its own columns."""
+    kinds: dict[str, list[Column]] = {}
+    for i, c in enumerate(columns):
+        dtype = df.schema[c].dataType
+        if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+            kind, v = "long", col(c).cast("int").cast("long") if isinstance(dtype, T.BooleanType) else col(c).cast("long")
+        elif isinstance(dtype, T.DateType):
+            kind, v = "long", F.unix_date(col(c)).cast("long")
+        elif isinstance(dtype, T.TimestampType):
+            kind, v = "long", F.unix_micros(col(c))
+        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+            kind, v = "double", col(c).cast("double")
+        else:
+            kind, v = "text", as_key(df, c)
+        kinds.setdefault(kind, []).extend([F.lit(i), v])
+    return [df.select(F.stack(F.lit(len(v) // 2), *v).alias("slot", "value")) for v in kinds.values()]
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:

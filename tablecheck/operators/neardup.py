@@ -73,12 +73,10 @@ def _distinct_values(df, columns, max_values, order_by) -> DataFrame:
 
 
 def _best(pairs: DataFrame, top: int) -> list[tuple]:
-    """The best ``top`` pairs per column; Spark prunes to ``top`` per task before shuffling."""
+    """The best ``top`` pairs per column; Spark prunes to them in every task before shuffling."""
     w = Window.partitionBy("column").orderBy(F.desc("sim"), "a", "b")
-    return [
-        (r["column"], r["a"], r["b"], r["sim"])
-        for r in pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).collect()
-    ]
+    ranked = pairs.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= top)  # a pair may come twice
+    return [(r["column"], r["a"], r["b"], r["sim"]) for r in ranked.collect()]
 
 
 def _search(values: DataFrame, floor: float, top: int) -> DataFrame:
@@ -129,7 +127,10 @@ def _merge(best: dict[str, list[tuple]], found: list[tuple], top: int) -> None:
 def _one_deletion_pairs(values: DataFrame, floor: float, top: int) -> DataFrame:
     short = values.where(F.col("len").between(2, VARIANT_LENGTH))
     at = F.col("at")
-    variants = short.select("column", "value", "len", F.explode(F.sequence(F.lit(0), F.col("len"))).alias("at")).select(
+    places = short.select("column", "value", "len", F.explode(F.sequence(F.lit(0), F.col("len"))).alias("at"))
+    # Dropping any character of a run gives the same variant; only the last one of a run is dropped.
+    places = places.where((at == 0) | (F.substring("value", at, F.lit(1)) != F.substring("value", at + 1, F.lit(1))))
+    members = places.select(
         "column",
         "value",
         "len",
@@ -138,35 +139,20 @@ def _one_deletion_pairs(values: DataFrame, floor: float, top: int) -> DataFrame:
         .otherwise(F.concat(F.substring("value", F.lit(1), at - 1), F.substring("value", at + 1, F.col("len"))))
         .alias("variant"),
     )
-    # 'aab' drops to 'ab' twice; one copy of a member is enough.
-    members = variants.groupBy("column", "variant", "whole", "value", "len").agg(F.lit(1).alias("one"))
-    w = Window.partitionBy("column", "variant", "whole").orderBy("value")
-    few = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 1)
-    group = few.groupBy("column", "variant").agg(
-        F.array_sort(F.collect_list(F.struct("value", "len", "whole"))).alias("m")  # at most top + 2
-    )
+    # The value that is the variant itself, if there is one, and the smallest of the others.
+    w = Window.partitionBy("column", "variant").orderBy(F.desc("whole"), "value")
+    few = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 2)
+    group = few.groupBy("column", "variant").agg(F.collect_list(F.struct("value", "len")).alias("m"))
+    both = F.flatten(
+        F.transform("m", lambda x: F.transform("m", lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    )  # at most (top + 2)^2
     x, y = F.col("p.x"), F.col("p.y")
-    pairs = (
-        group.where(F.size("m") > 1)
-        .select(
-            "column",
-            F.explode(
-                F.flatten(
-                    F.transform(
-                        "m", lambda x: F.transform("m", lambda y: F.struct(x.alias("x"), y.alias("y")))
-                    )
-                )
-            ).alias("p"),
-        )
-        .where((x["value"] < y["value"]))
-    )
+    pairs = group.where(F.size("m") > 1).select("column", F.explode(both).alias("p")).where(x["value"] < y["value"])
     total = x["len"] + y["len"]
     distance = F.when(x["len"] == y["len"], 2).otherwise(1)
-    return (
-        pairs.select("column", x["value"].alias("a"), y["value"].alias("b"), ((total - distance) / total).alias("sim"))
-        .where(F.col("sim") >= floor - _EPS)
-        .distinct()
-    )
+    return pairs.select(
+        "column", x["value"].alias("a"), y["value"].alias("b"), ((total - distance) / total).alias("sim")
+    ).where(F.col("sim") >= floor - _EPS)
 
 
 def _reach(t: float, stats) -> bool:

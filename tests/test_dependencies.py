@@ -51,10 +51,15 @@ def test_duplicates_both_ways(spark, monkeypatch, limit):
 
 
 def test_no_duplicates_leaves_the_table_alone(spark):
-    df = spark.range(50)
+    df = spark.range(50).selectExpr("id", "CAST(id AS STRING) AS s")
     assert drop_duplicate_rows(df) is df
 
 
+def test_narrow_rows_are_grouped_directly(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 2.0), (None, 2.0)], "a int, b double")
+    assert duplicate_rows(df) == 1 and drop_duplicate_rows(df).count() == 2
+
+
 def test_maps_can_be_deduplicated(spark):
     df = spark.sql("SELECT * FROM VALUES (map('a', 1)), (map('a', 1)), (map('b', 1)) v(m)")
     assert drop_duplicate_rows(df).count() == 2
