@@ -88,3 +88,18 @@ def long_form(df: DataFrame, values: dict[str, Column], keep: Iterable[Column] =
 def local_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A small result table; ``rows`` is bounded by the number of columns, never by table rows."""
     return spark.createDataFrame(rows, schema)
+
+
+def measure(df: DataFrame, figures: dict, most: int = 600) -> dict:
+    """Whole-table aggregates by name, as plain values.
+
+    One map-only scan that sends one row per task; tables so wide that the list would outgrow
+    generated code are measured in several.
+    """
+    out = {}
+    items = list(figures.items())
+    for start in range(0, len(items), most):
+        part = items[start : start + most]
+        row = df.agg(*[c.alias(f"f{i}") for i, (_, c) in enumerate(part)]).first()
+        out.update({name: row[i] for i, (name, _) in enumerate(part)})
+    return out

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablecheck.functions import columns as C
 from tablecheck.functions import text as X
-from tablecheck.functions.columns import col, local_frame
+from tablecheck.functions.columns import col, local_frame, measure
 from tablecheck.functions.figures import clip
 from tablecheck.operators.duplicates import drop_duplicate_rows
 from tablecheck.operators.frequency import modes
@@ -154,16 +154,18 @@ class _Facts:
     @classmethod
     def of(cls, df: DataFrame) -> _Facts:
         numeric = C.names_of(df, C.NUMERIC)
-        r = df.agg(
-            F.count("*").alias("rows"),
-            *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)],
-            *[f(C.as_number(df, c)).alias(f"{f.__name__}{i}") for i, c in enumerate(numeric) for f in (F.min, F.max)],
-        ).first()
-        count = {c: r[f"n{i}"] for i, c in enumerate(df.columns)}
+        m = measure(
+            df,
+            {
+                "rows": F.count("*"),
+                **{(c, "n"): F.count(col(c)) for c in df.columns},
+                **{(c, f.__name__): f(C.as_number(df, c)) for c in numeric for f in (F.min, F.max)},
+            },
+        )
         return cls(
-            r["rows"],
-            {c: r["rows"] - n for c, n in count.items()},
-            {c: (count[c], r[f"min{i}"], r[f"max{i}"]) for i, c in enumerate(numeric)},
+            m["rows"],
+            {c: m["rows"] - m[c, "n"] for c in df.columns},
+            {c: (m[c, "n"], m[c, "min"], m[c, "max"]) for c in numeric},
         )
 
     def after(self, dropped: list[str], fills: dict[str, float | str]) -> _Facts:
@@ -197,8 +199,8 @@ def fill_values(df: DataFrame, facts: _Facts, numeric: str, text: str) -> dict[s
     if gaps and numeric == "median":
         out |= {c: q[0] for c, q in exact_quantiles(df, {c: [0.5] for c in gaps}, facts.bounds).items() if q[0] is not None}
     elif gaps and numeric == "mean":
-        r = df.agg(*[F.avg(C.as_number(df, c)).alias(f"m{i}") for i, c in enumerate(gaps)]).first()
-        out |= {c: m for c, m in zip(gaps, r) if m is not None}
+        means = measure(df, {c: F.avg(C.as_number(df, c)) for c in gaps})
+        out |= {c: m for c, m in means.items() if m is not None}
     elif numeric == "zero":
         out |= dict.fromkeys(gaps, 0.0)
     holes = [c for c in C.names_of(df, C.TEXT) if nulls[c]]
@@ -216,10 +218,8 @@ def outlier_bounds(df: DataFrame, method: str, facts: _Facts) -> dict[str, tuple
     if not numeric:
         return {}
     if method == "zscore":
-        r = df.agg(
-            *[f(C.as_number(df, c)).alias(f"{f.__name__}{i}") for i, c in enumerate(numeric) for f in (F.avg, F.stddev_samp)]
-        ).first()
-        found = {c: zscore_bounds({"mean": r[2 * i], "std": r[2 * i + 1]}) for i, c in enumerate(numeric)}
+        m = measure(df, {(c, k): f(C.as_number(df, c)) for c in numeric for k, f in (("mean", F.avg), ("std", F.stddev_samp))})
+        found = {c: zscore_bounds({"mean": m[c, "mean"], "std": m[c, "std"]}) for c in numeric}
     else:
         q = exact_quantiles(df, {c: [0.25, 0.75] for c in numeric}, facts.bounds)
         found = {c: iqr_bounds({"q1": q[c][0], "q3": q[c][1]}) for c in numeric}
@@ -240,10 +240,8 @@ def clean(df: DataFrame, options: CleanOptions | None = None, **changes) -> Clea
         X.is_exact_null_token(col(c), options.token_match)
         for c in (C.names_of(trimmed, C.TEXT) if options.replace_null_tokens else [])
     ]
-    first = trimmed.agg(
-        F.count("*").alias("rows"), *[F.count_if(t).alias(f"t{i}") for i, t in enumerate(converted)]
-    ).first()
-    rows_before = first["rows"]
+    first = measure(trimmed, {"rows": F.count("*"), **{i: F.count_if(t) for i, t in enumerate(converted)}})
+    rows_before = first.pop("rows")
 
     later = options.max_missing_pct < 100 or options.outliers != "none"
     later = later or options.fill_numeric in ("median", "mean", "zero") or options.fill_text in ("mode", "unknown")
@@ -265,15 +263,18 @@ def clean(df: DataFrame, options: CleanOptions | None = None, **changes) -> Clea
         bounds = outlier_bounds(body, options.outlier_method, facts)
         plan.bounds = bounds
         hit = plan.is_outlier(body)
-        r = body.agg(
-            F.count_if(hit).alias("removed"),
-            *[F.count_if(outside(C.as_number(body, c), *b)).alias(f"o{i}") for i, (c, b) in enumerate(bounds.items())],
-            *[F.count_if(~hit & col(c).isNull()).alias(f"k{i}") for i, (c, n) in enumerate(nulls.items()) if n],
-        ).first()
-        plan.bounds = {c: b for i, (c, b) in enumerate(bounds.items()) if r[f"o{i}"]}
+        m = measure(
+            body,
+            {
+                "removed": F.count_if(hit),
+                **{("out", c): F.count_if(outside(C.as_number(body, c), *b)) for c, b in bounds.items()},
+                **{("kept", c): F.count_if(~hit & col(c).isNull()) for c, n in nulls.items() if n},
+            },
+        )
+        plan.bounds = {c: b for c, b in bounds.items() if m["out", c]}
         if options.outliers == "remove":
-            removed = r["removed"]
-            nulls = {c: r[f"k{i}"] if n else 0 for i, (c, n) in enumerate(nulls.items())}
+            removed = m["removed"]
+            nulls = {c: m["kept", c] if n else 0 for c, n in nulls.items()}
             body = body.where(~plan.is_outlier(body)) if removed else body
         else:
             body = cap(body, plan.bounds)
@@ -283,7 +284,7 @@ def clean(df: DataFrame, options: CleanOptions | None = None, **changes) -> Clea
         "columns_before": len(before),
         "columns_renamed": renamed,
         "trimmed_text_columns": len(text) if options.trim_strings else 0,
-        "null_tokens_converted": sum(first[1:]),
+        "null_tokens_converted": sum(first.values()),
         "dropped_duplicate_rows": rows_before - rows,
         "dropped_sparse_columns": plan.dropped,
         "numeric_fill": options.fill_numeric,

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tablecheck.functions.columns import as_key
 
 DETERMINANTS_PER_JOB = 16
+# Above this many rows a share of the determinant values is looked at first. A contradiction there is
+# a contradiction, so most pairs are settled before the full pass; none is accepted by it.
+SCREEN_ROWS = 5_000_000
+SCREEN_SHARE = 64
 
 
 def functional_dependencies(
@@ -28,23 +32,32 @@ def functional_dependencies(
     determinants = list(dict.fromkeys(a for a, _ in pairs))
     for start in range(0, len(determinants), DETERMINANTS_PER_JOB):
         part = set(determinants[start : start + DETERMINANTS_PER_JOB])
-        alive = _not_refuted(df, [p for p in pairs if p[0] in part], keys)
+        alive = [p for p in pairs if p[0] in part]
+        if rows > SCREEN_ROWS:
+            alive = _not_refuted(df, alive, keys, SCREEN_SHARE)
+        alive = _not_refuted(df, alive, keys)
         out |= _confirmed(df, alive, keys)
     return [(a, b, out[a, b]) for a, b in pairs if (a, b) in out]
 
 
-def _not_refuted(df: DataFrame, pairs: list[tuple[str, str]], keys: dict) -> list[tuple[str, str]]:
+def _not_refuted(
+    df: DataFrame, pairs: list[tuple[str, str]], keys: dict, share: int | None = None
+) -> list[tuple[str, str]]:
     """Pairs no group contradicts, judged by hashes.
 
     Minimum and maximum of a fixed-width hash keep the grouping a hash aggregate that merges
     map-side; extremes that differ refute a pair for certain, whatever the hash.
     """
+    if not pairs:
+        return []
     a_of = list(dict.fromkeys(a for a, _ in pairs))
     b_of = list(dict.fromkeys(b for _, b in pairs))
     cells = df.select(
         F.explode(F.array(*[F.struct(F.lit(i).alias("i"), keys[a].alias("a")) for i, a in enumerate(a_of)])).alias("d"),
         *[F.when(keys[b].isNotNull(), F.xxhash64(keys[b])).alias(f"b{j}") for j, b in enumerate(b_of)],
     ).where(F.col("d.a").isNotNull())
+    if share:
+        cells = cells.where(F.pmod(F.xxhash64("d.a"), F.lit(share)) == 0)  # whole groups
     slots = range(len(b_of))
     groups = cells.groupBy(F.col("d.i").alias("i"), F.col("d.a").alias("a")).agg(
         *[f(f"b{j}").alias(f"{f.__name__}{j}") for j in slots for f in (F.min, F.max)]
@@ -53,6 +66,8 @@ def _not_refuted(df: DataFrame, pairs: list[tuple[str, str]], keys: dict) -> lis
         F.count("*").alias("groups"), *[F.max(F.col(f"min{j}") != F.col(f"max{j}")).alias(f"x{j}") for j in slots]
     )
     rows = {a_of[r["i"]]: r for r in verdict.collect()}  # one row per determinant
+    if share:
+        return [(a, b) for a, b in pairs if a not in rows or rows[a][f"x{b_of.index(b)}"] is not True]
     # An all-null dependent leaves NULL: neither broken nor a dependency.
     return [
         (a, b) for a, b in pairs if a in rows and rows[a]["groups"] >= 2 and rows[a][f"x{b_of.index(b)}"] is False

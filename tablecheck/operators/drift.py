@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.functions import columns as C
-from tablecheck.functions.columns import col, local_frame
+from tablecheck.functions.columns import col, local_frame, measure
 from tablecheck.functions.figures import ks_p_value, psi_term
 from tablecheck.operators.frequency import value_counts
 from tablecheck.operators.quantiles import with_bucket
@@ -67,16 +67,13 @@ class Drift:
         if not self.numeric:
             return {}
         fs = (F.count, F.avg, F.stddev_samp, F.min, F.max)
-        rows = self._both.groupBy("is_new").agg(
-            *[f(col(c)).alias(f"{f.__name__}{i}") for i, c in enumerate(self.numeric) for f in fs]
-        ).collect()
-        by = {r["is_new"]: r for r in rows}
-        out = {}
-        for i, c in enumerate(self.numeric):
-            sides = [{f.__name__: by[s][f"{f.__name__}{i}"] for f in fs} if s in by else {"count": 0} for s in (False, True)]
-            if min(d["count"] for d in sides) >= MIN_VALUES:
-                out[c] = {"ref": sides[0], "new": sides[1]}
-        return out
+        sides = []
+        for df in (self.ref, self.new):
+            m = measure(df, {(c, f.__name__): f(C.as_number(df, c)) for c in self.numeric for f in fs})
+            sides.append({c: {f.__name__: m[c, f.__name__] for f in fs} for c in self.numeric})
+        ref, new = sides
+        enough = [c for c in self.numeric if min(ref[c]["count"], new[c]["count"]) >= MIN_VALUES]
+        return {c: {"ref": ref[c], "new": new[c]} for c in enough}
 
     @cached_property
     def ks_statistics(self) -> dict[str, float]:
@@ -166,12 +163,25 @@ class Drift:
 
     # ── categorical ────────────────────────────────────────────────────────────────────────
 
+    @cached_property
+    def _few_valued(self) -> list[str]:
+        """Text columns that may have at most 50 values; sketches rule the others out unshuffled.
+
+        Small cardinalities are counted almost exactly by the sketch, so four times the limit leaves
+        no doubt; what is left is counted exactly.
+        """
+        found = list(self.text)
+        for df in (self.ref, self.new):
+            k = measure(df, {c: F.approx_count_distinct(col(c).cast("string")) for c in found})
+            found = [c for c in found if k[c] <= 4 * MAX_CATEGORIES]
+        return found
+
     @cached_property
     def _categories(self) -> DataFrame:
         """``(column, value, ref, new)`` counts of non-null cells, one shuffle of merged counts."""
 
         def side(df: DataFrame, ref: int) -> DataFrame:
-            counts = value_counts(df, self.text)
+            counts = value_counts(df, self._few_valued)
             return counts.select("column", "value", *[(F.col("n") * x).alias(k) for k, x in (("ref", ref), ("new", 1 - ref))])
 
         both = side(self.ref, 1).unionByName(side(self.new, 0))
@@ -179,7 +189,7 @@ class Drift:
 
     def categorical_drift(self) -> DataFrame:
         """PSI per text column with 2 to 50 distinct values over both sides."""
-        if not self.text:
+        if not self.text or not self._few_valued:
             return local_frame(
                 self.spark, [],
                 "column string, unique_ref long, unique_new long, psi double, severity string, drifted boolean",

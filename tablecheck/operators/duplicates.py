@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecheck.functions.columns import NESTED, TEXT, as_key, class_of, col
+from tablecheck.sources.storage import materialise
 
 NARROW = 8  # fixed-width columns that are about as cheap to shuffle as a hash
 BROADCAST_HASHES = 1_000_000  # 8 MB of hashes; beyond it rows are grouped in full
@@ -39,9 +40,13 @@ def _is_narrow(df: DataFrame) -> bool:
 
 
 def repeated_hashes(df: DataFrame) -> tuple[DataFrame, int]:
-    """Hashes that occur more than once, and how many there are."""
+    """Hashes that occur more than once, and how many there are.
+
+    They are written out, so that the passes that use them do not group all rows again.
+    """
     hashes = df.select(row_hash(df).alias(_HASH)).groupBy(_HASH).count().where("count > 1").select(_HASH)
-    return hashes, hashes.count()
+    kept = materialise(hashes, "row-hashes")
+    return kept, kept.count()
 
 
 def duplicate_rows(df: DataFrame) -> int:

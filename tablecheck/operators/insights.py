@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablecheck.functions import columns as C
 from tablecheck.functions import text as X
-from tablecheck.functions.columns import col, local_frame
+from tablecheck.functions.columns import col, local_frame, measure
 from tablecheck.functions.figures import sample_kurtosis, sample_skewness
 from tablecheck.operators.profile import Profile, iqr_bounds
 from tablecheck.operators.quantiles import exact_quantiles, group_quantile, numeric_bounds
@@ -89,11 +89,8 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, quartiles, mean, std and bias-corrected skewness and excess kurtosis per column."""
     df = C.normalise_missing(df)
     fs = (F.count, F.min, F.max, F.avg, F.stddev_samp, F.skewness, F.kurtosis)
-    r = df.agg(
-        *[f(C.as_number(df, c)).alias(f"{f.__name__}{i}") for i, c in enumerate(columns) for f in fs]
-    ).first()
-    k = len(fs)
-    figures = {c: r[k * i : k * (i + 1)] for i, c in enumerate(columns)}
+    m = measure(df, {(c, f.__name__): f(C.as_number(df, c)) for c in columns for f in fs})
+    figures = {c: [m[c, f.__name__] for f in fs] for c in columns}
     q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, {c: tuple(f[:3]) for c, f in figures.items()})
     rows = [(c, *figures[c], *q[c]) for c in columns]
     t = local_frame(
@@ -142,18 +139,16 @@ def boxplot(df: DataFrame, columns: list[str]) -> DataFrame:
     df = C.normalise_missing(df)
     bounds = numeric_bounds(df, columns)
     q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, bounds)
-    aggs = []
-    for i, c in enumerate(columns):
+    figures = {}
+    for c in columns:
         v = C.as_number(df, c)
         low, high = iqr_bounds({"q1": q[c][0], "q3": q[c][2]})
         inside = F.lit(True) if low is None else v.between(low, high)
-        aggs += [
-            F.min(F.when(inside, v)).alias(f"lo{i}"),
-            F.max(F.when(inside, v)).alias(f"hi{i}"),
-            F.count_if(v.isNotNull() & ~inside).alias(f"out{i}"),
-        ]
-    r = df.agg(*aggs).first()
-    rows = [(c, r[f"lo{i}"], *q[c], r[f"hi{i}"], r[f"out{i}"]) for i, c in enumerate(columns)]
+        figures[c, "low"] = F.min(F.when(inside, v))
+        figures[c, "high"] = F.max(F.when(inside, v))
+        figures[c, "beyond"] = F.count_if(v.isNotNull() & ~inside)
+    m = measure(df, figures)
+    rows = [(c, m[c, "low"], *q[c], m[c, "high"], m[c, "beyond"]) for c in columns]
     return local_frame(
         df.sparkSession, rows,
         "column string, whisker_low double, q1 double, median double, q3 double, whisker_high double, beyond long",
@@ -238,22 +233,20 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     All pairs come from one scan. A column without variance gives NULL (``corr`` would fail on it).
     """
     df = C.normalise_missing(df)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    aggs = []
-    for i, j in pairs:
-        a, b = C.as_number(df, columns[i]), C.as_number(df, columns[j])
-        both = a.isNotNull() & b.isNotNull()
-        aggs += [
-            F.covar_samp(a, b).alias(f"c{i}_{j}"),
-            F.stddev_samp(F.when(both, a)).alias(f"a{i}_{j}"),
-            F.stddev_samp(F.when(both, b)).alias(f"b{i}_{j}"),
-        ]
-    one = df.agg(*aggs).first()
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    figures = {}
+    for a, b in pairs:
+        va, vb = C.as_number(df, a), C.as_number(df, b)
+        both = va.isNotNull() & vb.isNotNull()
+        figures[a, b, "cov"] = F.covar_samp(va, vb)
+        figures[a, b, "sd_a"] = F.stddev_samp(F.when(both, va))
+        figures[a, b, "sd_b"] = F.stddev_samp(F.when(both, vb))
+    m = measure(df, figures)
     rows = []
-    for i, j in pairs:
-        c, a, b = (one[f"{k}{i}_{j}"] for k in "cab")
-        r = None if not a or not b else 1.0 if i == j else max(-1.0, min(1.0, c / (a * b)))
-        rows += [(columns[i], columns[j], r)] + ([(columns[j], columns[i], r)] if i != j else [])
+    for a, b in pairs:
+        cov, sa, sb = (m[a, b, k] for k in ("cov", "sd_a", "sd_b"))
+        r = None if not sa or not sb else 1.0 if a == b else max(-1.0, min(1.0, cov / (sa * sb)))
+        rows += [(a, b, r)] + ([(b, a, r)] if a != b else [])
     return local_frame(df.sparkSession, rows, "x string, y string, r double")
 
 

@@ -14,14 +14,12 @@ from pyspark.sql import types as T
 
 from tablecheck.functions import columns as C
 from tablecheck.functions import text as X
-from tablecheck.functions.columns import col, local_frame
+from tablecheck.functions.columns import col, local_frame, measure
 from tablecheck.functions.figures import percent_of, round_half_up
 from tablecheck.operators import dependencies, duplicates, neardup
 from tablecheck.operators.frequency import distinct_counts
 from tablecheck.operators.quantiles import exact_quantiles
 
-COLUMNS_PER_JOB = 200  # widest aggregate list sent to Spark in one go
-
 _WIDTHS = {
     T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4,
     T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16,
@@ -67,29 +65,24 @@ class Profile:
     @cached_property
     def _basics(self) -> tuple[int, dict[str, tuple[int, bool, int]]]:
         """Row count and, per column, (non-null, constant, bytes): one scan, nothing shuffled."""
-        rows, out = 0, {}
         if not self.columns:
             return 0, {}
-        for start in range(0, len(self.columns), COLUMNS_PER_JOB):
-            part = self.columns[start : start + COLUMNS_PER_JOB]
-            aggs: list[Column] = [F.count("*").alias("rows")]
-            for i, c in enumerate(part):
-                nested = self.classes[c] == C.NESTED
-                v = F.to_json(F.struct(col(c))) if nested else col(c)
-                size = F.octet_length(v) if nested or self.classes[c] == C.TEXT else F.lit(0)
-                aggs += [
-                    F.count(col(c)).alias(f"n{i}"),
-                    (F.min(v) == F.max(v)).alias(f"same{i}"),
-                    F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias(f"bytes{i}"),
-                ]
-            r = self.df.agg(*aggs).first()
-            rows = r["rows"]
-            for i, c in enumerate(part):
-                n = r[f"n{i}"]
-                # Null counts as a value here: all-null is constant, one value plus nulls is not.
-                constant = n == 0 or (n == rows and bool(r[f"same{i}"]))
-                width = _WIDTHS.get(type(self.df.schema[c].dataType), 0)
-                out[c] = (n, constant, r[f"bytes{i}"] + width * rows)
+        figures: dict = {"rows": F.count("*")}
+        for c in self.columns:
+            nested = self.classes[c] == C.NESTED
+            v = F.to_json(F.struct(col(c))) if nested else col(c)
+            figures[c, "n"] = F.count(col(c))
+            figures[c, "same"] = F.min(v) == F.max(v)
+            if nested or self.classes[c] == C.TEXT:
+                figures[c, "bytes"] = F.sum(F.octet_length(v).cast("long"))
+        m = measure(self.df, figures)
+        rows, out = m["rows"], {}
+        for c in self.columns:
+            n = m[c, "n"]
+            # Null counts as a value here: all-null is constant, one value plus nulls is not.
+            constant = n == 0 or (n == rows and bool(m[c, "same"]))
+            width = _WIDTHS.get(type(self.df.schema[c].dataType), 0)
+            out[c] = (n, constant, (m.get((c, "bytes")) or 0) + width * rows)
         return rows, out
 
     def non_null(self, c: str) -> int:
@@ -154,28 +147,20 @@ class Profile:
         if not self.numeric:
             return {}
         v = {c: C.as_number(self.df, c) for c in self.numeric}
-        moments = self.df.agg(
-            *[
-                f(x).alias(f"{f.__name__}{i}")
-                for i, x in enumerate(v.values())
-                for f in (F.count, F.min, F.max, F.avg, F.stddev_samp)
-            ]
-        ).first()
-        out = {}
-        for i, c in enumerate(self.numeric):
-            out[c] = dict(zip(("n", "min", "max", "mean", "std"), moments[5 * i : 5 * i + 5]))
+        moments = {"n": F.count, "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
+        m = measure(self.df, {(c, k): f(x) for c, x in v.items() for k, f in moments.items()})
+        out = {c: {k: m[c, k] for k in moments} for c in self.numeric}
         quartiles = exact_quantiles(
-            self.df, {c: [0.25, 0.5, 0.75] for c in self.numeric}, {c: (d["n"], d["min"], d["max"]) for c, d in out.items()}
+            self.df, {c: [0.25, 0.5, 0.75] for c in v}, {c: (d["n"], d["min"], d["max"]) for c, d in out.items()}
         )
-        tests: list[Column] = []
+        tests: dict = {}
         for c, d in out.items():
             d["q1"], d["median"], d["q3"] = quartiles[c]
             d["low"], d["high"] = iqr_bounds(d)
-            tests.append(outside(v[c], d["low"], d["high"]))
-            tests.append(outside(v[c], *zscore_bounds(d)) if d["std"] else F.lit(False))
-        counts = self.df.agg(*[F.count_if(t).alias(f"o{i}") for i, t in enumerate(tests)]).first()
-        for i, d in enumerate(out.values()):
-            d["iqr_outliers"], d["zscore_outliers"] = counts[2 * i], counts[2 * i + 1]
+            tests[c, "iqr_outliers"] = F.count_if(outside(v[c], d["low"], d["high"]))
+            tests[c, "zscore_outliers"] = F.count_if(outside(v[c], *zscore_bounds(d)))
+        for (c, k), n in measure(self.df, tests).items():
+            out[c][k] = n
         return out
 
     # ── result tables ──────────────────────────────────────────────────────────────────────
@@ -294,8 +279,8 @@ class Profile:
         if not found:
             return []
         # Ungrouped minima stream through each task; no sort and one row per task.
-        samples = self.df.agg(*[F.min(X.strip(col(c))).alias(f"s{i}") for i, (c, _, _) in enumerate(found)]).first()
-        return [(*f, s) for f, s in zip(found, samples)]
+        samples = measure(self.df, {c: F.min(X.strip(col(c))) for c, _, _ in found})
+        return [(*f, samples[f[0]]) for f in found]
 
     def pattern_rows(self) -> list[tuple]:
         return self._patterns

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecheck.functions.columns import as_number, col
+from tablecheck.functions.columns import as_number, col, measure
 
 SMALL = 100_000  # rows of a column that one `percentile` hash map may hold
 BINS = 4096  # histogram bins per bracket and pass
@@ -80,14 +80,8 @@ def exact_quantiles(
 
     few = [c for c in columns if 0 < bounds[c][0] <= small]
     if few:
-        row = df.agg(
-            *[
-                F.percentile(as_number(df, c), F.array(*[F.lit(float(p)) for p in probs_of[c]])).alias(f"q{i}")
-                for i, c in enumerate(few)
-            ]
-        ).first()
-        for i, c in enumerate(few):
-            out[c] = list(row[i])
+        exact = {c: F.percentile(as_number(df, c), F.array(*[F.lit(float(p)) for p in probs_of[c]])) for c in few}
+        out |= {c: list(q) for c, q in measure(df, exact).items()}
 
     # Every wanted quantile is a blend of at most two ranks.
     wanted: dict[tuple[str, int], _Bracket] = {}
@@ -109,11 +103,8 @@ def exact_quantiles(
 
 
 def numeric_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
-    values = [as_number(df, c) for c in columns]
-    row = df.agg(
-        *[f(v).alias(f"{f.__name__}{i}") for i, v in enumerate(values) for f in (F.count, F.min, F.max)]
-    ).first()
-    return {c: tuple(row[3 * i : 3 * i + 3]) for i, c in enumerate(columns)}
+    m = measure(df, {(c, f.__name__): f(as_number(df, c)) for c in columns for f in (F.count, F.min, F.max)})
+    return {c: (m[c, "count"], m[c, "min"], m[c, "max"]) for c in columns}
 
 
 def _values_at(df: DataFrame, wanted: dict[tuple[str, int], _Bracket], small: int) -> dict:

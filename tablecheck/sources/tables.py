@@ -22,6 +22,8 @@ SEPARATORS = [",", ";", "\t", "|"]  # fixed value: separators that are told apar
 SAMPLE_CHARS = 8192  # fixed value: how much of the file's head the separator is judged by
 SAMPLE_LINES = 100
 
+ALL_NULL = "null"
+
 _READ_ERRORS = (AnalysisException, IllegalArgumentException, SparkRuntimeException, UnknownException)
 
 
@@ -105,10 +107,10 @@ def null_values_to_null(df: DataFrame) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
-    """``long``, ``double``, ``boolean`` or ``string`` per all-string column, judged on every row.
+    """``long``, ``double``, ``boolean``, ``string`` or ``null`` per all-string column.
 
-    A column is numeric only if each non-null cell parses; one blank makes it text. Integers with
-    nulls become double, booleans with nulls stay text, dates stay text. An all-null column is double.
+    Judged on every row: a column is numeric only if each non-null cell parses; one blank makes it
+    text. Integers with nulls become double, booleans with nulls and dates stay text.
     """
     cells = C.long_form(df, {c: col(c) for c in df.columns})
     v = F.trim("value")
@@ -124,11 +126,11 @@ def infer_types(df: DataFrame) -> dict[str, str]:
         )
         .collect()
     )
-    out = dict.fromkeys(df.columns, "string")
+    out = dict.fromkeys(df.columns, ALL_NULL)
     for r in rows:
         full = r["n"] == r["rows"]
         if r["n"] == 0:
-            kind = "double"
+            kind = ALL_NULL
         elif r["whole"] == r["n"]:
             kind = "long" if full else "double"
         elif r["number"] == r["n"]:
@@ -145,7 +147,8 @@ def cast_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     def cast(c: str):
         if types[c] == "string":
             return col(c)
-        return F.trim(col(c)).cast(types[c]).alias(c)
+        # A column without any value is read as numbers.
+        return F.trim(col(c)).cast("double" if types[c] == ALL_NULL else types[c]).alias(c)
 
     return df.select(*[cast(c) for c in df.columns])
 
@@ -186,10 +189,12 @@ def read_csv(
         extra = f"c{len(names)}"
         if raw.isEmpty():
             return LoadResult(None, "The file has a header but no rows.", meta)
-        if raw.where(F.col(extra).isNotNull()).limit(1).count():
+        cells = null_values_to_null(raw)
+        types = infer_types(cells)
+        if types.pop(extra) != ALL_NULL:
             return LoadResult(None, f"Malformed file: a row has more than {len(names)} fields.", meta)
-        df = null_values_to_null(raw.drop(extra).toDF(*names))
-        return LoadResult(cast_types(df, infer_types(df)), None, meta)
+        df = cells.drop(extra).toDF(*names)
+        return LoadResult(cast_types(df, dict(zip(names, types.values()))), None, meta)
     except _READ_ERRORS as e:
         return LoadResult(None, f"The file cannot be read: {e.getCondition() or e}", meta)
     except csv.Error as e:
