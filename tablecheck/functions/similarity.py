@@ -46,10 +46,7 @@ def gram_tokens(text: str, q: int) -> list[str]:
     return out
 
 
-def gram_tokens_udf(q: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: gram_tokens(t, q))
-
-    return tokens
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def gram_tokens_udf(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, qs in pairs:
+        yield pd.Series([gram_tokens(t, q) for t, q in zip(texts, qs)], dtype="object")

@@ -9,9 +9,10 @@ all resemble each other). Only the best three matter, so the search goes from th
 1. Values that become equal when each side drops at most one character share a *deletion variant*.
    All pairs inside a variant have one similarity, so its four smallest members are enough. This is
    linear in the number of values and has no hot groups.
-2. Whatever is left for longer values is searched with falling thresholds. At a threshold two values
-   must share one of their rarest q-grams (prefix filter), so only those are joined. The search stops
-   for a column as soon as its third best pair reaches the threshold.
+2. Whatever is left is searched with falling thresholds. At a threshold two values must share one of
+   their rarest q-grams (prefix filter), so only those are joined; q is as large as the threshold and
+   the lengths allow, which keeps the joined groups small. The search stops for a column as soon as
+   its third best pair reaches the threshold.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from tablecheck.operators.frequency import value_counts
 
 TOP = 3
 VARIANT_LENGTH = 64  # longer values skip step 1; step 2 then covers all their pairs
-# (threshold, q): the longest grams for which every value that can still pair keeps enough grams.
-TIERS = [(0.98, 8), (0.95, 4), (0.90, 3), (0.80, 2)]
+TIERS = [0.98, 0.95, 0.90, 0.80]
+LONGEST_GRAM = 24
 SMALL_TEXT = 200_000  # characters of a column's distinct values
 BLOCK = 2_000  # members of one gram that meet in one task
 _SCHEMA = "column string, value_1 string, value_2 string, similarity_pct double"
@@ -94,20 +95,20 @@ def _search(values: DataFrame, floor: float, top: int) -> DataFrame:
     _merge(best, _best(_one_deletion_pairs(values, floor, top), top), top)
 
     above = 1.0
-    for tier, q in TIERS:
+    for tier in TIERS:
         tier = max(tier, floor)
         bar = {}  # what a further pair must reach to change a column's answer
         for c, rows in best.items():
             full = len(rows) == top
             if full and rows[-1][3] >= above:
                 continue  # everything this similar was found at the threshold before
-            if tier > max(floor, TIERS[-1][0]) and stats[c]["chars"] <= SMALL_TEXT:
+            if tier > max(floor, TIERS[-1]) and stats[c]["chars"] <= SMALL_TEXT:
                 continue  # one pass at the last threshold costs less than several
             t = max(tier, rows[-1][3]) if full else tier
             if _reach(t, stats[c]):
                 bar[c] = t
         if bar:
-            _merge(best, _best(_gram_pairs(values, bar, stats, q), top), top)
+            _merge(best, _best(_gram_pairs(values, bar, stats), top), top)
         above = tier
         if tier <= floor:
             break
@@ -161,18 +162,62 @@ def _reach(t: float, stats) -> bool:
     return stats["max"] > VARIANT_LENGTH or edits > 2 or (edits == 2 and stats["max"] - stats["min"] >= 2)
 
 
-def _gram_pairs(values: DataFrame, bar: dict[str, float], stats: dict, q: int) -> DataFrame:
+def _gram_length(t: float, low: int, high: int) -> int | None:
+    """Largest q for pairs whose longer side has ``low`` to ``high`` characters, or None if no such
+    pair is left for step 2.
+
+    A side of length ``s`` loses at most ``2 q s (1 - t) / (2 - t)`` of its ``s - q + 1`` grams to a
+    partner at ``t`` (worst when the partner is a shortest possible subsequence). One must remain.
+    """
+    shortest = max(1, int(low * t / (2 - t) - _EPS) + 1)
+    sizes = [s for s in range(shortest, min(high, shortest + 200) + 1) if _edits(t, s) >= (1 if high > VARIANT_LENGTH else 2)]
+    if not sizes:
+        return None
+    for q in range(LONGEST_GRAM, 1, -1):
+        enough = all(_lost(q, s, t) + 1 <= s - q + 1 for s in sizes)
+        # Beyond the sizes tried one by one the margin only grows.
+        if enough and (high <= sizes[-1] or q * (1 + 2 * sizes[-1] * (1 - t) / (2 - t)) <= sizes[-1]):
+            return q
+    return 1
+
+
+def _edits(t: float, length: int) -> int:
+    """Most insertions and deletions between a value of this length and a partner at ``t``."""
+    return int((1 - t) * (length + int(length * (2 - t) / t + _EPS)) + _EPS)
+
+
+def _lost(q: int, length: int, t: float) -> int:
+    return int(2.0 * q * length * (1 - t) / (2 - t) + _EPS)
+
+
+def _bands(t: float, longest: int) -> list[tuple[int, int, int]]:
+    """``(low, high, q)`` by length of the longer side, each band a quarter wider than the last."""
+    out, low = [], 1
+    while low <= longest:
+        high = low * 5 // 4
+        q = _gram_length(t, low, high)
+        if q:
+            out.append((low, high, q))
+        low = high + 1
+    return out
+
+
+def _gram_pairs(values: DataFrame, bar: dict[str, float], stats: dict) -> DataFrame:
     def per_column(figures: dict[str, float]) -> Column:
         return F.create_map(*[F.lit(x) for kv in figures.items() for x in kv])[F.col("column")]
 
     t, n = F.col("t"), F.col("len")
-    v = values.where(F.col("column").isin(list(bar))).select(
+    bands = {c: _bands(x, stats[c]["max"]) for c, x in bar.items()}
+    bands = {c: b for c, b in bands.items() if b}
+    if not bands:
+        return values.sparkSession.createDataFrame([], "column string, a string, b string, sim double")
+    v = values.where(F.col("column").isin(list(bands))).select(
         "column",
         "value",
         "len",
-        per_column(bar).alias("t"),
-        per_column({c: float(stats[c]["min"]) for c in bar}).alias("shortest"),
-        per_column({c: float(stats[c]["max"]) for c in bar}).alias("longest"),
+        per_column({c: bar[c] for c in bands}).alias("t"),
+        per_column({c: float(stats[c]["min"]) for c in bands}).alias("shortest"),
+        per_column({c: float(stats[c]["max"]) for c in bands}).alias("longest"),
     )
     # Longest and shortest partner that can reach t, and the edits such a pair may need.
     longest = F.least(F.col("longest"), F.floor(n * (2 - t) / t + _EPS))
@@ -180,35 +225,53 @@ def _gram_pairs(values: DataFrame, bar: dict[str, float], stats: dict, q: int) -
     edits = F.floor((1 - t) * (n + longest) + _EPS)
     unequal = (longest >= n + 2) | (shortest <= n - 2)
     covered = (longest <= VARIANT_LENGTH) & ((edits < 2) | ((edits == 2) & ~unequal))
-    v = v.where(~covered & (longest >= shortest) & (edits >= 1))
-
-    # A partner may cost this many of the value's own grams, so among one more of them one is shared.
-    lost = F.floor(2.0 * q * n * (1 - t) / (2 - t) + _EPS)
     key = F.when(F.octet_length("value") <= 96, F.col("value")).otherwise(
         F.concat(F.lit("\u0001"), F.sha2("value", 256))
     )
-    v = v.select("column", "value", "len", "t", key.alias("id"), (lost + 1).alias("prefix"))
-    tokens = v.select("column", "id", "len", "t", "prefix", F.explode(gram_tokens_udf(q)("value")).alias("gram"))
-    common = tokens.groupBy("column", "gram").agg(F.count("*").alias("n")).where("n > 1")
+    v = v.where(~covered & (longest >= shortest) & (edits >= 1)).select(
+        "column", "value", "len", "t", longest.alias("longest"), key.alias("id")
+    )
+
+    band_list = F.create_map(
+        *[
+            x
+            for c, bs in bands.items()
+            for x in (
+                F.lit(c),
+                F.array(*[F.struct(F.lit(lo).alias("low"), F.lit(hi).alias("high"), F.lit(q).alias("q")) for lo, hi, q in bs]),
+            )
+        ]
+    )[F.col("column")]
+    sides = v.select(
+        "*",
+        F.explode(F.filter(band_list, lambda b: (b["low"] <= F.col("longest")) & (b["high"] >= F.col("len")))).alias("band"),
+    ).select("column", "value", "id", "len", "t", "band.low", "band.high", "band.q")
+    # A partner may cost this many of the value's own grams, so among one more of them one is shared.
+    lost = F.floor(2.0 * F.col("q") * n * (1 - t) / (2 - t) + _EPS)
+    tokens = sides.select(
+        "column", "low", "high", "id", "len", "t", (lost + 1).alias("prefix"), F.explode(gram_tokens_udf("value", "q")).alias("gram")
+    )
+    common = tokens.groupBy("column", "low", "gram").agg(F.count("*").alias("n")).where("n > 1")
     # A gram that only one value has cannot be shared, but it does use up a place in the prefix.
-    ranked = tokens.join(common, ["column", "gram"], "left")
-    w = Window.partitionBy("column", "id").orderBy(F.coalesce("n", F.lit(1)), "gram")
+    ranked = tokens.join(common, ["column", "low", "gram"], "left")
+    w = Window.partitionBy("column", "low", "id").orderBy(F.coalesce("n", F.lit(1)), "gram")
     rare = (
         ranked.withColumn("r", F.row_number().over(w))
         .where((F.col("r") <= F.col("prefix")) & F.col("n").isNotNull())
-        .select("column", "gram", "id", "len", "t", "n")
+        .select("column", "low", "high", "gram", "id", "len", "t", "n")
     )
     # A gram of many members is cut into blocks: each member meets every block in a task of its own.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     left = rare.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     right = rare.select(
-        "column", "gram", F.col("id").alias("id2"), F.col("len").alias("len2"),
+        "column", "low", "gram", F.col("id").alias("id2"), F.col("len").alias("len2"),
         F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"),
     )
     shorter, longer = F.least("len", "len2"), F.greatest("len", "len2")
     met = (
-        left.join(right, ["column", "gram", "block"])
-        .where((F.col("id") < F.col("id2")) & (2 * shorter >= t * (shorter + longer) - _EPS))
+        left.join(right, ["column", "low", "gram", "block"])
+        .where((F.col("id") < F.col("id2")) & longer.between(F.col("low"), F.col("high")))
+        .where(2 * shorter >= t * (shorter + longer) - _EPS)
         .select("column", "id", "id2", "t")
         .distinct()
     )
@@ -221,6 +284,4 @@ def _gram_pairs(values: DataFrame, bar: dict[str, float], stats: dict, q: int) -
         .withColumn("sim", 2.0 * lcs("x", "y") / (F.col("lx") + F.col("ly")))
         .where((F.col("sim") >= t - _EPS) & (F.col("sim") < 1.0))
     )
-    return scored.select(
-        "column", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim"
-    )
+    return scored.select("column", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")

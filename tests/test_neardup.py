@@ -37,6 +37,22 @@ def test_gram_tokens_number_repeats():
     assert gram_tokens("aaab", 2) == ["aa1", "aa2", "ab1"]
 
 
+@pytest.mark.parametrize("t", [0.8, 0.83, 0.9, 0.944, 0.95, 0.98, 0.99])
+def test_every_side_keeps_a_gram(t):
+    """The bound behind the prefix filter, checked for every pair of lengths it is used for."""
+    for low, high, q in neardup._bands(t, 300):
+        for longer in range(low, high + 1):
+            for shorter in range(1, longer + 1):
+                shared = -int(-(t * (longer + shorter) / 2 - 1e-9) // 1)  # least LCS at t
+                dropped, added = longer - shared, shorter - shared
+                if added < 0 or dropped + added < 1:
+                    continue
+                if longer <= neardup.VARIANT_LENGTH and dropped <= 1 and added <= 1:
+                    continue  # covered by the deletion variants
+                for side, gone, new in ((longer, dropped, added), (shorter, added, dropped)):
+                    assert q * gone + (q - 1) * new <= neardup._lost(q, side, t) < side - q + 1
+
+
 def words(rnd, n, lengths, alphabet):
     base = ["".join(rnd.choice(alphabet) for _ in range(rnd.choice(lengths))) for _ in range(n)]
     out = list(base)
