@@ -29,7 +29,7 @@ TOP = 3
 VARIANT_LENGTH = 64  # longer values skip step 1; step 2 then covers all their pairs
 TIERS = [0.98, 0.95, 0.90, 0.80]
 LONGEST_GRAM = 24
-SMALL_TEXT = 200_000  # characters of a column's distinct values
+SMALL_TEXT = 500_000  # characters of a column's distinct values
 BLOCK = 2_000  # members of one gram that meet in one task
 _SCHEMA = "column string, value_1 string, value_2 string, similarity_pct double"
 _EPS = 1e-9

@@ -27,7 +27,12 @@ _WIDTHS = {
 
 
 class Profile:
-    """Lazy collection of per-column figures of ``df``."""
+    """Lazy collection of per-column figures of ``df``.
+
+    ``approx_distinct`` counts distinct values by sketch; ``fd_max_pairs`` is the budget of column
+    pairs for dependencies (``None`` for all); ``near_dup_columns`` limits the near-duplicate search,
+    by default every text column takes part.
+    """
 
     def __init__(
         self,
@@ -36,6 +41,7 @@ class Profile:
         approx_distinct: bool = False,
         fd_max_pairs: int | None = 200,
         near_dup_threshold: float = 80.0,
+        near_dup_columns: list[str] | None = None,
     ):
         self.spark = df.sparkSession
         self.df = C.normalise_missing(df)
@@ -47,6 +53,7 @@ class Profile:
         self.approx_distinct = approx_distinct
         self.fd_max_pairs = fd_max_pairs
         self.near_dup_threshold = near_dup_threshold
+        self.near_dup_columns = self.text if near_dup_columns is None else near_dup_columns
 
     # ── figures ────────────────────────────────────────────────────────────────────────────
 
@@ -312,7 +319,7 @@ class Profile:
     def _near_dups(self) -> list[tuple]:
         if self.empty:
             return []
-        table = neardup.near_duplicate_values(self.df, self.text, threshold=self.near_dup_threshold)
+        table = neardup.near_duplicate_values(self.df, self.near_dup_columns, threshold=self.near_dup_threshold)
         rank = {c: i for i, c in enumerate(self.columns)}
         rows = [tuple(r) for r in table.collect()]  # at most three pairs per column
         return sorted(rows, key=lambda r: (rank[r[0]], -r[3], r[1], r[2]))
