@@ -42,11 +42,17 @@ def type_names(df: DataFrame) -> dict[str, str]:
 
 
 def normalise_missing(df: DataFrame) -> DataFrame:
-    """Turn NaN into NULL once, so that everything later only tests for NULL."""
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    if not floats:
-        return df
-    return df.withColumns({n: F.nanvl(col(n), F.lit(None)) for n in floats})
+    """Turn NaN into NULL once, so that everything later only tests for NULL.
+
+    A column of no type at all (only NULL literals) becomes text, so that it can be written.
+    """
+    changes = {}
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            changes[f.name] = F.nanvl(col(f.name), F.lit(None))
+        elif isinstance(f.dataType, T.NullType):
+            changes[f.name] = F.lit(None).cast("string")
+    return df.withColumns(changes) if changes else df
 
 
 def as_number(df: DataFrame, name: str) -> Column:

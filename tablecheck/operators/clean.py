@@ -115,9 +115,9 @@ def tokens_to_null(df: DataFrame, match: str = "exact") -> DataFrame:
 
 
 def prepare(df: DataFrame, options: CleanOptions) -> DataFrame:
-    df = C.normalise_missing(df)
-    if options.normalise_names:
+    if options.normalise_names:  # first, by position: names may clash until then
         df = normalise_names(df)
+    df = C.normalise_missing(df)
     if options.trim_strings:
         df = trim_text(df)
     if options.replace_null_tokens:
@@ -330,11 +330,11 @@ def change_log(before: DataFrame, plan: CleanPlan, keys: list[str]) -> DataFrame
     The plan is applied next to the original cells in the same row, so nothing is joined or shuffled
     and a removed row cannot shift the comparison.
     """
-    named = C.normalise_missing(before)
-    new_keys = keys
+    named, new_keys = before, keys
     if plan.options.normalise_names:
         to = dict(zip(before.columns, normalised_names(before.columns)))
-        named, new_keys = named.toDF(*to.values()), [to[k] for k in keys]
+        named, new_keys = normalise_names(before), [to[k] for k in keys]
+    named = C.normalise_missing(named)
     old = F.struct(*[col(c).cast("string").alias(c) for c in named.columns]).alias("__old")
     row_wise = replace(
         plan,

@@ -43,21 +43,20 @@ def date_columns(p: Profile, order_by: str | None = None) -> list[str]:
     A table has no first cells without an order; ``order_by`` gives one.
     """
     found = [c for c, _, kind, _ in p.suggestion_rows() if kind == "datetime"]
-    for c in p.columns:
-        if c in found or not any(part in c.lower() for part in DATE_NAME_PARTS):
-            continue
-        if p.classes[c] == C.DATETIME:
-            found.append(c)
-            continue
-        if p.classes[c] == C.NESTED:
+    named = [c for c in p.columns if c not in found and any(part in c.lower() for part in DATE_NAME_PARTS)]
+    probes = None
+    for c in named:
+        if p.classes[c] in (C.DATETIME, C.NESTED):
             continue
         cells = p.df.where(col(c).isNotNull())
-        if order_by:
-            cells = cells.orderBy(col(order_by))
-        probe = cells.limit(DATE_PROBE).select(X.strip(col(c).cast("string")).alias("s"))
-        if probe.where(X.parse_datetime(F.col("s")).isNull()).count() == 0:
-            found.append(c)
-    return found
+        cells = cells.orderBy(col(order_by)) if order_by else cells
+        probe = cells.limit(DATE_PROBE).select(F.lit(c).alias("column"), X.strip(col(c).cast("string")).alias("s"))
+        probes = probe if probes is None else probes.unionByName(probe)
+    bad = set()
+    if probes is not None:
+        rows = probes.where(X.parse_datetime(F.col("s")).isNull()).select("column").distinct().collect()
+        bad = {r["column"] for r in rows}
+    return found + [c for c in named if c not in bad and p.classes[c] != C.NESTED]
 
 
 def column_choice(p: Profile, order_by: str | None = None) -> DataFrame:

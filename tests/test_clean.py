@@ -176,3 +176,10 @@ def test_plan_applies_to_new_rows(spark):
     r = K.clean(spark.createDataFrame([(v, "x") for v in VALUES], "v int, c string"), outliers="cap")
     out = r.plan.apply(spark.createDataFrame([(9999, " null ")], "v int, c string"))
     assert out.first().v == 31.0
+
+
+def test_clashing_names_and_untyped_columns(spark):
+    df = spark.sql("SELECT 'a' AS Name, 'b ' AS name, NULL AS void FROM range(2)")
+    r = K.clean(df)
+    assert data(r.df) == [("a", "b", "unknown")]
+    assert [x.column for x in K.change_log(df, r.plan, []).collect()] == ["name_1", "void"] * 2
