@@ -60,6 +60,11 @@ def as_number(df: DataFrame, name: str) -> Column:
     return col(name).cast("double") + F.lit(0.0)
 
 
+def finite(v: Column) -> Column:
+    """The value unless it is infinite; bins of equal width need finite bounds."""
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
+
+
 def as_key(df: DataFrame, name: str) -> Column:
     """Text that is equal for two values exactly when the values are equal.
 

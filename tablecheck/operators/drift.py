@@ -247,14 +247,18 @@ class Drift:
         from tablecheck.operators.insights import bin_number, bin_edges
 
         column = column or self.top_numeric()
+        empty = local_frame(self.spark, [], "source string, bin int, low double, high double, n long")
         if column is None:
-            return local_frame(self.spark, [], "source string, bin int, low double, high double, n long")
-        m = self._moments[column]
-        low, high = min(m["ref"]["min"], m["new"]["min"]), max(m["ref"]["max"], m["new"]["max"])
+            return empty
+        v = C.finite(col(column))
+        m = measure(self._both, {"low": F.min(v), "high": F.max(v)})
+        if m["low"] is None:
+            return empty
+        low, high = m["low"], m["high"]
         source = F.when(F.col("is_new"), "current").otherwise("reference")
         counts = (
-            self._both.where(col(column).isNotNull())
-            .groupBy(source.alias("source"), bin_number(col(column), low, high, bins).alias("bin"))
+            self._both.where(v.isNotNull())
+            .groupBy(source.alias("source"), bin_number(v, low, high, bins).alias("bin"))
             .agg(F.count("*").alias("n"))
         )
         return counts.select("source", "bin", *bin_edges(F.col("bin"), low, high, bins), "n")

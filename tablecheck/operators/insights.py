@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +126,7 @@ def bin_edges(number: Column, low: float, high: float, bins: int) -> tuple[Colum
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """``(bin, low, high, n)`` for bins that hold values."""
-    df = C.normalise_missing(df)
+    df = df.select(C.finite(C.as_number(C.normalise_missing(df), column)).alias(column))
     n, low, high = numeric_bounds(df, [column])[column]
     if not n:
         return local_frame(df.sparkSession, [], "bin int, low double, high double, n long")
@@ -215,7 +217,10 @@ def scatter(df: DataFrame, x: str, y: str, colour: str | None = None) -> DataFra
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = HISTOGRAM_BINS, colour: str | None = None) -> DataFrame:
     """Point counts on a grid: what a scatter plot shows, of bounded size for any table."""
     df = C.normalise_missing(df)
+    df = df.withColumns({c: C.finite(C.as_number(df, c)) for c in (x, y)})
     b = numeric_bounds(df, [x, y])
+    if not b[x][0] or not b[y][0]:
+        df, b = df.limit(0), {x: (0, 0.0, 0.0), y: (0, 0.0, 0.0)}
     keys = ["x_bin", "y_bin"] + (["colour"] if colour else [])
     vx, vy = C.as_number(df, x), C.as_number(df, y)
     points = df.where(vx.isNotNull() & vy.isNotNull()).select(
@@ -244,7 +249,10 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = []
     for a, b in pairs:
         cov, sa, sb = (m[a, b, k] for k in ("cov", "sd_a", "sd_b"))
-        r = None if not sa or not sb else 1.0 if a == b else max(-1.0, min(1.0, cov / (sa * sb)))
+        if not sa or not sb or math.isnan(sa) or math.isnan(sb):
+            r = None
+        else:
+            r = 1.0 if a == b else max(-1.0, min(1.0, cov / (sa * sb)))
         rows += [(a, b, r)] + ([(b, a, r)] if a != b else [])
     return local_frame(df.sparkSession, rows, "x string, y string, r double")
 

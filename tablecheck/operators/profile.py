@@ -6,6 +6,7 @@ from a grouped aggregate, or a one-row aggregate. The result tables are built fr
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -350,7 +351,7 @@ def iqr_bounds(d: dict) -> tuple[float | None, float | None]:
 
 def zscore_bounds(d: dict) -> tuple[float | None, float | None]:
     """Three sample standard deviations around the mean."""
-    if not d["std"]:
+    if not d["std"] or math.isnan(d["std"]):  # no spread, one row, or infinite values
         return None, None
     return d["mean"] - 3.0 * d["std"], d["mean"] + 3.0 * d["std"]
 

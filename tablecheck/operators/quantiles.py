@@ -19,6 +19,7 @@ from tablecheck.functions.columns import as_number, col, measure
 SMALL = 100_000  # rows of a column that one `percentile` hash map may hold
 BINS = 4096  # histogram bins per bracket and pass
 PASSES = 12
+_LARGEST = 1.7976931348623157e308
 
 
 @dataclass
@@ -34,18 +35,20 @@ class _Bracket:
 
 def _bin(value: Column, b: _Bracket, scale: str) -> Column:
     """Monotone bin number in 0..BINS-1; ``log`` resolves brackets that span many magnitudes."""
+    low, high = max(b.low, -_LARGEST), min(b.high, _LARGEST)  # infinite values fall into the end bins
     if scale == "log":
-        unit = max(abs(b.low), abs(b.high)) * 1e-12 or 1e-300
+        unit = max(abs(low), abs(high)) * 1e-12 or 1e-300
 
         def curve(x):
             return F.signum(x) * F.log1p(F.abs(x) / F.lit(unit))
 
-        value, low, high = curve(value), curve(F.lit(b.low)), curve(F.lit(b.high))
-        share = (value - low) / (high - low)
+        start, end = curve(F.lit(low)), curve(F.lit(high))
+        share = F.try_divide(curve(value) - start, end - start)
     else:
         # Halving first keeps the width finite for brackets as wide as the double range.
-        share = (value / 2 - F.lit(b.low / 2)) / F.lit(b.high / 2 - b.low / 2)
-    return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int")))
+        share = F.try_divide(value / 2 - F.lit(low / 2), F.lit(high / 2 - low / 2))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    return F.least(F.lit(BINS - 1), F.floor(share * BINS)).cast("int")
 
 
 def _rows_of(df: DataFrame, brackets: list[_Bracket], bins: str | None) -> DataFrame:

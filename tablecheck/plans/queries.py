@@ -285,12 +285,8 @@ found AS (
 SELECT row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 ELSE 1 END, issue, src, seq)::INT AS rank, priority, issue, details, action FROM found"""
 
 
-def _issues_without_near_dups(p: Profile) -> DataFrame:
-    p._near_dups = []  # near duplicates have their own query; SQL cannot score all pairs of ids
-    return S.issues(p)
-
-
-register("issues", profiled(_issues_without_near_dups), _ISSUES_SQL)
+# Near duplicates have their own query; SQL cannot score all pairs of ids.
+register("issues", profiled(S.issues, near_dup_columns=[]), _ISSUES_SQL)
 register("issues_with_near_dups", profiled(S.issues))
 register(
     "alerts",

@@ -203,3 +203,15 @@ def test_many_columns_in_batches(spark):
 def test_approximate_distinct_counts(spark):
     p = Profile(spark.range(5000).selectExpr("id", "CAST(id % 10 AS STRING) AS s"), approx_distinct=True)
     assert abs(p.distinct["id"] - 5000) < 500 and p.distinct["s"] == 10
+
+
+def test_infinite_values_do_not_break_statistics(spark):
+    from tablecheck.operators import insights as I
+
+    df = spark.createDataFrame([(float(i), float(i)) for i in range(20)] + [(float("inf"), 1.0)], "v double, w double")
+    p = Profile(df)
+    r = p.outlier_table().first()
+    assert (r.column, r.outlier_count_iqr, r.outlier_count_zscore) == ("v", 1, 0)
+    assert sum(x.n for x in I.histogram(df, "v").collect()) == 20
+    assert sum(x.n for x in I.scatter_bins(df, "v", "w").collect()) == 20
+    assert {x.r for x in I.correlation(df, ["v", "w"]).where("x != y").collect()} == {None}

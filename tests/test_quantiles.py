@@ -14,6 +14,7 @@ CASES = {
     "a third equal": [5.0] * 1000 + [random.gauss(5, 2) for _ in range(2000)],
     "two values": [0.0] * 1500 + [1.0] * 1500,
     "one far point": [random.random() for _ in range(2000)] + [1e300],
+    "infinite ends": [float("inf")] * 900 + [float("-inf")] * 900 + [random.random() for _ in range(1000)],
     "wide range": [-1.7e308, 1.7e308, *[float(i) for i in range(2000)]],
 }
 PROBS = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
