@@ -305,6 +305,7 @@ def clean(df: DataFrame, options: CleanOptions | None = None, **changes) -> Clea
 
 def recommended_options(p: Profile) -> CleanOptions:
     """Options that treat exactly what a profile found."""
+    p.gather("duplicate_rows", "text_figures", "numeric_figures")
     missing = p.missing_cells > 0
     return CleanOptions(
         trim_strings=True,

@@ -235,11 +235,11 @@ class Drift:
         return both.withColumn("rank", F.row_number().over(w)).orderBy("kind", "rank")
 
     def top_numeric(self) -> str | None:
-        r = self.ranked().where("kind = 'numeric' and drifted").orderBy("rank").first()
+        r = self.numeric_drift().where("drifted").orderBy(F.desc_nulls_last("ks_statistic"), "column").first()
         return r["column"] if r else None
 
     def top_category(self) -> str | None:
-        r = self.ranked().where("kind = 'categorical' and drifted").orderBy("rank").first()
+        r = self.categorical_drift().where("drifted").orderBy(F.desc("psi"), "column").first()
         return r["column"] if r else None
 
     def histogram(self, column: str | None = None, bins: int = 30) -> DataFrame:

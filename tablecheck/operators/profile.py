@@ -7,6 +7,7 @@ from a grouped aggregate, or a one-row aggregate. The result tables are built fr
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,8 @@ class Profile:
     """Lazy collection of per-column figures of ``df``.
 
     ``approx_distinct`` counts distinct values by sketch; ``fd_max_pairs`` is the budget of column
-    pairs for dependencies (``None`` for all); ``near_dup_columns`` limits the near-duplicate search,
+    pairs for dependencies (``None`` for all) and ``fd_sample`` an optional share of rows to check them
+    on (candidates are chosen on the full table, and by default so is the check); ``near_dup_columns`` limits the near-duplicate search,
     by default every text column takes part.
     """
 
@@ -41,6 +43,7 @@ class Profile:
         *,
         approx_distinct: bool = False,
         fd_max_pairs: int | None = 200,
+        fd_sample: float | None = None,
         near_dup_threshold: float = 80.0,
         near_dup_columns: list[str] | None = None,
     ):
@@ -52,10 +55,18 @@ class Profile:
         self.text = [c for c in self.columns if self.classes[c] == C.TEXT]
         self.numeric = [c for c in self.columns if self.classes[c] == C.NUMERIC]
         self.approx_distinct = approx_distinct
-        self.fd_max_pairs = fd_max_pairs
+        self.fd_max_pairs, self.fd_sample = fd_max_pairs, fd_sample
         self.near_dup_threshold = near_dup_threshold
         self.near_dup_columns = self.text if near_dup_columns is None else near_dup_columns
 
+    def gather(self, *figures: str) -> Profile:
+        """Measure several independent figures at once, so that their jobs share the cluster."""
+        todo = [f for f in figures if f not in self.__dict__]
+        if not self.empty and len(todo) > 1:
+            with ThreadPoolExecutor(len(todo)) as pool:
+                list(pool.map(lambda f: getattr(self, f), todo))
+        return self
+
     # ── figures ────────────────────────────────────────────────────────────────────────────
 
     @cached_property
@@ -335,7 +346,8 @@ class Profile:
     def _dependencies(self) -> list[tuple]:
         if self.empty:
             return []
-        return dependencies.functional_dependencies(self.df, self.rows, self.distinct, self.fd_max_pairs)
+        df = self.df if self.fd_sample is None else self.df.sample(self.fd_sample, seed=42)
+        return dependencies.functional_dependencies(df, self.rows, self.distinct, self.fd_max_pairs)
 
     def functional_deps(self) -> DataFrame:
         return self._table(self._dependencies, "determinant string, dependent string, groups_checked long")

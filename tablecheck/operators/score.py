@@ -39,6 +39,7 @@ _SEVERITY = {"high": 0, "medium": 1, "low": 2}
 
 def penalty_inputs(p: Profile) -> dict[str, float]:
     """The six percentages a score is made of."""
+    p.gather("duplicate_rows", "text_figures", "numeric_figures")
     columns = max(len(p.columns), 1)
     cells = max(p.rows * columns, 1)
     summary = p.summary_values()
@@ -83,6 +84,7 @@ def score_breakdown(p: Profile, weights: dict[str, float] | None = None) -> Data
 
 def issue_rows(p: Profile) -> list[tuple[str, str, str, str]]:
     """``(priority, issue, details, action)``, most urgent first."""
+    p.gather("duplicate_rows", "text_figures", "distinct")
     rows: list[tuple[str, str, str, str]] = []
     for c, _, pct in sorted(p.missing_rows(), key=lambda r: -r[2])[:4]:
         rows.append((
@@ -120,7 +122,7 @@ def issues(p: Profile) -> DataFrame:
 
 
 def alerts(p: Profile) -> DataFrame:
-    value, _, _ = score_of(penalty_inputs(p))
+    value, _, _ = score_of(penalty_inputs(p))  # before the summary: it measures side by side
     s = p.summary_values()
     rows = [
         ("error", "score", "critical quality: treat before use") if value < 55

@@ -201,8 +201,21 @@ def read_csv(
         return LoadResult(None, f"Malformed file: {e}", meta)
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> LoadResult:
-    """A table from CSV (detected as above), Parquet, ORC, JSON or the catalog (``fmt="table"``)."""
+def read_table(
+    spark: SparkSession, path: str, fmt: str | None = None, persist: bool = False, **options
+) -> LoadResult:
+    """A table from CSV (detected as above), Parquet, ORC, JSON or the catalog (``fmt="table"``).
+
+    ``persist`` keeps it in memory and on disk for the passes to come, which pays for small text files;
+    large columnar tables are better read again.
+    """
+    result = _read(spark, path, fmt, options)
+    if persist and result.df is not None:
+        result.df.persist()
+    return result
+
+
+def _read(spark: SparkSession, path: str, fmt: str | None, options: dict) -> LoadResult:
     fmt = fmt or next((f for f in ("parquet", "orc", "json") if path.rstrip("/").endswith(f".{f}")), "csv")
     if fmt == "csv":
         return read_csv(spark, path, **options)

@@ -66,3 +66,8 @@ def test_narrow_rows_are_grouped_directly(spark):
 def test_maps_can_be_deduplicated(spark):
     df = spark.sql("SELECT * FROM VALUES (map('a', 1)), (map('a', 1)), (map('b', 1)) v(m)")
     assert drop_duplicate_rows(df).count() == 2
+
+
+def test_sampled_check(spark):
+    df = spark.range(1000).selectExpr("id % 5 AS a", "id % 5 * 2 AS b")
+    assert ("a", "b", 5) in [tuple(r) for r in Profile(df, fd_sample=0.5).functional_deps().collect()]

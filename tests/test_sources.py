@@ -127,3 +127,9 @@ def test_exports(spark, tmp_path):
     report = json.loads(part.read_text())
     assert report["quality_score"] == 88.5 and report["summary"]["rows"] == 20
     assert report["treatment_report"]["rows_after"] == 20 and report["generated_at"]
+
+
+def test_persisted_read(spark, write):
+    r = tables.read_table(spark, write("a,b\n1,2\n"), persist=True)
+    assert r.df.is_cached and r.df.count() == 1
+    r.df.unpersist()
