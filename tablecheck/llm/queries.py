@@ -68,7 +68,7 @@ WITH d AS (
   SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
   FROM documents),
-s AS (SELECT none, src, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY none, src) - 1 AS place FROM d GROUP BY ALL),
+s AS (SELECT none, src, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY none, src) - 1 AS place FROM d GROUP BY none, src),
 w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS lim FROM s),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(lim) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
                / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level,
