@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tablecheck.llm.common import materialise, words_in
 from tablecheck.llm.curriculum import curriculum
 from tablecheck.llm.exact_dedup import exact_duplicates
+from tablecheck.llm.sentencepiece_backend import encode_documents
 from tablecheck.llm.shuffle_shards import uniform_shards
+from tablecheck.llm.token_files import read_token_files, write_token_files
 from tablecheck.llm.url_filter import judge_urls, rule_table
+from tablecheck.sources.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +110,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     sharded = uniform_shards(materialise(docs, "shard-sizes"), 40, payload=["doc_id", "size", "text_crc32"])
     return sharded.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path)
+    return read_token_files(spark, path)
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
