@@ -12,6 +12,7 @@ from tablecheck.llm.curriculum import curriculum
 from tablecheck.llm.exact_dedup import exact_duplicates
 from tablecheck.llm.language_crf import held_out_column, learn_languages, predict_languages
 from tablecheck.llm.minhash import near_duplicates
+from tablecheck.llm.nearest import nearest_neighbours
 from tablecheck.llm.sentencepiece_backend import encode_documents
 from tablecheck.llm.shuffle_shards import uniform_shards
 from tablecheck.llm.token_files import read_token_files, write_token_files
@@ -152,3 +153,9 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 @query("op9_near_duplicates", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.filter("vec_id % 100 = 0"))
