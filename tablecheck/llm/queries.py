@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablecheck.llm.common import materialise, words_in
 from tablecheck.llm.curriculum import curriculum
 from tablecheck.llm.exact_dedup import exact_duplicates
+from tablecheck.llm.katz import katz_scores
 from tablecheck.llm.language_crf import held_out_column, learn_languages, predict_languages
 from tablecheck.llm.minhash import near_duplicates
 from tablecheck.llm.nearest import nearest_neighbours
@@ -159,3 +160,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest_neighbours(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+OP7_SQL = r"""
+WITH
+d AS (SELECT doc_id, list_reduce(list_concat([4294967295::BIGINT], list_transform(split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS crc,
+        list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS ws FROM documents),
+t AS (SELECT doc_id, xor(crc, 4294967295::BIGINT) % 7 = 2 AS held_out, unnest(ws) AS w, unnest(list_prepend('', ws[:-2])) AS h FROM d),
+u AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM u),
+b AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY h, w),
+r AS (SELECT c AS r, count(*) AS n FROM b GROUP BY c),
+k AS (SELECT i AS r, coalesce((SELECT n FROM r WHERE r.r = i), 0)::DOUBLE AS a, coalesce((SELECT n FROM r WHERE r.r = i + 1), 0)::DOUBLE AS z,
+             coalesce((SELECT n FROM r WHERE r.r = 1), 0)::DOUBLE AS one, coalesce((SELECT n FROM r WHERE r.r = 6), 0)::DOUBLE AS six FROM range(1, 6) x(i)),
+g AS (SELECT r, CASE WHEN one > 0 AND a > 0 AND 6 * six / one < 1 THEN ((r + 1) * z / (r * a) - 6 * six / one) / (1 - 6 * six / one) ELSE 0 END AS d FROM k),
+f AS (SELECT r, CASE WHEN d > 0 AND d < 1 THEN d ELSE (r - 0.5::DOUBLE) / r END AS d FROM g),
+p AS (SELECT b.h, sum(b.c)::DOUBLE AS total, coalesce(sum(b.c * (1 - f.d)), 0) AS taken, sum(u.c + 1)::DOUBLE AS mass FROM b JOIN u USING (w) LEFT JOIN f ON f.r = b.c GROUP BY b.h),
+a AS (SELECT h, CASE WHEN taken > 0 THEN total ELSE total + 1 END AS den, total, taken, mass FROM p),
+s AS (SELECT t.doc_id, t.held_out, u.c AS c, log10((coalesce(u.c, 0) + 1)::DOUBLE / (n.n + n.v + 1)) AS base,
+             CASE WHEN b.c IS NOT NULL THEN log10(b.c * coalesce(f.d, 1) / a.den)
+                  WHEN a.h IS NOT NULL THEN log10((1 - (a.total - a.taken) / a.den) / (1 - a.mass / (n.n + n.v + 1))) + log10((coalesce(u.c, 0) + 1)::DOUBLE / (n.n + n.v + 1))
+                  ELSE log10((coalesce(u.c, 0) + 1)::DOUBLE / (n.n + n.v + 1)) END AS lp, n.n AS train_tokens
+      FROM t CROSS JOIN n LEFT JOIN u ON u.w = t.w LEFT JOIN b ON b.h = t.h AND b.w = t.w LEFT JOIN f ON f.r = b.c LEFT JOIN a ON a.h = t.h)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, train_tokens, round(sum(base), 6) AS base_score, round(sum(lp), 6) AS score FROM s GROUP BY ALL
+"""
+
+
+@query("op7_katz_scores", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = katz_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+    return scores.withColumns({"base_score": F.round("base_score", 6), "score": F.round("score", 6)})
