@@ -191,3 +191,10 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, train_tokens
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = katz_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
     return scores.withColumns({"base_score": F.round("base_score", 6), "score": F.round("score", 6)})
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
