@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (unit tests, a laptop) a local temporary folder is used.
-    """
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session, else the checkpoint
+    directory of its context. With neither, a local master gets a temporary folder that goes with the process;
+    on a cluster that is an error, as executors do not see each other's disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tablecheck-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tablecheck-{label}-{uuid.uuid4().hex}"
+        context = spark.sparkContext
+        set_dir = context._jsc.sc().getCheckpointDir()
+        if set_dir.isDefined():
+            return set_dir.get().rstrip("/")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _local:
+            folder = _local[context.applicationId] = tempfile.mkdtemp(prefix="tablecheck-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = _local[context.applicationId]
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path under :func:`scratch_folder`."""
+    return f"{scratch_folder(spark)}/tablecheck-{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -7,10 +7,11 @@ string, null values are recognised, and only then types are chosen from one aggr
 from __future__ import annotations
 
 import csv
+import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, IllegalArgumentException, SparkRuntimeException, UnknownException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +20,13 @@ from tablecheck.functions import text as X
 from tablecheck.functions.columns import col
 
 SEPARATORS = [",", ";", "\t", "|"]  # fixed value: separators that are told apart
-SAMPLE_CHARS = 8192  # fixed value: how much of the file's head the separator is judged by
-SAMPLE_LINES = 100
+SAMPLE_LINES = 100  # default of the lines of the file's head that the separator is judged by
+
+# Byte-order marks as they stand before the first line, and the bytes of a line break.
+MARKS = {"FFFE": "UTF-16LE", "FEFF": "UTF-16BE"}
+# Windows-1252 is ISO-8859-1 but for these characters (five bytes are undefined and stay).
+_CONTROLS = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+WINDOWS_FROM, WINDOWS_TO = "".join(map(chr, _CONTROLS)), bytes(_CONTROLS).decode("windows-1252")
 
 ALL_NULL = "null"
 
@@ -37,20 +43,41 @@ class LoadResult:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """``UTF-8`` if every line of the file is valid UTF-8, else ``ISO-8859-1``.
+    """The encoding of a file: by its byte-order mark; else ``UTF-8`` if every line is valid UTF-8; else
+    ``windows-1252`` if a byte from 0x80 to 0x9F occurs (control characters in ISO-8859-1), else ``ISO-8859-1``.
 
     The text source hands out the raw bytes of each line, so this is one map-only pass over all of
     it; a single bad byte at the very end still counts.
     """
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    lines = spark.read.text(path)
+    first = lines.select(F.hex(F.substring(F.col("value").cast("binary"), 1, 2))).first()
+    if first and first[0] in MARKS:
+        return MARKS[first[0]]
+    high = _latin(F.col("value")).rlike("[\\x80-\\x9f]")
+    bad, windows = lines.agg(F.count_if(~F.is_valid_utf8("value")), F.count_if(high)).first()
+    return "UTF-8" if not bad else "windows-1252" if windows else "ISO-8859-1"
+
+
+def _latin(c: Column) -> Column:
+    return F.decode(c.cast("binary"), "ISO-8859-1")
+
 
+def _to_windows(c: Column) -> Column:
+    return F.translate(c, WINDOWS_FROM, WINDOWS_TO)
 
-def _head(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    """First lines of the file, at most ``SAMPLE_CHARS`` characters each."""
-    lines = spark.read.text(path).limit(SAMPLE_LINES)
-    decoded = F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    return [r[0].lstrip("﻿") for r in lines.select(F.substring(decoded, 1, SAMPLE_CHARS)).collect()]
+
+def _head(spark: SparkSession, path: str, encoding: str, lines: int = SAMPLE_LINES) -> list[str]:
+    """First lines of the file, each of them whole."""
+    wide = encoding.startswith("UTF-16")
+    reader = spark.read.option("encoding", encoding).option("lineSep", "\n") if wide else spark.read
+    head = reader.text(path).limit(lines)
+    if wide:
+        decoded = F.decode(F.col("value").cast("binary"), encoding)
+    elif encoding == "UTF-8":
+        decoded = F.col("value")
+    else:
+        decoded = _to_windows(_latin(F.col("value"))) if encoding == "windows-1252" else _latin(F.col("value"))
+    return [r[0].lstrip("\ufeff").rstrip("\r") for r in head.select(decoded).collect()]
 
 
 def sniff_separator(lines: list[str]) -> str:
@@ -59,13 +86,7 @@ def sniff_separator(lines: list[str]) -> str:
     Fields are counted with quoting respected. Among equally regular candidates the one with more
     fields wins, then the order of ``SEPARATORS``.
     """
-    text, sample = 0, []
-    for line in lines:
-        text += len(line) + 1
-        if sample and text > SAMPLE_CHARS:
-            break
-        if line.strip():
-            sample.append(line)
+    sample = [line for line in lines if line.strip()]
     best, best_rank = ",", (0.0, 0)
     for sep in SEPARATORS:
         counts = [len(next(csv.reader([line], delimiter=sep), [])) for line in sample]
@@ -78,8 +99,8 @@ def sniff_separator(lines: list[str]) -> str:
     return best
 
 
-def detect_separator(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    return sniff_separator(_head(spark, path, encoding))
+def detect_separator(spark: SparkSession, path: str, encoding: str = "UTF-8", lines: int = SAMPLE_LINES) -> str:
+    return sniff_separator(_head(spark, path, encoding, lines))
 
 
 def _header_names(names: list[str], case_sensitive: bool) -> list[str]:
@@ -160,16 +181,19 @@ def read_csv(
     separator: str | None = None,
     encoding: str | None = None,
     multi_line: bool = False,
+    sample_lines: int = SAMPLE_LINES,
 ) -> LoadResult:
     """Read a delimited file or directory of files with a header line.
 
     Files are split over tasks by Spark whatever their size. ``multi_line`` allows line breaks within
-    quotes, at the price of one task per file.
+    quotes, at the price of one task per file. The separator is judged by the first ``sample_lines``
+    lines. A row with more fields than the header, empty ones included, makes the file malformed; shorter
+    rows are filled with nulls.
     """
     meta: dict[str, str] = {}
     try:
         encoding = encoding or detect_encoding(spark, path)
-        lines = _head(spark, path, encoding)
+        lines = _head(spark, path, encoding, sample_lines)
         meta["encoding"] = encoding
         if not any(line.strip() for line in lines):
             return LoadResult(None, "The file is empty.", meta)
@@ -177,19 +201,29 @@ def read_csv(
         meta["separator"] = separator
         header = next(csv.reader([next(line for line in lines if line.strip())], delimiter=separator))
         names = _header_names(header, spark.conf.get("spark.sql.caseSensitive") == "true")
-        # One field more than the header: a row that fills it has too many fields.
+        # A row with too few or too many fields also comes back whole; its fields are counted then.
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
+        extra = f"c{len(names)}"
         raw = (
             spark.read.schema(schema)
             .option("header", True).option("enforceSchema", True).option("sep", separator)
-            .option("encoding", encoding).option("quote", '"').option("escape", '"')
-            .option("multiLine", multi_line).option("maxCharsPerColumn", -1).option("mode", "PERMISSIVE")
-            .csv(path)
+            .option("encoding", "ISO-8859-1" if encoding == "windows-1252" else encoding).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).option("maxCharsPerColumn", -1).option("maxColumns", max(20480, len(names) + 2))
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", extra)
         )
-        extra = f"c{len(names)}"
+        if encoding.startswith("UTF-16") and not multi_line:
+            raw = raw.option("lineSep", "\n")
+        raw = raw.csv(path)
+        if encoding.startswith("UTF-16"):  # a carriage return before the line break is not cut off there
+            last = f"c{len(names) - 1}"
+            raw = raw.withColumn(last, F.regexp_replace(last, r"\r\z", ""))
+        if encoding == "windows-1252":
+            raw = raw.select(*[_to_windows(col(c)).alias(c) for c in raw.columns])
         if raw.isEmpty():
             return LoadResult(None, "The file has a header but no rows.", meta)
-        cells = null_values_to_null(raw)
+        plain = F.regexp_replace(extra, r'"(?:[^"]|"")*"', "")
+        surplus = F.char_length(F.regexp_replace(plain, f"[^{re.escape(separator)}]", "")) >= len(names)
+        cells = null_values_to_null(raw.withColumn(extra, F.when(surplus, "surplus")))
         types = infer_types(cells)
         if types.pop(extra) != ALL_NULL:
             return LoadResult(None, f"Malformed file: a row has more than {len(names)} fields.", meta)

@@ -4,7 +4,7 @@ import pytest
 
 from tablecheck.operators.profile import Profile
 from tablecheck.operators.clean import clean
-from tablecheck.sources import export, tables
+from tablecheck.sources import export, storage, tables
 
 
 @pytest.fixture
@@ -31,7 +31,7 @@ def test_separator_falls_back_to_comma(spark, write):
     assert r.meta["separator"] == "," and r.df.columns == ["only"]
 
 
-@pytest.mark.parametrize("encoding, found", [("utf-8", "UTF-8"), ("latin-1", "ISO-8859-1"), ("utf-8-sig", "UTF-8")])
+@pytest.mark.parametrize("encoding, found", [("utf-8", "UTF-8"), ("latin-1", "ISO-8859-1"), ("utf-8-sig", "UTF-8"), ("utf-16", "UTF-16LE")])
 def test_encodings(spark, write, encoding, found):
     r = tables.read_csv(spark, write("ação,n\nJoão,1\n".encode(encoding)))
     assert r.meta["encoding"] == found
@@ -71,7 +71,8 @@ def test_null_spellings(spark, write):
 
 @pytest.mark.parametrize(
     "content, part",
-    [("", "empty"), ("a,b\n", "no rows"), ("a,b\n1,2\n3,4,5\n", "more than 2"), ("\n\n", "empty")],
+    [("", "empty"), ("a,b\n", "no rows"), ("a,b\n1,2\n3,4,5\n", "more than 2"), ("\n\n", "empty"), ("a,b\n1,2\n3,4,,99\n", "more than 2"), ("a,b\n1,2\n3,4,\n", "more than 2"),
+     ('a,b\n1,2\n3,"x,y",\n', "more than 2")],
 )
 def test_load_guards(spark, write, content, part):
     r = tables.read_csv(spark, write(content))
@@ -83,6 +84,49 @@ def test_short_rows_are_padded(spark, write):
     assert r.error is None and [tuple(x) for x in r.df.collect()] == [(1, 2.0), (3, None)]
 
 
+def test_quoted_separators_are_no_surplus(spark, write):
+    r = tables.read_csv(spark, write('a,b,c\n1,"x,y,z",3\n2,"p,q,r"\n'))
+    assert r.error is None and [tuple(x) for x in r.df.collect()] == [(1, "x,y,z", 3.0), (2, "p,q,r", None)]
+
+
+def test_wide_header(spark, write):
+    names = [f"a_rather_long_name_{i}" for i in range(1200)]
+    r = tables.read_csv(spark, write(",".join(names) + "\n" + ",".join(["1"] * 1200) + "\n"))
+    assert r.error is None and r.df.columns == names and set(r.df.first()) == {1}
+
+
+def test_windows_characters(spark, write):
+    r = tables.read_csv(spark, write("preço,n\n“5 €”,1\n".encode("windows-1252")))
+    assert r.meta["encoding"] == "windows-1252" and r.df.columns == ["preço", "n"] and r.df.first()[0] == "“5 €”"
+
+
+def test_utf16_lines(spark, write):
+    r = tables.read_csv(spark, write("a;b\r\n1;é\r\n2;ü\r\n".encode("utf-16")))
+    assert r.error is None and [tuple(x) for x in r.df.collect()] == [(1, "é"), (2, "ü")]
+
+
+def test_scratch_folder(spark, monkeypatch):
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, *_):
+            return self.value
+
+    class Session:
+        def __init__(self, folder, master, context_dir=None):
+            self.conf = Conf(folder)
+            scala = type("S", (), {"getCheckpointDir": lambda _: type("O", (), {"isDefined": lambda _: bool(context_dir), "get": lambda _: context_dir})()})
+            self.sparkContext = type("C", (), {"master": master, "applicationId": "test-app", "_jsc": type("J", (), {"sc": lambda _: scala()})()})()
+
+    assert storage.scratch_path(Session("file:///x/", "yarn"), "a").startswith("file:///x/tablecheck-a-")
+    assert storage.scratch_folder(Session(None, "yarn", "hdfs://c/d")) == "hdfs://c/d"
+    assert storage.scratch_folder(Session(None, "local[4]")) == storage.scratch_folder(Session(None, "local[4]"))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(RuntimeError):
+            storage.scratch_folder(Session(None, master))
+
+
 def test_repeated_and_clashing_headers(spark, write):
     r = tables.read_csv(spark, write("Name,name,Name,\n1,2,3,4\n"))
     assert r.df.columns == ["Name", "name.1", "Name.2", "Unnamed: 3"]
