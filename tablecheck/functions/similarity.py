@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -35,18 +36,40 @@ def lcs(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def gram_tokens(text: str, q: int) -> list[str]:
-    """All character q-grams of a text, repeats numbered so that the list is a set."""
-    seen: dict[str, int] = {}
-    out = []
-    for i in range(len(text) - q + 1):
-        gram = text[i : i + q]
-        seen[gram] = seen.get(gram, 0) + 1
-        out.append(f"{gram}{seen[gram]}")
+#: Classes of characters whose counts are compared before two texts are.
+CLASSES = 64
+
+
+def class_counts(texts: list[str]) -> np.ndarray:
+    """How often each class of characters occurs in each text."""
+    out = np.zeros((len(texts), CLASSES), np.int16)
+    for row, text in zip(out, texts):
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        row += np.bincount((codes * np.uint32(0x9E3779B1)) >> np.uint32(26), minlength=CLASSES).astype(np.int16)
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def gram_tokens_udf(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, qs in pairs:
-        yield pd.Series([gram_tokens(t, q) for t, q in zip(texts, qs)], dtype="object")
+def best_pairs(left: list[str], right: list[str] | None, floor: float, top: int) -> list[tuple[str, str, float]]:
+    """The ``top`` most similar pairs of a text of ``left`` and one of ``right`` (of two of ``left`` if that is None)
+    from ``floor`` up, by similarity and then by value.
+
+    Insertions and deletions between two texts are at least the differences of their character counts, which rules most
+    pairs out in numpy; once ``top`` pairs are known, only better ones are scored.
+    """
+    own = right is None
+    right = left if own else right
+    a, b = class_counts(left), class_counts(right)
+    len_a, len_b = (np.array([len(t) for t in x]) for x in (left, right))
+    found: list[tuple[float, str, str]] = []
+    for i, x in enumerate(left):
+        start = i + 1 if own else 0
+        both = len_a[i] + len_b[start:]
+        apart = np.abs(b[start:] - a[i]).sum(axis=1)
+        for j in np.flatnonzero(apart <= (1 - floor) * both + 1e-9) + start:
+            similar = 2.0 * lcs_length(x, right[j]) / (len_a[i] + len_b[j])
+            if similar >= floor - 1e-9 and x != right[j]:
+                found.append((-similar, min(x, right[j]), max(x, right[j])))
+        if len(found) > 4 * top:
+            found = sorted(set(found))[:top]
+            floor = max(floor, -found[-1][0])
+    return [(x, y, -s) for s, x, y in sorted(set(found))[:top]]

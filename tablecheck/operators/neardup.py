@@ -13,24 +13,32 @@ all resemble each other). Only the best three matter, so the search goes from th
    their rarest q-grams (prefix filter), so only those are joined; q is as large as the threshold and
    the lengths allow, which keeps the joined groups small. The search stops for a column as soon as
    its third best pair reaches the threshold.
+3. Where grams tell values too little apart (random keys of few letters: the joined groups, counted first,
+   hold a good part of all pairs) and for short columns anyway, blocks of values meet instead, each pair of blocks
+   in a task of its own; comparing character counts rules nearly all pairs out before they are scored.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.functions.columns import col
-from tablecheck.functions.similarity import gram_tokens_udf, lcs
+from tablecheck.functions.similarity import best_pairs, lcs
 from tablecheck.functions.text import strip
 from tablecheck.operators.frequency import value_counts
+from tablecheck.sources.storage import materialise
 
 TOP = 3
 VARIANT_LENGTH = 64  # longer values skip step 1; step 2 then covers all their pairs
 TIERS = [0.98, 0.95, 0.90, 0.80]
 LONGEST_GRAM = 24
 SMALL_TEXT = 500_000  # characters of a column's distinct values
-BLOCK = 2_000  # members of one gram that meet in one task
+BLOCK = 2_000  # members of one gram, or values of a column, that meet as many others in one task
+ALL_PAIRS = 10_000  # columns of at most so many values are compared block by block at once
+BLOCK_LENGTH = 256  # if no value is longer
+GRAM_COST = 20  # a pair that grams bring together costs as much as so many in a block
 _SCHEMA = "column string, value_1 string, value_2 string, similarity_pct double"
 _EPS = 1e-9
 
@@ -94,11 +102,22 @@ def _search(values: DataFrame, floor: float, top: int) -> DataFrame:
     best: dict[str, list[tuple]] = {c: [] for c in stats}
     _merge(best, _best(_one_deletion_pairs(values, floor, top), top), top)
 
+    blockwise = {}
+    for c, rows in best.items():
+        if stats[c]["n"] <= ALL_PAIRS and stats[c]["max"] <= BLOCK_LENGTH:
+            t = max(floor, rows[-1][3]) if len(rows) == top else floor
+            if _reach(t, stats[c]):
+                blockwise[c] = t
+    if blockwise:
+        _merge(best, _best(_block_pairs(values, blockwise, stats, top), top), top)
+
     above = 1.0
     for tier in TIERS:
         tier = max(tier, floor)
         bar = {}  # what a further pair must reach to change a column's answer
         for c, rows in best.items():
+            if c in blockwise:
+                continue
             full = len(rows) == top
             if full and rows[-1][3] >= above:
                 continue  # everything this similar was found at the threshold before
@@ -108,7 +127,10 @@ def _search(values: DataFrame, floor: float, top: int) -> DataFrame:
             if _reach(t, stats[c]):
                 bar[c] = t
         if bar:
-            _merge(best, _best(_gram_pairs(values, bar, stats), top), top)
+            lowest = {c: max(floor, best[c][-1][3]) if len(best[c]) == top else floor for c in bar}
+            pairs, settled = _gram_pairs(values, bar, stats, top, lowest)
+            _merge(best, _best(pairs, top), top)
+            blockwise |= settled
         above = tier
         if tier <= floor:
             break
@@ -202,7 +224,25 @@ def _bands(t: float, longest: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _gram_pairs(values: DataFrame, bar: dict[str, float], stats: dict) -> DataFrame:
+def _block_pairs(values: DataFrame, bar: dict[str, float], stats: dict, top: int) -> DataFrame:
+    """The best pairs of each pair of blocks of a column, from the column's bar up."""
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        column, low, high = pdf["column"].iloc[0], pdf["low"].iloc[0], pdf["high"].iloc[0]
+        left, right = (pdf.loc[pdf["block"] == b, "value"].tolist() for b in (low, high))
+        found = best_pairs(left, None if low == high else right, bar[column], top)
+        return pd.DataFrame([(column, *f) for f in found], columns=["column", "a", "b", "sim"])
+
+    blocks = F.create_map(*[F.lit(x) for c in bar for x in (c, -(-stats[c]["n"] // BLOCK))])[F.col("column")]
+    rows = values.where(F.col("column").isin(list(bar))).select("column", "value", F.pmod(F.xxhash64("value"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("column", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "value")
+    return rows.groupBy("column", "low", "high").applyInPandas(meet, "column string, a string, b string, sim double")
+
+
+def _gram_pairs(values: DataFrame, bar: dict[str, float], stats: dict, top: int, lowest: dict[str, float]) -> tuple[DataFrame, dict[str, float]]:
+    """Pairs from each column's bar up, and the columns that were compared block by block instead, from ``lowest`` up."""
+
     def per_column(figures: dict[str, float]) -> Column:
         return F.create_map(*[F.lit(x) for kv in figures.items() for x in kv])[F.col("column")]
 
@@ -210,7 +250,7 @@ def _gram_pairs(values: DataFrame, bar: dict[str, float], stats: dict) -> DataFr
     bands = {c: _bands(x, stats[c]["max"]) for c, x in bar.items()}
     bands = {c: b for c, b in bands.items() if b}
     if not bands:
-        return values.sparkSession.createDataFrame([], "column string, a string, b string, sim double")
+        return values.sparkSession.createDataFrame([], "column string, a string, b string, sim double"), {}
     v = values.where(F.col("column").isin(list(bands))).select(
         "column",
         "value",
@@ -248,9 +288,11 @@ def _gram_pairs(values: DataFrame, bar: dict[str, float], stats: dict) -> DataFr
     ).select("column", "value", "id", "len", "t", "band.low", "band.high", "band.q")
     # A partner may cost this many of the value's own grams, so among one more of them one is shared.
     lost = F.floor(2.0 * F.col("q") * n * (1 - t) / (2 - t) + _EPS)
-    tokens = sides.select(
-        "column", "low", "high", "id", "len", "t", (lost + 1).alias("prefix"), F.explode(gram_tokens_udf("value", "q")).alias("gram")
-    )
+    grams = F.transform(F.sequence(F.lit(1), n - F.col("q") + 1), lambda i: F.substring(F.col("value"), i, F.col("q")))
+    cut = sides.where(n >= F.col("q")).select("column", "low", "high", "id", "len", "t", (lost + 1).alias("prefix"), F.explode(grams).alias("gram"))
+    # Repeats are numbered, so that a value's grams are a set.
+    cut = cut.groupBy(*cut.columns).agg(F.count("*").alias("times")).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    tokens = cut.select("column", "low", "high", "id", "len", "t", "prefix", F.concat("gram", "time").alias("gram"))
     common = tokens.groupBy("column", "low", "gram").agg(F.count("*").alias("n")).where("n > 1")
     # A gram that only one value has cannot be shared, but it does use up a place in the prefix.
     ranked = tokens.join(common, ["column", "low", "gram"], "left")
@@ -260,16 +302,21 @@ def _gram_pairs(values: DataFrame, bar: dict[str, float], stats: dict) -> DataFr
         .where((F.col("r") <= F.col("prefix")) & F.col("n").isNotNull())
         .select("column", "low", "high", "gram", "id", "len", "t", "n")
     )
-    # A gram of many members is cut into blocks: each member meets every block in a task of its own.
+    rare = materialise(rare, "rare-grams")
+    shares = rare.groupBy("column", "low", "gram").agg(F.count("*").alias("m"))
+    work = {r["column"]: r["pairs"] for r in shares.groupBy("column").agg(F.sum(F.col("m") * F.col("m").cast("double")).alias("pairs")).collect()}
+    crowded = {c for c, w in work.items() if stats[c]["max"] <= BLOCK_LENGTH and w * GRAM_COST > float(stats[c]["n"]) ** 2}
+    rare = rare.where(~F.col("column").isin(list(crowded))) if crowded else rare
+    # A gram of many members is cut into blocks on both sides; each pair of blocks is a key of its own.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = rare.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    right = rare.select(
-        "column", "low", "gram", F.col("id").alias("id2"), F.col("len").alias("len2"),
-        F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"),
-    )
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    left = rare.withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", mine)
+    right = rare.withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "column", "low", "gram", F.col("id").alias("id2"), F.col("len").alias("len2"), "x", mine.alias("y")
+    )
     shorter, longer = F.least("len", "len2"), F.greatest("len", "len2")
     met = (
-        left.join(right, ["column", "low", "gram", "block"])
+        left.join(right, ["column", "low", "gram", "x", "y"])
         .where((F.col("id") < F.col("id2")) & longer.between(F.col("low"), F.col("high")))
         .where(2 * shorter >= t * (shorter + longer) - _EPS)
         .select("column", "id", "id2", "t")
@@ -278,10 +325,18 @@ def _gram_pairs(values: DataFrame, bar: dict[str, float], stats: dict) -> DataFr
     text = v.select("column", F.col("id").alias("k"), "value", "len")
     one = text.select("column", F.col("k").alias("id"), F.col("value").alias("x"), F.col("len").alias("lx"))
     two = text.select("column", F.col("k").alias("id2"), F.col("value").alias("y"), F.col("len").alias("ly"))
+    # What is left is pruned without Python: no two texts are fewer insertions and deletions apart than edits.
+    allowed = F.floor((1 - t) * (F.col("lx") + F.col("ly")) + _EPS).cast("int")
+    near = F.levenshtein("x", "y") <= allowed
     scored = (
         met.join(one, ["column", "id"])
         .join(two, ["column", "id2"])
+        .where(near)
         .withColumn("sim", 2.0 * lcs("x", "y") / (F.col("lx") + F.col("ly")))
         .where((F.col("sim") >= t - _EPS) & (F.col("sim") < 1.0))
     )
-    return scored.select("column", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
+    found = scored.select("column", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
+    floors = {c: lowest[c] for c in crowded}
+    if floors:
+        found = found.unionByName(_block_pairs(values, floors, stats, top))
+    return found, floors

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tablecheck.functions.similarity import gram_tokens, lcs_length
+from tablecheck.functions.similarity import best_pairs, lcs_length
 from tablecheck.operators import neardup
 
 
@@ -33,10 +33,6 @@ def test_lcs():
         assert lcs_length(a, b) == brute_lcs(a, b)
 
 
-def test_gram_tokens_number_repeats():
-    assert gram_tokens("aaab", 2) == ["aa1", "aa2", "ab1"]
-
-
 @pytest.mark.parametrize("t", [0.8, 0.83, 0.9, 0.944, 0.95, 0.98, 0.99])
 def test_every_side_keeps_a_gram(t):
     """The bound behind the prefix filter, checked for every pair of lengths it is used for."""
@@ -82,9 +78,12 @@ def words(rnd, n, lengths, alphabet):
         (6, 25, range(4, 7), "aé"),
     ],
 )
-@pytest.mark.parametrize("small_text", [0, 200_000])
-def test_equals_brute_force(spark, monkeypatch, seed, n, lengths, alphabet, small_text):
+@pytest.mark.parametrize("small_text, all_pairs, gram_cost", [(0, 0, 0), (200_000, 0, 0), (0, 0, 1e9), (0, 10_000, 20)])
+def test_equals_brute_force(spark, monkeypatch, seed, n, lengths, alphabet, small_text, all_pairs, gram_cost):
+    """Grams tier by tier, grams at once, grams given up for blocks, and blocks from the start."""
     monkeypatch.setattr(neardup, "SMALL_TEXT", small_text)
+    monkeypatch.setattr(neardup, "ALL_PAIRS", all_pairs)
+    monkeypatch.setattr(neardup, "GRAM_COST", gram_cost)
     monkeypatch.setattr(neardup, "BLOCK", 5)
     values = words(random.Random(seed), n, lengths, alphabet)
     df = spark.createDataFrame([(v,) for v in values], "c string")
@@ -92,6 +91,16 @@ def test_equals_brute_force(spark, monkeypatch, seed, n, lengths, alphabet, smal
     assert got == brute([v.strip() for v in values])
 
 
+def test_best_pairs_of_blocks():
+    rnd = random.Random(4)
+    left, right = words(rnd, 30, range(2, 20), "abcde"), words(rnd, 30, range(2, 20), "abcde")
+    both = brute(left + right, top=10**6)
+    cross = [p for p in both if (p[0] in left and p[1] in right) or (p[1] in left and p[0] in right)]
+    got = [(a, b, round(100 * s, 6)) for a, b, s in best_pairs(left, right, 0.8, 5)]
+    assert got == cross[:5]
+    assert [(a, b, round(100 * s, 6)) for a, b, s in best_pairs(left, None, 0.8, 5)] == brute(left, top=5)
+
+
 def test_low_pairs_are_found_when_nothing_is_closer(spark):
     # Best pairs at exactly 80, 83.3 and 85.7: each tier of the search has to be reached.
     values = ["abcdefghij", "abcdefghXY", "klmnopqrstuv", "klmnopqrsXYZ"[:11] + "w", "zz", "zzyy"]
