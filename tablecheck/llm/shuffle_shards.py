@@ -78,7 +78,7 @@ def communication_matrix(spark: SparkSession, part_counts: DataFrame, parts: int
     children, so no node holds more than that many arrays and the nodes of a level are drawn side by side.
     """
     depth = max(1, math.ceil(math.log(max(parts, 2), FAN_OUT) - 1e-9))
-    level = spark.range(FAN_OUT**depth if FAN_OUT**depth <= 16 * parts else parts).select(F.col("id").alias("node"))
+    level = spark.range(parts).select(F.col("id").alias("node"))
     level = level.join(part_counts.select(F.col("part").alias("node"), "n"), "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     levels = []
     for _ in range(depth):
