@@ -39,7 +39,7 @@ def test_recall_on_given_vectors(spark):
     table = given("embeddings")
     rows = list(zip(table.vec_id.tolist(), [v.tolist() for v in table.embedding]))
     t = vectors(spark, rows)
-    got = nearest_neighbours(t, t.filter("vec_id % 10 = 0"), list_size=16, probes=8).toPandas()
+    got = nearest_neighbours(t, t.filter("vec_id % 10 = 0"), list_size=16, probes=16).toPandas()
     want = brute(rows, set(range(0, 10**6, 10)), 10)
     recall = [len({i for _, i in want[q]} & set(g.vec_id)) / 10 for q, g in got.groupby("query_id")]
     assert len(recall) == len(want) and np.mean(recall) >= 0.9
