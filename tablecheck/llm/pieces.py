@@ -26,15 +26,12 @@ class PieceMemory:
 
     def learn(self, pieces: Iterable[list[str]]) -> dict:
         """Values of all pieces of a batch; a batch is never split by the limit."""
-        fresh: dict[str, None] = {}
         if len(self.known) > self.limit:
             self.known = {}
-        known = self.known
+        known, met = self.known, set()
         for some in pieces:
-            for p in some:
-                if p not in known:
-                    fresh[p] = None
+            met.update(some)
+        fresh = [p for p in met if p not in known]
         if fresh:
-            new = list(fresh)
-            known.update(zip(new, self.encode(new), strict=True))
+            known.update(zip(fresh, self.encode(fresh), strict=True))
         return known

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -52,22 +53,47 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return values
 
 
-#: The tokenizer's own splitter always cuts between a word and the space or line break before it, so words are
-#: encoded one by one. Texts with characters that engines disagree to call white space are encoded whole.
-_PIECES = re.compile(r"[ \n]?\S+|\s+(?!\S)|\s+")
-_UNSURE = re.compile("[\x1c-\x1f\x85᠎﻿]")
+#: The tokenizer's own splitter always cuts before a space or line break that a word follows, and between letters and
+#: other ASCII characters, so such pieces are encoded one by one. Texts with characters that engines disagree to call
+#: white space are encoded whole.
+_PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7f])|\n(?=\S)|[ \n]?\S+|\s+(?!\S)|\s+")
+_UNSURE = re.compile("[\x1c-\x1f\x85\u180e\ufeff]")
+_WORD = re.compile(r" \S+").fullmatch
+#: Pieces remembered per worker, and pieces encoded as one string.
+REMEMBERED, JOINED = 1_000_000, 512
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> PieceMemory:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    begins = np.zeros(max(vocabulary.values()) + 1, bool)
+    begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # the byte-level sign of a space
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    memory = PieceMemory(encode)
+    def encode(pieces: list[str]) -> list[bytes]:
+        # a space and a word: strings of them are cut again where a token begins with the space
+        words = [k for k, p in enumerate(pieces) if _WORD(p)]
+        out: list[bytes] = [b""] * len(pieces)
+        for k, ids in zip(words, _cut(ids_of(["".join([pieces[k] for k in words[i : i + JOINED]]) for i in range(0, len(words), JOINED)])), strict=True):
+            out[k] = ids
+        rest = sorted(set(range(len(pieces))) - set(words))
+        for k, ids in zip(rest, ids_of([pieces[k] for k in rest]), strict=True):
+            out[k] = ids.tobytes()
+        return out
+
+    def _cut(strings: list[np.ndarray]) -> list[bytes]:
+        whole = np.concatenate([*strings, np.zeros(0, "<u4")]).astype("<u4")
+        edges = (4 * np.append(np.flatnonzero(begins[whole]), len(whole))).tolist()
+        body = whole.tobytes()
+        return [body[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    memory = PieceMemory(encode, REMEMBERED)
     # special tokens are searched in the whole text, so texts that hold one are encoded whole
     memory.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     return memory
@@ -79,7 +105,7 @@ def encode_texts(texts: list[str], path: str, end_id: int | None) -> list[bytes]
     cut = [[t] if _UNSURE.search(t) or any(s in t for s in memory.special) else _PIECES.findall(t) for t in texts]
     known = memory.learn(cut)
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    return [b"".join([known[p] for p in pieces]) + end for pieces in cut]
+    return [b"".join(map(known.__getitem__, pieces)) + end for pieces in cut]
 
 
 def batches(stream: Iterator[pa.RecordBatch], text: str, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
