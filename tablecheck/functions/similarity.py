@@ -59,6 +59,8 @@ def best_pairs(left: list[str], right: list[str] | None, floor: float, top: int)
     own = right is None
     right = left if own else right
     a, b = class_counts(left), class_counts(right)
+    occurs = a.any(axis=0) | b.any(axis=0)
+    a, b = a[:, occurs], b[:, occurs]
     len_a, len_b = (np.array([len(t) for t in x]) for x in (left, right))
     found: list[tuple[float, str, str]] = []
     for i, x in enumerate(left):

@@ -35,20 +35,37 @@ INTEGER = r"\A[+\-]?\d+\z"
 # before day-first; an impossible month or day makes the cast NULL and the next rewrite is tried.
 DATE_SHAPES = [
     (r"\A(\d{4}-\d{1,2}-\d{1,2})\z", ["$1"]),
-    (r"\A(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\z", ["$1 $2"]),
-    (r"\A(\d{1,2})/(\d{1,2})/(\d{4})((?: \d{2}:\d{2}(?::\d{2})?)?)\z", ["$3-$1-$2$4", "$3-$2-$1$4"]),
+    (r"\A(\d{4}-\d{2}-\d{2})[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\z", ["$1 $2"]),
+    (r"\A(\d{4}-\d{2}-\d{2})[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?) ?Z\z", ["$1 $2Z"]),
+    (r"\A(\d{4}-\d{2}-\d{2})[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?) ?([+\-]\d{2}):?(\d{2})\z", ["$1 $2$3:$4"]),
+    (r"\A(\d{1,2})/(\d{1,2})/(\d{4})((?: \d{1,2}:\d{2}(?::\d{2})?)?)\z", ["$3-$1-$2$4", "$3-$2-$1$4"]),
     (r"\A(\d{1,2})-(\d{1,2})-(\d{4})\z", ["$3-$1-$2", "$3-$2-$1"]),
+    (r"\A(\d{1,2})\.(\d{1,2})\.(\d{4})\z", ["$3-$1-$2", "$3-$2-$1"]),
     (r"\A(\d{4})/(\d{1,2})/(\d{1,2})\z", ["$1-$2-$3"]),
     (r"\A(\d{4})(\d{2})(\d{2})\z", ["$1-$2-$3"]),
     (r"\A(\d{4}(?:-\d{2})?)\z", ["$1"]),
+    # A bare time is a time of the first day of the era; it says nothing about a day.
+    (r"\A(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\z", ["1970-01-01 $1"]),
 ]
-# Month names: (shape, format).
+# Month names and 12-hour clocks: (shape, formats tried in turn), without commas.
+_CLOCK = r" \d{1,2}:\d{2} ?[AaPp][Mm]"
+_CLOCK_SECONDS = r" \d{1,2}:\d{2}:\d{2} ?[AaPp][Mm]"
 NAMED_MONTHS = [
-    (r"\A[A-Z][a-z]{2} \d{1,2},? \d{4}\z", "MMM d yyyy"),
-    (r"\A\d{1,2} [A-Z][a-z]{2} \d{4}\z", "d MMM yyyy"),
+    (r"\A[A-Z][a-z]{2} \d{1,2},? \d{4}\z", ["MMM d yyyy"]),
+    (r"\A\d{1,2} [A-Z][a-z]{2} \d{4}\z", ["d MMM yyyy"]),
+    (r"\A\d{1,2}-[A-Z][a-z]{2}-\d{4}\z", ["d-MMM-yyyy"]),
+    (r"\A[A-Z][a-z]{3,8} \d{1,2},? \d{4}\z", ["MMMM d yyyy"]),
+    (r"\A\d{1,2} [A-Z][a-z]{3,8} \d{4}\z", ["d MMMM yyyy"]),
+    (rf"\A\d{{1,2}}/\d{{1,2}}/\d{{4}}{_CLOCK}\z", ["M/d/yyyy h:mm a", "d/M/yyyy h:mm a"]),
+    (rf"\A\d{{1,2}}/\d{{1,2}}/\d{{4}}{_CLOCK_SECONDS}\z", ["M/d/yyyy h:mm:ss a", "d/M/yyyy h:mm:ss a"]),
+    (rf"\A\d{{4}}-\d{{2}}-\d{{2}}{_CLOCK}\z", ["yyyy-MM-dd h:mm a"]),
+    (rf"\A\d{{4}}-\d{{2}}-\d{{2}}{_CLOCK_SECONDS}\z", ["yyyy-MM-dd h:mm:ss a"]),
 ]
 # Anything a shape can match: a cheap test that spares most cells the rest.
-MAYBE_DATE = r"\A(?:\d{1,4}[-/]\d[-/ T:.\d]{0,24}|\d{4}|\d{8}|(?:\d{1,2} )?[A-Z][a-z]{2} [ ,\d]{4,8})\z"
+MAYBE_DATE = (
+    r"\A(?:\d{1,4}[-/]\d[-+/ T:.\d]{0,32}(?:Z| ?[AaPp][Mm])?|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}:\d{2}[:.\d]{0,10}|\d{4}|\d{8}"
+    r"|[A-Z][a-z]{2,8} [ ,\d]{6,9}|\d{1,2}[ -][A-Z][a-z]{2,8}[ -]\d{4})\z"
+)
 FIRST_YEAR, LAST_YEAR = 1678, 2262
 
 
@@ -84,7 +101,8 @@ def parse_datetime(stripped: Column) -> Column:
     for shape, rewrites in DATE_SHAPES:
         tries = [F.regexp_replace(stripped, shape, r).try_cast("timestamp") for r in rewrites]
         out = out.when(stripped.rlike(shape), F.coalesce(*tries))
-    for shape, fmt in NAMED_MONTHS:
-        plain = F.regexp_replace(stripped, ",", "")
-        out = out.when(stripped.rlike(shape), F.try_to_timestamp(plain, F.lit(fmt)))
+    plain = F.upper(F.regexp_replace(F.regexp_replace(stripped, ",", ""), r"(?i) ?([AP]M)\z", " $1"))
+    for shape, formats in NAMED_MONTHS:
+        told = plain if " a" in formats[0] else F.regexp_replace(stripped, ",", "")
+        out = out.when(stripped.rlike(shape), F.coalesce(*[F.try_to_timestamp(told, F.lit(f)) for f in formats]))
     return F.when(F.year(out).between(FIRST_YEAR, LAST_YEAR), out)

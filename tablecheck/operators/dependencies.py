@@ -15,11 +15,11 @@ SCREEN_SHARE = 64
 
 
 def functional_dependencies(
-    df: DataFrame, rows: int, distinct: dict[str, int], max_pairs: int | None = 200
+    df: DataFrame, rows: int, distinct: dict[str, int], max_pairs: int | None = None
 ) -> list[tuple[str, str, int]]:
     """``(determinant, dependent, groups checked)`` for every ordered pair that holds, on all rows.
 
-    ``max_pairs`` is a budget of ordered column pairs in table order; ``None`` checks all.
+    ``max_pairs`` is an optional budget of ordered column pairs in table order; by default all are checked.
     """
     pairs: list[tuple[str, str]] = []
     for a in df.columns:

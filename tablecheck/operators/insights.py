@@ -16,7 +16,6 @@ from tablecheck.operators.quantiles import exact_quantiles, group_quantile, nume
 
 # A column whose name contains one of these may hold dates.
 DATE_NAME_PARTS = ["data", "date", "dt", "mes", "ano", "year", "month", "dia", "day", "periodo", "cadastro"]
-DATE_PROBE = 20  # fixed value: non-null cells of such a column that must all parse
 HISTOGRAM_BINS = 30  # fixed value
 
 AGGREGATES = ("mean", "sum", "count", "median", "max", "min")
@@ -39,43 +38,37 @@ def grouping_columns(p: Profile) -> list[str]:
     return [c for c in p.text if 2 <= p.distinct[c] <= 25]
 
 
-def date_columns(p: Profile, order_by: str | None = None) -> list[str]:
-    """Columns suggested as dates, then columns named like dates whose first cells all parse.
+def date_columns(p: Profile) -> list[str]:
+    """Columns suggested as dates, then columns named like dates all of whose cells parse.
 
-    A table has no first cells without an order; ``order_by`` gives one.
+    Text cells are in the profile's counters; other columns are counted together in one scan.
     """
     found = [c for c, _, kind, _ in p.suggestion_rows() if kind == "datetime"]
-    named = [c for c in p.columns if c not in found and any(part in c.lower() for part in DATE_NAME_PARTS)]
-    probes = None
-    for c in named:
-        if p.classes[c] in (C.DATETIME, C.NESTED):
-            continue
-        cells = p.df.where(col(c).isNotNull())
-        cells = cells.orderBy(col(order_by)) if order_by else cells
-        probe = cells.limit(DATE_PROBE).select(F.lit(c).alias("column"), X.strip(col(c).cast("string")).alias("s"))
-        probes = probe if probes is None else probes.unionByName(probe)
-    bad = set()
-    if probes is not None:
-        rows = probes.where(X.parse_datetime(F.col("s")).isNull()).select("column").distinct().collect()
-        bad = {r["column"] for r in rows}
-    return found + [c for c in named if c not in bad and p.classes[c] != C.NESTED]
-
-
-def column_choice(p: Profile, order_by: str | None = None) -> DataFrame:
+    named = [c for c in p.columns if c not in found and p.classes[c] != C.NESTED and any(part in c.lower() for part in DATE_NAME_PARTS)]
+    others = [c for c in named if p.classes[c] not in (C.DATETIME, C.TEXT)]
+    parse = {c: X.parse_datetime(X.strip(col(c).cast("string"))) for c in others}
+    bad = measure(p.df, {c: F.count_if(col(c).isNotNull() & date.isNull()) for c, date in parse.items()}) if others else {}
+    bad |= {c: p.non_null(c) - p.text_figures[c]["dates"] for c in named if p.classes[c] == C.TEXT and not p.empty}
+    return found + [c for c in named if not bad.get(c)]
+
+
+def column_choice(p: Profile) -> DataFrame:
     rows = [(c, "metric") for c in analysable_columns(p)]
     rows += [(c, "group") for c in grouping_columns(p)]
-    rows += [(c, "date") for c in date_columns(p, order_by)]
+    rows += [(c, "date") for c in date_columns(p)]
     return local_frame(p.spark, rows, "column string, role string")
 
 
-def kpi_columns(p: Profile, most: int = 6) -> list[str]:
+def kpi_columns(p: Profile, most: int | None = None) -> list[str]:
+    """The analysable columns, or all numeric ones if there is none; at most ``most`` if that is given."""
     return (analysable_columns(p) or p.numeric)[:most]
 
 
-def display_columns(p: Profile, rank_by: str) -> list[str]:
-    """The ranked column, three grouping columns and the first analysable ones other than it."""
-    others = [c for c in analysable_columns(p)[:3] if c != rank_by]
-    return list(dict.fromkeys([rank_by, *grouping_columns(p)[:3], *others]))
+def display_columns(p: Profile, rank_by: str, groups: int | None = None, metrics: int | None = None) -> list[str]:
+    """The ranked column, the grouping columns and the analysable ones other than it; at most ``groups`` and
+    ``metrics`` of them (the first) if these are given."""
+    others = [c for c in analysable_columns(p)[:metrics] if c != rank_by]
+    return list(dict.fromkeys([rank_by, *grouping_columns(p)[:groups], *others]))
 
 
 # ── statistics ─────────────────────────────────────────────────────────────────────────────────
@@ -285,8 +278,9 @@ def preview(df: DataFrame, rows: int = 60, order_by: list[str] = ()) -> DataFram
     return (df.orderBy(*[col(c) for c in order_by]) if order_by else df).limit(rows)
 
 
-def missing_map(df: DataFrame, order_by: list[str], rows: int = 200, columns: int = 30) -> DataFrame:
-    """0/1 null flags of the first rows and columns, as drawn in a heat map."""
+def missing_map(df: DataFrame, order_by: list[str], rows: int = 200, columns: int | None = None) -> DataFrame:
+    """0/1 null flags of the first rows, as drawn in a heat map; ``columns`` draws only the first of them.
+    :func:`missing_patterns` covers all rows."""
     shown = df.columns[:columns]
     first = C.normalise_missing(df).orderBy(*[col(c) for c in order_by]).limit(rows)
     w = Window.orderBy(*[col(c) for c in order_by])  # over at most `rows` rows

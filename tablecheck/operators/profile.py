@@ -31,8 +31,8 @@ _WIDTHS = {
 class Profile:
     """Lazy collection of per-column figures of ``df``.
 
-    ``approx_distinct`` counts distinct values by sketch; ``fd_max_pairs`` is the budget of column
-    pairs for dependencies (``None`` for all) and ``fd_sample`` an optional share of rows to check them
+    ``approx_distinct`` counts distinct values by sketch; ``fd_max_pairs`` is an optional budget of column
+    pairs for dependencies (by default all are checked) and ``fd_sample`` an optional share of rows to check them
     on (candidates are chosen on the full table, and by default so is the check); ``near_dup_columns`` limits the near-duplicate search,
     by default every text column takes part.
     """
@@ -42,7 +42,7 @@ class Profile:
         df: DataFrame,
         *,
         approx_distinct: bool = False,
-        fd_max_pairs: int | None = 200,
+        fd_max_pairs: int | None = None,
         fd_sample: float | None = None,
         near_dup_threshold: float = 80.0,
         near_dup_columns: list[str] | None = None,

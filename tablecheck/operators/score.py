@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
 from tablecheck.functions.columns import local_frame
@@ -82,42 +85,52 @@ def score_breakdown(p: Profile, weights: dict[str, float] | None = None) -> Data
     return local_frame(p.spark, list(cuts.items()), "dimension string, deduction double")
 
 
-def issue_rows(p: Profile) -> list[tuple[str, str, str, str]]:
-    """``(priority, issue, details, action)``, most urgent first."""
+@dataclass(frozen=True)
+class Rule:
+    """A kind of problem: where it is read off, how bad it is, what is said and advised.
+
+    ``found`` lists the cases, worst first; ``serious`` tells the urgent ones; ``text`` describes a case.
+    """
+
+    issue: str
+    found: Callable[[Profile], list]
+    text: Callable
+    advice: str
+    serious: Callable = lambda case: False
+
+
+# A quarter of a column missing, and more than a hundred copies, are urgent.
+RULES = [
+    Rule("missing data", lambda p: sorted(p.missing_rows(), key=lambda r: -r[2]), lambda r: f"column {r[0]} is {r[2]}% missing",
+         "impute, or drop the column if it carries little signal", lambda r: r[2] >= 25),
+    Rule("duplicate rows", lambda p: [p.duplicate_rows] if not p.empty and p.duplicate_rows else [], lambda n: f"{n} duplicate rows", "drop exact duplicates", lambda n: n > 100),
+    Rule("constant column", lambda p: p.constant_columns, lambda c: f"column {c} never varies", "drop before modelling"),
+    Rule("type mismatch", lambda p: sorted(p.suggestion_rows(), key=lambda r: -r[3]), lambda r: f"column {r[0]} looks {r[2]} ({r[3]}% of values)", "convert before analysis"),
+    Rule("suspicious cardinality", lambda p: p.cardinality_rows(), lambda r: f"column {r[0]}: {r[3]}, {r[2]}% unique", "check whether it is a key or a coded category"),
+    Rule("near-duplicate text", lambda p: list(dict.fromkeys(r[0] for r in p.near_dup_rows())), lambda c: f"column {c} has values that are almost alike", "standardise the values"),
+]
+
+
+def issue_rows(p: Profile, most: dict[str, int] | None = None) -> list[tuple[str, str, str, str]]:
+    """``(priority, issue, details, action)``, most urgent first.
+
+    ``most`` limits the cases listed of an issue; what it leaves out is counted in a row of its own.
+    """
     p.gather("duplicate_rows", "text_figures", "distinct")
     rows: list[tuple[str, str, str, str]] = []
-    for c, _, pct in sorted(p.missing_rows(), key=lambda r: -r[2])[:4]:
-        rows.append((
-            "high" if pct >= 25 else "medium", "missing data", f"column {c} is {pct}% missing",
-            "impute, or drop the column if it carries little signal",
-        ))
-    if not p.empty and p.duplicate_rows > 0:
-        rows.append((
-            "high" if p.duplicate_rows > 100 else "medium", "duplicate rows",
-            f"{p.duplicate_rows} duplicate rows", "drop exact duplicates",
-        ))
-    for c in p.constant_columns[:3]:
-        rows.append(("medium", "constant column", f"column {c} never varies", "drop before modelling"))
-    for c, _, kind, pct in sorted(p.suggestion_rows(), key=lambda r: -r[3])[:3]:
-        rows.append((
-            "medium", "type mismatch", f"column {c} looks {kind} ({pct}% of values)", "convert before analysis",
-        ))
-    for c, _, pct, flag in p.cardinality_rows():
-        rows.append((
-            "medium", "suspicious cardinality", f"column {c}: {flag}, {pct}% unique",
-            "check whether it is a key or a coded category",
-        ))
-    for c in list(dict.fromkeys(r[0] for r in p.near_dup_rows()))[:3]:
-        rows.append((
-            "medium", "near-duplicate text", f"column {c} has values that are almost alike", "standardise the values",
-        ))
+    for rule in RULES:
+        cases = rule.found(p)
+        limit = (most or {}).get(rule.issue, len(cases))
+        rows += [("high" if rule.serious(x) else "medium", rule.issue, rule.text(x), rule.advice) for x in cases[:limit]]
+        if len(cases) > limit:
+            rows.append(("medium", rule.issue, f"{len(cases) - limit} more", rule.advice))
     if not rows:
         rows.append(("low", "no critical problem", "nothing blocking was found", "go on to analysis"))
     return sorted(rows, key=lambda r: (_SEVERITY[r[0]], r[1]))
 
 
-def issues(p: Profile) -> DataFrame:
-    rows = [(i, *r) for i, r in enumerate(issue_rows(p), 1)]
+def issues(p: Profile, most: dict[str, int] | None = None) -> DataFrame:
+    rows = [(i, *r) for i, r in enumerate(issue_rows(p, most), 1)]
     return local_frame(p.spark, rows, "rank int, priority string, issue string, details string, action string")
 
 
@@ -134,7 +147,7 @@ def alerts(p: Profile) -> DataFrame:
     if s["duplicate_rows_pct"] > 5:
         rows.append(("warning", "duplicates", f"{s['duplicate_rows_pct']:.2f}% of rows are duplicates"))
     if p.constant_columns:
-        rows.append(("info", "constant", "constant columns: " + ", ".join(p.constant_columns[:6])))
+        rows.append(("info", "constant", "constant columns: " + ", ".join(p.constant_columns)))
     for c, pattern, pct, _ in p.pattern_rows():
         rows.append(("info", "pattern", f"column {c} looks like {pattern} ({pct:.1f}%)"))
     return local_frame(p.spark, rows, "severity string, topic string, message string")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecheck.functions import text as X
 from tablecheck.functions.columns import col, type_names
 from tablecheck.operators import clean as K
 from tablecheck.operators import dependencies, duplicates, frequency, neardup
@@ -76,8 +77,8 @@ register(
 )
 register(
     "duplicate_rows_lineitem",
-    on("lineitem", lambda df: _duplicates(df.select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax"))),
-    "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax FROM lineitem)) AS duplicate_rows FROM lineitem",
+    on("lineitem", lambda df: _duplicates(df.unionByName(df.where("l_orderkey % 10 = 0")))),  # all columns, a tenth of the orders twice
+    "WITH l AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 10 = 0) SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM l)) AS duplicate_rows FROM l",
 )
 register(
     "footprint",
@@ -270,13 +271,13 @@ found AS (
   SELECT * FROM (SELECT 1 AS src, row_number() OVER (ORDER BY rows - non_null DESC, pos) AS seq,
     CASE WHEN {Q.pct('rows - non_null', 'rows')} >= 25 THEN 'high' ELSE 'medium' END AS priority, 'missing data' AS issue,
     'column ' || col || ' is ' || {Q.pct('rows - non_null', 'rows')} || '% missing' AS details,
-    'impute, or drop the column if it carries little signal' AS action FROM basics WHERE rows > non_null) WHERE seq <= 4
+    'impute, or drop the column if it carries little signal' AS action FROM basics WHERE rows > non_null)
   UNION ALL SELECT 2, 1, CASE WHEN duplicate_rows > 100 THEN 'high' ELSE 'medium' END, 'duplicate rows',
     duplicate_rows || ' duplicate rows', 'drop exact duplicates' FROM summary WHERE duplicate_rows > 0
   UNION ALL SELECT * FROM (SELECT 3, row_number() OVER (ORDER BY pos) AS seq, 'medium', 'constant column',
-    'column ' || col || ' never varies', 'drop before modelling' FROM basics WHERE constant) WHERE seq <= 3
+    'column ' || col || ' never varies', 'drop before modelling' FROM basics WHERE constant)
   UNION ALL SELECT * FROM (SELECT 4, row_number() OVER (ORDER BY confidence DESC, pos) AS seq, 'medium', 'type mismatch',
-    'column ' || col || ' looks ' || kind || ' (' || confidence || '% of values)', 'convert before analysis' FROM suggestions) WHERE seq <= 3
+    'column ' || col || ' looks ' || kind || ' (' || confidence || '% of values)', 'convert before analysis' FROM suggestions)
   UNION ALL SELECT 5, row_number() OVER (ORDER BY pos), 'medium', 'suspicious cardinality',
     'column ' || col || ': ' || CASE WHEN is_text THEN 'high cardinality (possible id/key)' ELSE 'low cardinality (possible coded category)' END
     || ', ' || share || '% unique', 'check whether it is a key or a coded category'
@@ -297,7 +298,7 @@ register(
     "ELSE 'quality is adequate for analysis' END AS message FROM sc "
     "UNION ALL SELECT 'warning', 'missing', format('{:.2f}', missing_cells_pct) || '% of cells are missing' FROM summary WHERE missing_cells_pct > 20 "
     "UNION ALL SELECT 'warning', 'duplicates', format('{:.2f}', duplicate_rows_pct) || '% of rows are duplicates' FROM summary WHERE duplicate_rows_pct > 5 "
-    "UNION ALL SELECT 'info', 'constant', 'constant columns: ' || string_agg(col, ', ' ORDER BY pos) FROM (SELECT * FROM basics WHERE constant ORDER BY pos LIMIT 6) HAVING count(*) > 0 "
+    "UNION ALL SELECT 'info', 'constant', 'constant columns: ' || string_agg(col, ', ' ORDER BY pos) FROM basics WHERE constant HAVING count(*) > 0 "
     "UNION ALL SELECT 'info', 'pattern', 'column ' || \"column\" || ' looks like ' || pattern || ' (' || format('{:.1f}', match_pct) || '%)' FROM pat",
 )
 register(
@@ -309,6 +310,55 @@ register(
     "CASE WHEN duplicate_rows_pct > 5 THEN 'red' WHEN duplicate_rows_pct > 1 THEN 'amber' ELSE 'green' END FROM summary",
 )
 
+# ── guards, samples, wide and large tables ──
+
+
+def _empty_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """A table without rows, and one without columns: every report is empty and says why."""
+    orders = table(spark, sf, "orders")
+    rows = []
+    for name, df in (("no rows", orders.where("o_orderkey < 0")), ("no columns", orders.select()), ("sound", orders)):
+        p = Profile(df)
+        rows.append((name, p.error, p.column_profile().count() if not p.empty else 0))
+    return spark.createDataFrame(rows, "kind string, error string, columns long")
+
+
+register(
+    "empty_guard",
+    _empty_profile,
+    "SELECT 'no rows' AS kind, 'The table has no rows or no columns.' AS error, 0 AS columns UNION ALL SELECT 'no columns', 'The table has no rows or no columns.', 0 "
+    "UNION ALL SELECT 'sound', NULL, (SELECT count(*) FROM information_schema.columns WHERE table_name = 'orders')",
+)
+
+
+def _wide_join(spark: SparkSession, sf: str) -> DataFrame:
+    o, c, n, r = (table(spark, sf, t) for t in ("orders", "customer", "nation", "region"))
+    wide = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    extra = [F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.quarter("o_orderdate").alias("q"), F.substring("o_orderpriority", 1, 1).alias("urgency"), F.floor("c_acctbal").alias("whole_balance")]
+    return wide.select(*_WIDE[:-5], *extra)
+
+
+_WIDE = ["o_custkey", "o_orderstatus", "o_orderpriority", "c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey", "n_nationkey", "n_name", "n_regionkey", "r_regionkey", "r_name",
+         "y", "m", "q", "urgency", "whole_balance"]
+register(
+    "functional_deps_wide",
+    lambda spark, sf: Profile(_wide_join(spark, sf)).functional_deps(),
+    _fd_sql(
+        _WIDE, "wide",
+        "WITH wide AS MATERIALIZED (SELECT " + ", ".join(_WIDE[:-5]) + ", year(o_orderdate) AS y, month(o_orderdate) AS m, quarter(o_orderdate) AS q, o_orderpriority[1:1] AS urgency, floor(c_acctbal) AS whole_balance "
+        "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
+    ),
+)
+register(
+    "profile_documents",
+    profiled(Profile.column_profile, "documents"),
+    Q.union(
+        f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count({c}) AS non_null, count(*) - count({c}) AS missing_count, {Q.pct(f'(count(*) - count({c}))', 'count(*)')} AS missing_pct, "
+        f"count(DISTINCT {c}) AS \"unique\", count(DISTINCT {c}) = 1 AND count({c}) = count(*) AS constant FROM documents"
+        for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))
+    ),
+)
+
 # ── cleaning ───────────────────────────────────────────────────────────────────────────────────
 
 
@@ -461,12 +511,12 @@ register(
 )
 register(
     "date_columns",
-    profiled(lambda p: _names(p, I.date_columns(p, "id"))),
+    profiled(lambda p: _names(p, I.date_columns(p))),
     f"{Q.ALL} SELECT col AS \"column\" FROM suggestions WHERE kind = 'datetime'",
 )
 register(
     "column_choice",
-    profiled(lambda p: I.column_choice(p, "id")),
+    profiled(lambda p: I.column_choice(p)),
     f"{Q.ALL} SELECT col AS \"column\", 'group' AS role FROM basics WHERE dtype = 'string' AND uniq BETWEEN 2 AND 25 "
     "UNION ALL SELECT col, 'date' FROM suggestions WHERE kind = 'datetime' "
     + "".join(
@@ -717,6 +767,44 @@ register(
     "QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, category) <= 12",
 )
 
+# ── dates in text ──
+
+# Shape, format of the date, what is put in front and behind.
+_SHAPES = [
+    ("day", "yyyy-MM-dd", ""), ("zone Z", "yyyy-MM-dd'T'HH:mm:ss", "Z"), ("zone +00:00", "yyyy-MM-dd'T'HH:mm:ss", "+00:00"), ("zone +0000", "yyyy-MM-dd HH:mm:ss", "+0000"),
+    ("month day year", "MMM d, yyyy", ""), ("full month", "MMMM d, yyyy", ""), ("day full month", "d MMMM yyyy", ""), ("day-month-year", "d-MMM-yyyy", ""), ("slashes", "M/d/yyyy", ""),
+    ("twelve hours", "M/d/yyyy h:mm a", ""), ("twelve hours, seconds", "M/d/yyyy h:mm:ss a", ""), ("dots", "MM.dd.yyyy", ""), ("one-digit hour", "yyyy-MM-dd H:mm", ""), ("compact", "yyyyMMdd", ""),
+]
+
+
+def _date_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Order dates written in each shape: how many are read, and how many as the same day."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d"))
+    written = [F.struct(F.lit(name).alias("shape"), F.concat(F.date_format(F.col("d").cast("timestamp"), f), F.lit(tail)).alias("s")) for name, f, tail in _SHAPES]
+    written.append(F.struct(F.lit("impossible").alias("shape"), F.concat(F.date_format("d", "yyyy"), F.lit("-13-41T25:61:00Z")).alias("s")))
+    cells = orders.select("d", F.explode(F.array(*written)).alias("w")).select("d", "w.shape", X.parse_datetime(F.col("w.s")).alias("t"))
+    return cells.groupBy("shape").agg(F.count("d").alias("rows"), F.count("t").alias("parsed"), F.count_if(F.col("t").cast("date") == F.col("d")).alias("same"))
+
+
+register(
+    "date_shapes",
+    _date_shapes,
+    "SELECT shape, count(o_orderdate) AS rows, CASE WHEN shape = 'impossible' THEN 0 ELSE count(o_orderdate) END AS parsed, CASE WHEN shape = 'impossible' THEN 0 ELSE count(o_orderdate) END AS same "
+    f"FROM orders, (VALUES {', '.join(repr((n,)).replace(',)', ')') for n, _, _ in _SHAPES)}, ('impossible')) v(shape) GROUP BY shape",
+)
+
+
+def _named_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns that only their names and all their cells make dates: numbers as days, and text with too few dates to be suggested."""
+    o = table(spark, sf, "orders")
+    day = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyyMMdd")
+    df = o.select("o_orderkey", day.cast("int").alias("order_day"), (day.cast("int") + 100_000_000).alias("year_code"), F.col("o_orderdate").alias("ship_date"),
+                  F.when(F.col("o_orderkey") % 3 == 0, F.lit("soon")).otherwise(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd")).alias("due_date"))
+    return _names(Profile(df), I.date_columns(Profile(df)))
+
+
+register("date_columns_named", _named_dates, "SELECT 'order_day' AS \"column\" FROM orders HAVING count(*) > 0 UNION ALL SELECT 'ship_date' FROM orders HAVING count(*) > 0")
+
 # ── sources and sinks ──────────────────────────────────────────────────────────────────────────
 
 
@@ -764,23 +852,103 @@ register(
 )
 
 
+_ACCENT = "João “€”"
+
+
 def _encodings(spark: SparkSession, sf: str) -> DataFrame:
-    """Names with an accent written in two encodings must read back the same."""
-    df = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("João "), "c_name").alias("name"))
-    out = []
-    for encoding in ("UTF-8", "ISO-8859-1"):
-        got = tables.read_csv(spark, _csv_copy(spark, df, encoding=encoding))
-        out.append(got.df.select(F.lit(got.meta["encoding"]).alias("encoding"), "c_custkey", "name"))
-    return out[0].unionByName(out[1])
+    """Names with accents written in each encoding, with and without a byte-order mark, must read back the same.
+
+    ISO-8859-1 has no quotes and euro sign, so its names have the accent alone.
+    """
+    df = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit(_ACCENT + " "), "c_name").alias("name"))
+    marked = df.withColumnRenamed("c_custkey", "\ufeffc_custkey")
+    windows = df.withColumn("name", F.translate("name", tables.WINDOWS_TO, tables.WINDOWS_FROM))
+    latin = df.withColumn("name", F.regexp_replace("name", " “€”", ""))
+    out = None
+    for label, copy, encoding in (
+        ("UTF-8", df, "UTF-8"), ("UTF-8 marked", marked, "UTF-8"), ("UTF-16LE", marked, "UTF-16LE"), ("UTF-16BE", marked, "UTF-16BE"),
+        ("windows-1252", windows, "ISO-8859-1"), ("ISO-8859-1", latin, "ISO-8859-1"),
+    ):
+        got = tables.read_csv(spark, _csv_copy(spark, copy, encoding=encoding))
+        part = got.df.select(F.lit(label).alias("written"), F.lit(got.meta["encoding"]).alias("encoding"), "c_custkey", "name")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 register(
     "detect_encoding",
     _encodings,
-    "SELECT encoding, c_custkey, 'João ' || c_name AS name FROM customer, (VALUES ('UTF-8'), ('ISO-8859-1')) v(encoding)",
+    f"SELECT written, encoding, c_custkey, CASE WHEN written = 'ISO-8859-1' THEN 'João' ELSE '{_ACCENT}' END || ' ' || c_name AS name FROM customer, "
+    "(VALUES ('UTF-8', 'UTF-8'), ('UTF-8 marked', 'UTF-8'), ('UTF-16LE', 'UTF-16LE'), ('UTF-16BE', 'UTF-16BE'), ('windows-1252', 'windows-1252'), ('ISO-8859-1', 'ISO-8859-1')) v(written, encoding)",
 )
 
 
+def _wide(spark: SparkSession, sf: str) -> DataFrame:
+    """1200 columns whose header alone is longer than 20 000 characters: all must come back with their sums."""
+    names = [f"a_rather_long_column_name_{i}" for i in range(1200)]
+    df = table(spark, sf, "nation").select(*[(F.col("n_nationkey") + i).alias(c) for i, c in enumerate(names)])
+    got = tables.read_csv(spark, _csv_copy(spark, df)).df
+    sums = got.agg(*[F.sum(c).alias(c) for c in got.columns]).unpivot([], got.columns, "column", "total")
+    return sums.select("column", F.col("total").cast("long").alias("total"))
+
+
+register(
+    "csv_wide",
+    _wide,
+    "SELECT 'a_rather_long_column_name_' || i AS \"column\", (sum(n_nationkey) + i * count(*))::BIGINT AS total FROM nation, range(1200) r(i) GROUP BY i",
+)
+
+
+def _guarded(spark: SparkSession, sf: str) -> DataFrame:
+    """Files made from orders with one fault each: what the reader says, or how many rows it has."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    line = F.concat_ws(",", "o_orderkey", "o_orderpriority")
+    head = spark.createDataFrame([("key,priority",)], "value string")
+    body = orders.select(line.alias("value"))
+    last = orders.agg(F.max("o_orderkey").alias("o_orderkey"))
+    kinds = {
+        "sound": body,
+        "empty surplus": body.unionByName(last.select(F.concat("o_orderkey", F.lit(",x,")).alias("value"))),
+        "surplus behind an empty field": body.unionByName(last.select(F.concat("o_orderkey", F.lit(",x,,99")).alias("value"))),
+        "quoted separators": body.unionByName(last.select(F.concat("o_orderkey", F.lit(',"x,y,z"')).alias("value"))),
+        "short row": body.unionByName(last.select(F.col("o_orderkey").cast("string").alias("value"))),
+        "no rows": body.limit(0),
+    }
+    rows = []
+    for kind, lines in kinds.items():
+        path = storage.scratch_path(spark, "guard")
+        in_order = head.withColumn("at", F.lit(0)).unionByName(lines.withColumn("at", F.lit(1)))
+        in_order.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+        got = tables.read_csv(spark, path, separator=",")
+        rows.append((kind, got.error.split(":")[0] if got.error else None, got.df.count() if got.df else 0))
+    path = storage.scratch_path(spark, "guard")
+    head.limit(0).coalesce(1).write.text(path)
+    rows.append(("empty file", tables.read_csv(spark, path).error, 0))
+    rows.append(("missing file", tables.read_csv(spark, path + "-gone").error.split(":")[0], 0))
+    return spark.createDataFrame(rows, "kind string, error string, rows long")
+
+
+register(
+    "load_guards",
+    _guarded,
+    "WITH n AS (SELECT count(*) AS n FROM orders) "
+    "SELECT 'sound' AS kind, NULL::VARCHAR AS error, n AS rows FROM n UNION ALL SELECT 'empty surplus', 'Malformed file', 0 UNION ALL SELECT 'surplus behind an empty field', 'Malformed file', 0 "
+    "UNION ALL SELECT 'quoted separators', NULL, n + 1 FROM n UNION ALL SELECT 'short row', NULL, n + 1 FROM n UNION ALL SELECT 'no rows', 'The file has a header but no rows.', 0 "
+    "UNION ALL SELECT 'empty file', 'The file is empty.', 0 UNION ALL SELECT 'missing file', 'The file cannot be read', 0",
+)
+
+
+def _persisted(spark: SparkSession, sf: str) -> DataFrame:
+    """A table kept while it is read twice."""
+    got = tables.read_table(spark, f"{sf}/orders.parquet", persist=True).df
+    rows = [(got.is_cached, got.count(), got.where("o_orderstatus = 'F'").count())]
+    got.unpersist()
+    return spark.createDataFrame(rows, "kept boolean, rows long, finished long")
+
+
+register("persisted_read", _persisted, "SELECT true AS kept, count(*) AS rows, count(*) FILTER (o_orderstatus = 'F') AS finished FROM orders")
+
+
 def _exported(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "dirty_customer")
     path = storage.scratch_path(spark, "export")

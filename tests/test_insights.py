@@ -17,11 +17,11 @@ def test_column_choices(spark):
     assert I.display_columns(p, "id") == ["id", "g", "code"]
 
 
-def test_date_column_by_name_needs_all_first_cells(spark):
-    rows = [(i, "2024-01-01" if i < 20 else "x", "2024-01-01" if i != 3 else "x") for i in range(60)]
-    p = Profile(spark.createDataFrame(rows, "k int, mes string, dia string"))
-    # One is suggested by its values, the other only by its name and first cells.
-    assert I.date_columns(p, "k") == ["dia", "mes"]
+def test_date_column_by_name_needs_all_cells(spark):
+    rows = [(i, "2024-01-01" if i < 40 else "x", "2024-01-01" if i != 3 else "x", 20240100 + i % 28 + 1, 20240100 + i, None) for i in range(60)]
+    p = Profile(spark.createDataFrame(rows, "k int, mes string, dia string, date_key int, date_num int, ano string"))
+    # One is suggested by its values; of those named like dates only some hold nothing else.
+    assert I.date_columns(p) == ["dia", "date_key", "ano"]
 
 
 def test_timestamp_column_named_like_a_date(spark):

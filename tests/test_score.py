@@ -52,6 +52,14 @@ def test_issues_are_ranked(spark):
     assert [g[0] for g in got] == sorted((g[0] for g in got), key=lambda x: {"high": 0, "medium": 1, "low": 2}[x])
 
 
+def test_limited_issues_say_what_they_leave_out(spark):
+    p = Profile(spark.createDataFrame([(1, 1, 1, 1, i) for i in range(9)], "a int, b int, c int, d int, v int"))
+    all_of = [r.details for r in S.issues(p).collect() if r.issue == "constant column"]
+    assert all_of == [f"column {c} never varies" for c in "abcd"]
+    some = [r.details for r in S.issues(p, most={"constant column": 3}).collect() if r.issue == "constant column"]
+    assert some == [*all_of[:3], "1 more"]
+
+
 def test_alerts_and_bands(spark):
     rows = [(None, None, "a@b.co")] * 3 + [(1, None, "c@d.org")]
     p = Profile(spark.createDataFrame(rows, "v int, w string, mail string"))
