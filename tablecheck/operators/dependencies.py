@@ -78,17 +78,19 @@ def _confirmed(df: DataFrame, pairs: list[tuple[str, str]], keys: dict) -> dict[
     """Pairs that hold on the values themselves, with the number of determinant groups."""
     if not pairs:
         return {}
-    cells = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("pair"), keys[a].alias("a"), keys[b].alias("b"))
-                    for i, (a, b) in enumerate(pairs)
-                ]
-            )
-        ).alias("p")
-    ).select("p.*")
-    seen = cells.where("a is not null").groupBy("pair", "a", "b").agg(F.lit(1).alias("one"))
-    groups = seen.groupBy("pair", "a").agg(F.count("b").alias("values"))
-    verdict = groups.groupBy("pair").agg(F.count("*").alias("groups"), F.max("values").alias("most"))
-    return {pairs[r["pair"]]: r["groups"] for r in verdict.where("most = 1").collect()}
+    dependents: dict[str, list[str]] = {}
+    for a, b in pairs:
+        dependents.setdefault(a, []).append(b)
+    # One grouping for all dependents of a determinant: least and greatest value merge map-side.
+    verdicts = None
+    for i, (a, bs) in enumerate(dependents.items()):
+        cells = df.select(keys[a].alias("a"), *[keys[b].alias(f"b{j}") for j, b in enumerate(bs)]).where("a is not null")
+        groups = cells.groupBy("a").agg(*[f(f"b{j}").alias(f"{f.__name__}{j}") for j in range(len(bs)) for f in (F.min, F.max)])
+        broken = F.array(*[F.max(F.col(f"min{j}") != F.col(f"max{j}")) for j in range(len(bs))])
+        verdict = groups.agg(F.lit(i).alias("i"), F.count("*").alias("groups"), broken.alias("broken"))
+        verdicts = verdict if verdicts is None else verdicts.unionByName(verdict)
+    out = {}
+    for r in verdicts.collect():  # one row per determinant
+        a, bs = list(dependents.items())[r["i"]]
+        out |= {(a, b): r["groups"] for b, x in zip(bs, r["broken"], strict=True) if x is False}
+    return out

@@ -49,6 +49,8 @@ def _typed_cells(df: DataFrame, columns: list[str]) -> list[DataFrame]:
             kind, v = "long", F.unix_date(col(c)).cast("long")
         elif isinstance(dtype, T.TimestampType):
             kind, v = "long", F.unix_micros(col(c))
+        elif isinstance(dtype, T.TimestampNTZType):
+            kind, v = "long", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col(c))
         elif isinstance(dtype, (T.FloatType, T.DoubleType)):
             kind, v = "double", col(c).cast("double")
         else:

@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.functions.columns import as_number, col, measure
+from tablecheck.sources.storage import materialise
 
 SMALL = 100_000  # rows of a column that one `percentile` hash map may hold
+GROUP_ROWS = 100_000  # rows of a group that one `percentile` hash map may hold
 BINS = 4096  # histogram bins per bracket and pass
 PASSES = 12
 _LARGEST = 1.7976931348623157e308
@@ -173,7 +175,7 @@ def bucket_bounds(df: DataFrame, value: Column, rows: int, per_bucket: int = 1_0
 
     Approximate edges are enough: they only decide how work is spread, never a result.
     """
-    parts = min(10_000, math.ceil(rows / per_bucket))
+    parts = math.ceil(rows / per_bucket)
     if parts <= 1:
         return []
     probs = [i / parts for i in range(1, parts)]
@@ -196,11 +198,24 @@ def group_quantile(
 ) -> DataFrame:
     """Exact interpolated quantile of ``value`` per ``key``: ``(key, name)``.
 
-    Equal values merge map-side. A key that holds much of the table is spread over value buckets:
-    a histogram finds the bucket of each wanted rank and only that bucket's rows are ordered.
+    Keys of a counted ``GROUP_ROWS`` rows at most take one grouping with ``percentile``; only larger ones are
+    spread over value buckets.
     """
     d = df.select(col(key).alias("__k"), as_number(df, value).alias("__v")).where("__k is not null")
-    n = d.agg(F.count("__v")).first()[0]
+    sizes = d.groupBy("__k").agg(F.count("__v").alias("n")).where(F.col("n") > GROUP_ROWS)
+    small = lambda rows: rows.groupBy("__k").agg(F.percentile("__v", float(prob)).alias("__q"))
+    named = lambda q: q.select(F.col("__k").alias(key), F.col("__q").alias(name))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return named(small(d))
+    large = materialise(sizes.select("__k"), "large-groups")  # at most one key for each GROUP_ROWS rows
+    light = small(d.join(large, "__k", "left_anti"))
+    return named(light.unionByName(_spread_quantile(d.join(large, "__k", "left_semi"), total, prob, per_bucket)))
+
+
+def _spread_quantile(d: DataFrame, n: int, prob: float, per_bucket: int) -> DataFrame:
+    """``(__k, __q)`` of groups of any size. Equal values merge map-side; a histogram finds the bucket of each wanted
+    rank, and only that bucket's rows are ordered."""
     edges = bucket_bounds(d, F.col("__v"), n, per_bucket)
     d = with_bucket(d.where("__v is not null"), "__v", edges, "__b")
 
@@ -231,5 +246,4 @@ def group_quantile(
     found = ranked.groupBy("__k").agg(
         F.when(a == b, a).otherwise(a + (h - F.floor(h)) * (b - a)).alias("__q")
     )
-    groups = df.select(col(key).alias("__k")).where("__k is not null").distinct()
-    return groups.join(found, "__k", "left").select(F.col("__k").alias(key), F.col("__q").alias(name))
+    return found

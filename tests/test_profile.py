@@ -95,6 +95,15 @@ def test_not_numeric_like_text(spark):
     assert p.type_suggestions().count() == 0
 
 
+def test_distinct_local_times_are_counted_as_numbers(spark):
+    df = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'1960-01-01 00:00:00.000001'), (TIMESTAMP_NTZ'1960-01-01 00:00:00.000002'), (TIMESTAMP_NTZ'2500-01-01'), (NULL), (TIMESTAMP_NTZ'2500-01-01') t(x)")
+    p = Profile(df)
+    assert p.distinct["x"] == 3
+    from tablecheck.operators.frequency import _typed_cells
+
+    assert dict(_typed_cells(df, ["x"])[0].dtypes)["value"] == "bigint"
+
+
 def test_datetime_like_text(spark):
     good = ["2024-01-31", "31/12/2023", "12/31/2023", "2024-01-31 10:20:30", "2024-01-31T10:20", "20240105", "2024-01", "2023", "Jan 5 2024", "5 Jan 2024", "2024/1/5", "2024-01-31 10:20:30.25"]
     bad = ["2024-02-30", "34", "May", "01310-100", "4500", "1500", "13/13/2024", "x"]

@@ -45,8 +45,10 @@ def test_empty_column(spark):
     assert Q.exact_quantiles(df, {"v": [0.5]}) == {"v": [None]}
 
 
-@pytest.mark.parametrize("per_bucket", [10, 1_000_000])
-def test_group_quantile(spark, per_bucket):
+@pytest.mark.parametrize("per_bucket, group_rows", [(10, 0), (1_000_000, 0), (10, 100), (10, 100_000)])
+def test_group_quantile(spark, monkeypatch, per_bucket, group_rows):
+    """All groups spread over buckets, only the hot one, and none."""
+    monkeypatch.setattr(Q, "GROUP_ROWS", group_rows)
     rnd = random.Random(3)
     rows = [("hot" if rnd.random() < 0.4 else f"g{rnd.randrange(20)}", round(rnd.gauss(0, 10), 1)) for _ in range(900)]
     rows += [(None, 1.0), ("empty", None)]
