@@ -9,8 +9,11 @@ reported beside it under "first_run".
 from __future__ import annotations
 
 import json
+import atexit
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -23,10 +26,13 @@ HEADLINE = [
     "score_presets", "issues", "clean_dedup", "cap_iqr", "remove_iqr_lineitem", "change_log", "describe", "histogram",
     "boxplot", "group_mean", "group_median", "group_median_customer", "resample_day", "resample_month", "correlation",
     "scatter_bins", "top_n", "numeric_drift", "psi", "drift_histogram", "csv_round_trip", "export_tables",
+    "profile_documents", "functional_deps_wide", "date_shapes", "near_dup_customer", "issues_with_near_dups",
 ]
 
 
 def session(cpus: str) -> SparkSession:
+    scratch = tempfile.mkdtemp(prefix="tablecheck-bench-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tablecheck-bench")
@@ -34,6 +40,7 @@ def session(cpus: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", scratch)
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .getOrCreate()

@@ -210,6 +210,7 @@ register(
 register(
     "near_dup_customer",
     on("dirty_customer", lambda df: neardup.near_duplicate_values(df, Q.TEXT)),
+    f"{Q.view('dirty_customer')}, {Q.close_pairs('dirty_customer', Q.TEXT)}".replace("WITH ", "WITH RECURSIVE ", 1) + _NEAR_SQL,
 )
 
 
@@ -286,9 +287,16 @@ found AS (
 SELECT row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 ELSE 1 END, issue, src, seq)::INT AS rank, priority, issue, details, action FROM found"""
 
 
-# Near duplicates have their own query; SQL cannot score all pairs of ids.
 register("issues", profiled(S.issues, near_dup_columns=[]), _ISSUES_SQL)
-register("issues_with_near_dups", profiled(S.issues))
+_ALIKE_SQL = f""" UNION ALL SELECT 6, row_number() OVER (ORDER BY pos), 'medium', 'near-duplicate text', 'column ' || col || ' has values that are almost alike',
+    'standardise the values' FROM basics WHERE col IN (SELECT col FROM scored WHERE sim >= 80 AND sim < 100)
+)
+SELECT row_number"""
+register(
+    "issues_with_near_dups",
+    profiled(S.issues),
+    _ISSUES_SQL.replace("WITH ", "WITH RECURSIVE ", 1).replace("\nuniq AS (", f"\n{Q.close_pairs('dirty_customer', Q.TEXT)},\nuniq AS (").replace("\n)\nSELECT row_number", _ALIKE_SQL),
+)
 register(
     "alerts",
     profiled(S.alerts),

@@ -217,3 +217,32 @@ def lcs_pairs(table: str, columns: list[str]) -> str:
       SELECT col, a, b, 100.0::DOUBLE * 2 * (length(a) - bit_count(bits)) / (length(a) + length(b)) AS sim
       FROM steps WHERE i = length(b)
     )"""
+
+
+def close_pairs(table: str, columns: list[str], few: int = 120) -> str:
+    """``scored`` pairs of distinct values per column, without scoring all pairs of a column of many values.
+
+    Columns of at most ``few`` values: every pair, by the plain recurrence over rows of prefix lengths. Others: the pairs
+    that are at most two insertions or deletions apart, which follow from DuckDB's own edit distance (never above
+    that number): one edit is one of them, or two if the lengths agree; two edits are two of them only if the
+    lengths differ by two, or if both values are the same after dropping a character each. That is enough
+    wherever the third best pair of a column is within two.
+    """
+    values = union(f"SELECT DISTINCT '{c}' AS col, {strip(c)} AS v FROM {table} WHERE {c} IS NOT NULL" for c in columns)
+    dropped = "[substr({v}, 1, k - 1) || substr({v}, k + 1) FOR k IN range(1, length({v}) + 1)]"
+    return f"""vals AS MATERIALIZED (SELECT col, v, count(*) OVER (PARTITION BY col) AS k FROM ({values})),
+    pairs AS (SELECT a.col, a.v AS a, b.v AS b, a.k, length(a.v) AS la, length(b.v) AS lb FROM vals a JOIN vals b ON a.col = b.col AND a.v < b.v),
+    steps AS (
+      SELECT col, a, b, 0 AS i, list_transform(range(0, la + 1), lambda x: 0) AS line FROM pairs WHERE k <= {few}
+      UNION ALL
+      SELECT col, a, b, i + 1, list_reduce(list_prepend([0], list_transform(range(1, length(a) + 1), lambda x: [x::INT])),
+        lambda done, x: list_append(done, CASE WHEN substr(a, x[1], 1) = substr(b, i + 1, 1) THEN line[x[1]] + 1 ELSE greatest(line[x[1] + 1], done[x[1]]) END)) AS line
+      FROM steps WHERE i < length(b)
+    ),
+    edits AS (SELECT col, a, b, la, lb, levenshtein(a, b) AS e FROM pairs WHERE k > {few} AND abs(la - lb) <= 2),
+    apart AS (
+      SELECT col, a, b, la, lb, CASE WHEN e = 1 AND la <> lb THEN 1 WHEN e = 1 OR abs(la - lb) = 2
+               OR (la = lb AND list_has_any({dropped.format(v='a')}, {dropped.format(v='b')})) THEN 2 END AS d FROM edits WHERE e <= 2
+      UNION ALL SELECT col, a, b, length(a), length(b), length(a) + length(b) - 2 * line[length(a) + 1] FROM steps WHERE i = length(b)
+    ),
+    scored AS (SELECT col, a, b, 100.0::DOUBLE * (la + lb - d) / (la + lb) AS sim FROM apart WHERE d IS NOT NULL AND la + lb > 0)"""
