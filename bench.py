@@ -8,8 +8,8 @@ reported beside it under "first_run".
 
 from __future__ import annotations
 
-import json
 import atexit
+import json
 import os
 import shutil
 import sys
@@ -26,7 +26,7 @@ HEADLINE = [
     "score_presets", "issues", "clean_dedup", "cap_iqr", "remove_iqr_lineitem", "change_log", "describe", "histogram",
     "boxplot", "group_mean", "group_median", "group_median_customer", "resample_day", "resample_month", "correlation",
     "scatter_bins", "top_n", "numeric_drift", "psi", "drift_histogram", "csv_round_trip", "export_tables",
-    "profile_documents", "functional_deps_wide", "date_shapes", "near_dup_customer", "issues_with_near_dups",
+    "profile_documents", "functional_deps_wide", "date_shapes",
 ]
 
 
