@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs every node's greater neighbours, then its lesser ones, on its least neighbour (large star, small
     star); the number of rounds grows with the logarithm of the longest path. Least neighbours are merged map-side,
-    and the joins with them can be split, so a hub of any degree is no bottleneck. Every round is a written table.
+    and the joins with them can be split, so a hub of any degree is no bottleneck. Every round is one written table.
     """
     edges = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
@@ -22,7 +22,6 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialise(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")

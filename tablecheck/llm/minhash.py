@@ -18,6 +18,8 @@ from tablecheck.llm.words import mix, word_hashes
 BANDS = 12
 #: MinHashes in a band.
 ROWS = 2
+#: How many times more leaders a table bucket has in each further round.
+MORE = 16
 SIGNATURE = "doc_id bigint, n_shingles bigint, node bigint, check bigint, first array<bigint>, second array<bigint>"
 
 
@@ -108,6 +110,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wor
     return found.dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi")
 
 
+def _several(members: DataFrame) -> DataFrame:
+    """Buckets whose members are of more than one class so far."""
+    return members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, seed: int = 11) -> DataFrame:
     """Classes of documents linked by similar shingle sets.
 
@@ -117,9 +124,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two collections of ``bands`` bands of ``rows`` MinHashes give bands² tables from 2 * bands * rows MinHashes: the key
     of table (i, j) is the pair of band i of the first and band j of the second collection. A pair of similarity s
     misses all tables with a chance of about 2 * (1 - s**rows)**bands, 1e-4 at 0.75 with the defaults. Bands that
-    occur once are dropped before keys are formed. In each table bucket, leaders are compared with the others; then
-    links are merged into classes, and members of different classes that no leader has met are taken up in the next
-    round with four times the leaders, until none is left: so every pair of a bucket is compared or already in one class.
+    occur once are dropped before keys are formed. Shingles that only one candidate has cannot be shared, which bounds
+    its similarity to any other: members that cannot reach the limit with the smallest of their bucket are dropped, pairs
+    whose bounds forbid a link are never formed. In each bucket, leaders (the member with the smallest such part first: the
+    original of a family of copies) are compared with the others; then links are merged into classes, and members of
+    different classes that no leader has met are taken up in the next round with ``MORE`` times the leaders, until
+    none is left: so every pair of a bucket is compared, ruled out by its bound, or already in one class.
 
     Result: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id of the class), ``kept`` (the id is the
     component's). One row per input row. Null, empty and blank texts have no shingle, and are linked with nothing. Equal
@@ -139,34 +149,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = each.groupBy("node", "size").agg(side(True).alias("a"), side(False).alias("b")).filter("size(a) > 0 and size(b) > 0")
     keyed = materialise(both.select("node", "size", F.explode("a").alias("a"), "b").select("node", "size", "a", F.explode("b").alias("b")).select("node", "size", F.xxhash64("a", "b").alias("key")), "table-keys")
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "buckets")
-    members = materialise(sized_join(keyed, shared, ["key"], "left_semi").withColumn("label", F.col("node")), "bucket-members")
-
+    members = materialise(sized_join(keyed, shared, ["key"], "left_semi"), "bucket-members")
+
+    wanted = materialise(members.select("node").distinct().join(sets.select("node", "rep"), "node"), "wanted")
+    shingles = materialise(_sets_of(docs, wanted, id_col, text_col, words), "sets")
+    single = shingles.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    shared_part = F.col("size") - F.coalesce("single", F.lit(0))
+    members = members.join(single.groupBy("node").agg(F.count("*").alias("single")), "node", "left").select("key", "node", "size", shared_part.alias("common"), F.col("node").alias("label"), F.lit(None).cast("int").alias("hub"))
+    alive = 100 * F.col("common") >= percent * (F.col("size") + F.col("least") - F.col("common"))
+    members = members.join(members.groupBy("key").agg(F.min("size").alias("least")), "key").filter(alive).drop("least")
+    members = materialise(members, "bucket-members")
+    members = materialise(members.join(_several(members), "key", "left_semi"), "bucket-members")
+
+    left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     links, tested, roots, leaders_per_bucket = None, None, None, 1
     while members.take(1):
         group = F.pmod(F.xxhash64("node", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket))
-        leaders = members.groupBy("key", group.alias("g")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "label")).alias("lead"))
-        leaders = materialise(leaders.select("key", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size"), F.col("lead.label").alias("lead_label")), "leaders")
-        met = members.join(leaders, "key").filter((F.col("label") != F.col("lead_label")) & (100 * F.least("size", "lead_size") >= percent * F.greatest("size", "lead_size")))
-        pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        order = F.struct((1 - F.col("common") / F.col("size")).alias("own"), F.xxhash64("node").alias("h"), "node", "size", "common", "label", "hub")
+        leaders = members.groupBy("key", group.alias("g")).agg(F.min(order).alias("lead")).select("key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "size", "common", "label", "hub")])
+        # what both share with the hub of the bucket, and what either shares with anyone besides
+        most = F.when(F.col("hub").isNull() | F.col("lead_hub").isNull(), F.least("common", "lead_common"))
+        most = most.otherwise(F.least("hub", "lead_hub") + F.least(F.col("common") - F.col("hub"), F.col("lead_common") - F.col("lead_hub")))
+        met = members.join(leaders, "key").filter((F.col("label") != F.col("lead_label")) & (100 * most >= percent * (F.col("size") + F.col("lead_size") - most)))
+        pairs = met.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "rep"), "node")
-        shingles = materialise(_sets_of(docs, materialise(wanted, "wanted"), id_col, text_col, words), "sets")
-        left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
-        confirmed = pairs.join(left, "a").join(right, "b").withColumn("common", common).filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common")))
-        confirmed = materialise(confirmed.select("a", "b"), "links")
+        linked = 100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))
+        compared = pairs.join(left, "a").join(right, "b").withColumn("shared", common)
+        compared = materialise(compared.select("a", "b", "shared", linked.alias("linked")), "compared")
+        tested = compared if tested is None else tested.unionByName(compared)
+        confirmed = compared.filter("linked").select("a", "b")
         links = confirmed if links is None else links.unionByName(confirmed)
         roots = components(links)
-        left_over = members.join(leaders.select("key", F.col("lead").alias("node")), ["key", "node"], "left_anti")
-        left_over = left_over.drop("label").join(roots.select("node", "root"), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("label"))
-        left_over = materialise(left_over, "left-over")
-        mixed = left_over.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        members = materialise(left_over.join(mixed, "key", "left_semi"), "bucket-members")
-        leaders_per_bucket *= 4
+        left_over = members.join(leaders.select("key", F.col("lead_node").alias("node")), ["key", "node"], "left_anti")
+        left_over = left_over.drop("label").join(roots.select("node", "root"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        if leaders_per_bucket == 1:
+            hubs = leaders.select("key", F.col("lead_node").alias("lead")).join(left_over.select("key", "node"), "key")
+            hubs = hubs.select("key", "node", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).join(tested, ["a", "b"])
+            left_over = left_over.drop("hub").join(hubs.select("key", "node", F.col("shared").alias("hub")), ["key", "node"], "left")
+        left_over = materialise(left_over.select(members.columns), "left-over")
+        members = materialise(left_over.join(_several(left_over), "key", "left_semi"), "bucket-members")
+        leaders_per_bucket *= MORE
 
     smallest = sets.select("node", "rep")
     if roots is not None:
