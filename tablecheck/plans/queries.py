@@ -108,11 +108,11 @@ register(
 )
 register(
     "value_frequencies",
-    on("dirty_customer", lambda df: frequency.value_counts(df, ["segment", "age_text", "signup_text"])),
+    on("dirty_customer", lambda df: frequency.value_counts(df, Q.TEXT)),
     f"{Q.view('dirty_customer')} "
     + Q.union(
         f"SELECT '{c}' AS \"column\", {c} AS \"value\", count(*) AS n FROM dirty_customer WHERE {c} IS NOT NULL GROUP BY {c}"
-        for c in ("segment", "age_text", "signup_text")
+        for c in Q.TEXT
     ),
 )
 
@@ -195,7 +195,21 @@ _LINEITEM_TYPES = {
     "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string",
     "l_linestatus": "string", "l_shipdate": "timestamp",
 }
-register("cardinality_lineitem", profiled(Profile.cardinality_table, "lineitem"), _cardinality_sql(_LINEITEM_TYPES, "lineitem", ""))
+
+
+def _marked_lines(df: DataFrame) -> DataFrame:
+    """All columns, and two that must be flagged: few numbers, and text that differs in every row."""
+    return df.withColumns({"step": (F.col("l_linenumber") % 3).cast("int"), "line_id": F.concat_ws("-", "l_orderkey", "l_linenumber")})
+
+
+register(
+    "cardinality_lineitem",
+    on("lineitem", lambda df: Profile(_marked_lines(df)).cardinality_table()),
+    _cardinality_sql(
+        _LINEITEM_TYPES | {"step": "int", "line_id": "string"}, "lines",
+        "WITH lines AS (SELECT *, l_linenumber % 3 AS step, l_orderkey || '-' || l_linenumber AS line_id FROM lineitem)",
+    ),
+)
 
 _PART_TEXT = ["p_name", "p_brand", "p_type"]
 _NEAR_SQL = (
@@ -531,7 +545,7 @@ register(
         f"UNION ALL SELECT '{c}', 'metric' FROM dirty_customer HAVING stddev_samp({c}) <> 0 AND count(DISTINCT {c}) <= 0.95 * count(*) " for c in Q.NUMERIC
     ),
 )
-_LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _stat_sql(columns: list[str], extra: str = "") -> str:
