@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.llm.common import materialise, sized_join
@@ -110,6 +110,21 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wor
     return found.dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi")
 
 
+def _able(members: DataFrame, reach: Column, percent: int) -> DataFrame:
+    """Members that could share enough, ``reach`` at most, with the smallest member of their bucket."""
+    least = members.groupBy("key").agg(F.min("size").alias("least"))
+    return members.join(least, "key").filter(100 * reach >= percent * (F.col("size") + F.col("least") - reach)).drop("least")
+
+
+def _outside(members: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Members of buckets of another kind: the key is a shingle that a member has and the hub it was compared with has not.
+    Only members that meet there share anything outside the hub."""
+    with_hub = members.filter("lead is not null").select("node", "lead", "size", "common", "label").distinct()
+    both = with_hub.join(left.withColumnRenamed("a", "node"), "node").join(right.withColumnRenamed("b", "lead"), "lead")
+    keys = both.select("node", "size", "common", "label", "lead", F.explode(F.array_except("sa", "sb")).alias("s"))
+    return keys.select(F.xxhash64("lead", "s").alias("key"), "node", "size", "common", "label", F.lit(None).cast("int").alias("hub"))
+
+
 def _several(members: DataFrame) -> DataFrame:
     """Buckets whose members are of more than one class so far."""
     return members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
@@ -127,9 +142,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     occur once are dropped before keys are formed. Shingles that only one candidate has cannot be shared, which bounds
     its similarity to any other: members that cannot reach the limit with the smallest of their bucket are dropped, pairs
     whose bounds forbid a link are never formed. In each bucket, leaders (the member with the smallest such part first: the
-    original of a family of copies) are compared with the others; then links are merged into classes, and members of
-    different classes that no leader has met are taken up in the next round with ``MORE`` times the leaders, until
-    none is left: so every pair of a bucket is compared, ruled out by its bound, or already in one class.
+    original of a family of copies) are compared with the others; then links are merged into classes. Members of
+    different classes that no leader has met are taken up in further rounds with ``MORE`` times the leaders: in their
+    buckets if what both share with the first leader (the hub) is enough for a link, and else in buckets of the
+    shingles that they have and the hub has not. The rounds end when no bucket holds two classes: so every pair of a
+    bucket is compared, ruled out by a bound, or already in one class.
 
     Result: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id of the class), ``kept`` (the id is the
     component's). One row per input row. Null, empty and blank texts have no shingle, and are linked with nothing. Equal
@@ -156,9 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single = shingles.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
     shared_part = F.col("size") - F.coalesce("single", F.lit(0))
     members = members.join(single.groupBy("node").agg(F.count("*").alias("single")), "node", "left").select("key", "node", "size", shared_part.alias("common"), F.col("node").alias("label"), F.lit(None).cast("int").alias("hub"))
-    alive = 100 * F.col("common") >= percent * (F.col("size") + F.col("least") - F.col("common"))
-    members = members.join(members.groupBy("key").agg(F.min("size").alias("least")), "key").filter(alive).drop("least")
-    members = materialise(members, "bucket-members")
+    members = materialise(_able(members, F.col("common"), percent), "bucket-members")
     members = materialise(members.join(_several(members), "key", "left_semi"), "bucket-members")
 
     left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -168,9 +183,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         group = F.pmod(F.xxhash64("node", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket))
         order = F.struct((1 - F.col("common") / F.col("size")).alias("own"), F.xxhash64("node").alias("h"), "node", "size", "common", "label", "hub")
         leaders = members.groupBy("key", group.alias("g")).agg(F.min(order).alias("lead")).select("key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "size", "common", "label", "hub")])
-        # what both share with the hub of the bucket, and what either shares with anyone besides
-        most = F.when(F.col("hub").isNull() | F.col("lead_hub").isNull(), F.least("common", "lead_common"))
-        most = most.otherwise(F.least("hub", "lead_hub") + F.least(F.col("common") - F.col("hub"), F.col("lead_common") - F.col("lead_hub")))
+        # two that share nothing outside the bucket's hub share at most what either shares with it; others meet elsewhere
+        most = F.when(F.col("hub").isNull() | F.col("lead_hub").isNull(), F.least("common", "lead_common")).otherwise(F.least("hub", "lead_hub"))
         met = members.join(leaders, "key").filter((F.col("label") != F.col("lead_label")) & (100 * most >= percent * (F.col("size") + F.col("lead_size") - most)))
         pairs = met.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
         if tested is not None:
@@ -187,8 +201,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left_over = left_over.drop("label").join(roots.select("node", "root"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
         if leaders_per_bucket == 1:
             hubs = leaders.select("key", F.col("lead_node").alias("lead")).join(left_over.select("key", "node"), "key")
-            hubs = hubs.select("key", "node", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).join(tested, ["a", "b"])
-            left_over = left_over.drop("hub").join(hubs.select("key", "node", F.col("shared").alias("hub")), ["key", "node"], "left")
+            hubs = hubs.select("key", "node", "lead", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).join(tested, ["a", "b"])
+            left_over = left_over.drop("hub").join(hubs.select("key", "node", "lead", F.col("shared").alias("hub")), ["key", "node"], "left")
+            left_over = materialise(left_over, "left-over")
+            left_over = materialise(left_over.join(_several(left_over), "key", "left_semi"), "open-members")
+            left_over = left_over.select(members.columns).unionByName(_outside(left_over, left, right).select(members.columns))
         left_over = materialise(left_over.select(members.columns), "left-over")
         members = materialise(left_over.join(_several(left_over), "key", "left_semi"), "bucket-members")
         leaders_per_bucket *= MORE
