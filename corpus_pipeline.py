@@ -17,9 +17,13 @@ LEAST_SCORE = 0.5
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with one prevailing language. Null or letterless texts, and texts in which no language has half, go."""
+    """Documents with one prevailing language. Null or letterless texts, and texts in which no language has half, go.
+    Where no language can be learned, all texts with a letter stay."""
+    learned = learn_languages(docs)
+    if learned is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     carried = [c for c in docs.columns if c != "doc_id"]
-    judged = predict_languages(docs, learn_languages(docs), carry=carried)
+    judged = predict_languages(docs, learned, carry=carried)
     return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 

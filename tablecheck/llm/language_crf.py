@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import spread_key, unit
+from tablecheck.llm.common import BLANKS, materialise, spread_key, unit
 from tablecheck.llm.token_files import batches
 from tablecheck.llm.words import hash_words, split_words
 
@@ -205,15 +205,33 @@ def fit(texts: list[str], langs: list[str], steps: int = 32, epochs: int = 8, ra
 
 
 def labelled_sample(docs: DataFrame, per_lang: int, chars: int, id_col: str, text_col: str, lang_col: str, seed: str = "crf") -> tuple[list[str], list[str]]:
-    """At most ``per_lang`` whole texts of each language, in a hashed order, with at most ``chars`` characters of a language together."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & (F.char_length(text_col) > 0))
-    sizes = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), spread_key(seed, F.col(id_col)).alias("k"))
+    """At most ``per_lang`` texts of each language, in an order hashed from id and text, runs of white space as one blank.
+
+    Together they have at most ``chars`` characters of a language: where there are more, texts above one common length are
+    cut to a span of that length at a hashed place, so that every drawn text has a part. Rows that repeat id and text count once.
+    """
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), spread_key(seed, F.col(id_col), F.xxhash64(text_col)).alias("k"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("k").alias("n"))
     drawn = rows.join(F.broadcast(sizes), "lang").filter(unit(F.col("k")) * F.col("n") < 1.5 * per_lang + 20)
-    order = Window.partitionBy("lang").orderBy("k", "text")
-    drawn = drawn.withColumn("r", F.row_number().over(order)).withColumn("c", F.sum(F.char_length("text")).over(order))
-    got = drawn.filter((F.col("r") <= per_lang) & (F.col("c") <= chars)).orderBy("lang", "r").collect()
-    return [g["text"] for g in got], [g["lang"] for g in got]
+    drawn = drawn.groupBy("lang", "k").agg(F.first("text").alias("text"))
+    drawn = materialise(drawn.withColumn("text", F.trim(F.regexp_replace("text", f"{BLANKS}+", " "))), "drawn")
+    order = Window.partitionBy("lang").orderBy("k")
+    parts = drawn.select("lang", "k", F.char_length("text").cast("long").alias("n")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang)
+    by_size, whole = Window.partitionBy("lang").orderBy("n", "k"), Window.partitionBy("lang")
+    before = F.coalesce(F.sum("n").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = (F.lit(chars) - before) / (F.count("*").over(whole) - F.row_number().over(by_size) + 1)  # what the texts from here on have each
+    parts = parts.withColumn("level", level).withColumn("most", F.greatest(F.floor(F.max("level").over(whole)).cast("long"), F.lit(1)))
+    start = F.pmod(F.col("k"), F.greatest(F.col("n") - F.col("most"), F.lit(0)) + 1) + 1
+    span = F.substring(F.col("text"), start.cast("int"), F.least("most", "n").cast("int"))
+    got = drawn.join(F.broadcast(parts), ["lang", "k"]).select("lang", "r", (F.col("n") > F.col("most")).alias("cut"), span.alias("text")).collect()
+    got = sorted(got, key=lambda g: (g["lang"], g["r"]))
+    return [_whole_words(g["text"]) if g["cut"] else g["text"] for g in got], [g["lang"] for g in got]
+
+
+def _whole_words(span: str) -> str:
+    """Without the words cut at both ends, if others are left."""
+    return " ".join(span.split(" ")[1:-1]) or span
 
 
 def held_out_column(id_col: str = "doc_id"):
@@ -222,7 +240,7 @@ def held_out_column(id_col: str = "doc_id"):
 
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 200, chars: int = 4_000_000) -> LanguageCrf | None:
     """Fit on a bounded sample of the labelled rows that are not held out (crc32 of the id mod 5 is not 0): ``per_lang``
-    texts and ``chars`` characters of each language. None if there is no labelled text."""
+    texts and ``chars`` characters of each language, spans of texts where they are longer. None if no labelled text has a word."""
     held = F.coalesce(held_out_column(id_col), F.lit(False))
     texts, langs = labelled_sample(docs.filter(~held), per_lang, chars, id_col, text_col, lang_col)
     return fit(texts, langs) if texts else None

@@ -120,3 +120,8 @@ def test_empty_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, SF)
     assert df.count() == 0
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(1, "der die das"), (2, "12 %"), (3, None), (None, "the of")]
+    assert sorted(r["text"] for r in corpus_pipeline.keep_languages(spark, docs(spark, rows), SF).collect()) == ["der die das", "the of"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablecheck.llm import language_crf as crf_module
 from tablecheck.llm.katz import discounts, from_sized, katz_scores, planes, from_planes, sized
-from tablecheck.llm.language_crf import classify, fit, learn_languages, predict_languages
+from tablecheck.llm.language_crf import classify, fit, labelled_sample, learn_languages, predict_languages
 from tablecheck.llm.sentencepiece_backend import Backend, decode_documents, encode_documents
 from tablecheck.llm.token_files import encode_texts, pack, read_token_files, unpack, write_token_files
 from tablecheck.llm.pieces import tokenizer_path
@@ -95,6 +95,23 @@ def test_held_out_rows_teach_nothing(spark):
     assert learn_languages(empty(spark)) is None and predict_languages(empty(spark), None).count() == 0
 
 
+def test_a_long_text_leaves_room_for_others(spark):
+    long = "der die das " * 50_000
+    rows = [(i, long, "de") for i in range(1, 20)] + [(100 + i, f"und der {i}", "de") for i in range(60)] + [(300 + i, f"the of {i}", "en") for i in range(60)]
+    texts, langs = labelled_sample(docs(spark, rows), 200, 20_000, "doc_id", "text", "lang")
+    assert langs.count("de") == 79 and langs.count("en") == 60 and sum(len(t) for t, x in zip(texts, langs) if x == "de") <= 20_000
+    assert {t for t in texts if len(t) < 20} >= {f"und der {i}" for i in range(60)} and all({*t.split()} <= {"der", "die", "das"} for t in texts if len(t) > 20)
+    model = learn_languages(docs(spark, [(1, long, "de"), *[(300 + i, f"the of {i}", "en") for i in range(60)]]), chars=5000)
+    assert model.langs == ["de", "en"]
+    assert labelled_sample(docs(spark, [(1, " \n", "de")]), 9, 9, "doc_id", "text", "lang") == ([], [])
+
+
+def test_rows_without_id_teach(spark):
+    rows = [(None, f"der die das und {i}", "de") for i in range(600)] + [(None, f"the of and {i}", "en") for i in range(600)] + [(None, "le la les", "fr")] * 600
+    texts, langs = labelled_sample(docs(spark, rows), 200, 4_000_000, "doc_id", "text", "lang")
+    assert (langs.count("de"), langs.count("en"), langs.count("fr")) == (200, 200, 1) and len(set(texts)) == 401
+
+
 # token files
 
 
