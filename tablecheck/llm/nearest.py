@@ -126,10 +126,13 @@ def _search_block(k: int):
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(vectors):
-            base, ids = np.stack(vectors["vec"].to_numpy()), vectors["id"].to_numpy()
+            vectors = vectors.sort_values("id", kind="stable")
+            base = np.stack(vectors["vec"].to_numpy())
+            ids, first = np.unique(vectors["id"].to_numpy(), return_index=True)
             for q, v in zip(queries["query_id"], queries["qvec"], strict=True):
                 diff = base - v
                 d = np.sqrt((diff * diff).sum(axis=1))
+                d = np.minimum.reduceat(d, first) if len(first) < len(d) else d  # an id has one place, that of its nearest row
                 d[ids == q] = np.inf
                 near = np.argpartition(d, k)[:k] if len(d) > k else np.arange(len(d))
                 near = np.flatnonzero(d <= d[near].max()) if len(d) > k else near  # ties go to the smaller id
@@ -153,7 +156,7 @@ def nearest_neighbours(table: DataFrame, queries: DataFrame, id_col: str = "vec_
     """The ``k`` nearest found of each query among all rows but those with its id: ``query_id``, ``rank``, ``vec_id``,
     ``score`` (Euclidean distance in double precision on the given vectors), ties to the smaller id.
 
-    Centroids are fitted on at most ``train`` vectors drawn by a hash of the id, halved until lists hold about
+    Centroids are fitted on at most ``train`` vectors drawn by a hash of id and vector, halved until lists hold about
     ``list_size`` vectors (at most ``MAX_LISTS``). Every vector is indexed: it goes to its nearest list and, if it lies
     near a boundary, to up to ``replicas`` lists. Queries find lists through the graph of centroids, within
     ``probe_ratio`` of the nearest, at most ``probes`` or a quarter of all lists, and are compared with all vectors of these. Lists are cut into
@@ -161,18 +164,18 @@ def nearest_neighbours(table: DataFrame, queries: DataFrame, id_col: str = "vec_
     fewer than min(k, all candidates) looks into all lists.
 
     Null, zero and non-finite vectors take no part, nor do those of another dimension than most, or without an id.
-    Repeated rows of one id count once per query, with the nearest. Empty tables give an empty result; other columns
+    Rows that repeat an id count once per query, with the nearest, before any list is cut to ``k``. Empty tables give an empty result; other columns
     are ignored.
     """
     base, asked = usable_vectors(table, id_col, vec_col), usable_vectors(queries, id_col, vec_col)
     spark = table.sparkSession
-    common = base.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    key = spread_key(f"ann-{seed}", F.col("id"), F.xxhash64("vec"))
+    common = base.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.approx_count_distinct(key).alias("different")).orderBy(F.desc("n"), "dim").first()
     if common is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dim, total = common["dim"], common["n"]
     base, asked = base.filter(F.size("vec") == dim), asked.filter(F.size("vec") == dim)
-    key = spread_key(f"ann-{seed}", F.col("id"))
-    drawn = base.withColumn("key", key).filter(unit(F.col("key")) * total < 1.1 * train).orderBy("key", "id").limit(train)
+    drawn = base.withColumn("key", key).filter(unit(F.col("key")) * common["different"] < 1.1 * train).groupBy("key").agg(F.first("vec").alias("vec")).orderBy("key").limit(train)
     sample = np.array([r["vec"] for r in drawn.select("vec").collect()], np.float32)
     lists = min(MAX_LISTS, max(1, 2 ** round(math.log2(max(1, total / list_size)))), len(sample))
     graph = CentroidGraph.build(balanced_centroids(sample, lists, np.random.default_rng(seed)))
@@ -182,7 +185,7 @@ def nearest_neighbours(table: DataFrame, queries: DataFrame, id_col: str = "vec_
     postings = materialise(assigned.select("id", "vec", F.explode("lists").alias("list")), "postings")
     blocks = postings.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     blocks = F.broadcast(materialise(blocks, "lists"))  # one row for each of at most MAX_LISTS lists
-    postings = postings.join(blocks, "list").select("id", "vec", "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    postings = postings.join(blocks, "list").select("id", "vec", "list", F.pmod(F.xxhash64("id", "vec"), F.col("blocks")).cast("int").alias("block"))
     probes = min(count, max(probes, count // 4))
     found_lists = asked.mapInArrow(_assigner(graph, dim, probes, probe_ratio, probes), "id bigint, vec array<double>, lists array<int>")
     probing = materialise(found_lists.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"), "lists"), "probes")
@@ -195,7 +198,7 @@ def nearest_neighbours(table: DataFrame, queries: DataFrame, id_col: str = "vec_
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = lambda hits: hits.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     first = materialise(ranked(search(probing.select("query_id", "qvec", F.explode("lists").alias("list")))), "nearest")
-    reach = min(k, base.agg(F.count_distinct("id")).first()[0] - 1)
+    reach = min(k, base.agg(F.count_distinct("id")).first()[0])  # one too many where the query is among them: it looks again
     enough = first.groupBy("query_id").agg(F.max("rank").alias("got")).filter(F.col("got") >= reach)
     short = materialise(probing.join(enough, "query_id", "left_anti"), "short")
     if reach > 0 and short.take(1):

@@ -60,6 +60,31 @@ def test_awkward_vectors(spark):
     assert {q: list(zip(g.sort_values("rank").score, g.sort_values("rank").vec_id)) for q, g in got.drop_duplicates().groupby("query_id")} == {q: w for q, w in want.items()}
 
 
+@pytest.mark.parametrize("list_size", [16, 1000])
+def test_repeated_ids_take_one_place(spark, list_size):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (x[0] + 0.001 * j).tolist()) for j in range(12)] + [(0, (x[0] + 0.0001 * j).tolist()) for j in range(1, 12)]
+    rows += [(i, v.tolist()) for i, v in enumerate(x[100:110], 100)] * 12
+    t = vectors(spark, rows)
+    q = vectors(spark, [(0, x[0].tolist()), (100, x[100].tolist()), (999, x[3].tolist())])
+    got = nearest_neighbours(t, q, list_size=list_size, probes=300, probe_ratio=100.0).toPandas()
+    single = [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
+    for query, v in ((0, x[0]), (100, x[100]), (999, x[3])):
+        best = {}
+        for i, y in single:
+            if i != query:
+                best[i] = min(best.get(i, math.inf), float(np.sqrt(((y - v.astype(np.float32).astype(float)) ** 2).sum())))
+        g = got[got.query_id == query].sort_values("rank")
+        assert list(zip(g.score, g.vec_id)) == sorted((d, i) for i, d in best.items())[:10]
+
+
+def test_one_id_in_all_rows(spark):
+    t = vectors(spark, [(5, [1.0, float(i % 3)]) for i in range(500)])
+    got = nearest_neighbours(t, vectors(spark, [(5, [1.0, 0.0]), (6, [1.0, 0.0])]), train=20).toPandas()
+    assert got[["query_id", "rank", "vec_id", "score"]].values.tolist() == [[6, 1, 5, 0]]
+
+
 def test_one_or_no_vector(spark):
     one = vectors(spark, [(1, [1.0])])
     assert nearest_neighbours(one, one).count() == 0
