@@ -33,10 +33,22 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates. Only the ids that go are joined."""
-    classes = near_duplicates(docs)
-    gone = materialise(classes.filter("not kept").select("doc_id").distinct(), "near-copies")
-    return sized_join(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    """One row of each class of near duplicates: of those with the smallest id (null last) the one with the smallest hash of
+    its text, then any. Rows are told apart by id and text, not by id alone. Texts without a word all stay.
+
+    Only the (id, hash) pairs of rows that go, or stay but are repeated, are joined.
+    """
+    key = F.xxhash64("text")
+    classes = near_duplicates(docs, row_key=key)
+    same_row = ["near_none", "near_id", "near_key"]
+    parts = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))]
+    marks = classes.filter("n_shingles > 0").select(parts[0].alias("near_none"), parts[1].alias("near_id"), F.col("row_key").alias("near_key"), "kept")
+    marks = marks.groupBy(*same_row).agg(F.max("kept").alias("near_kept"), F.count("*").alias("near_rows"))
+    marks = materialise(marks.filter("not near_kept or near_rows > 1"), "near-copies")
+    keyed = docs.withColumns(dict(zip(same_row, [*parts, key], strict=True)))
+    unmarked = sized_join(keyed, marks.select(*same_row), same_row, "left_anti")
+    repeated = sized_join(keyed, materialise(marks.filter("near_kept").select(*same_row), "repeated-rows"), same_row, "left_semi")
+    return unmarked.unionByName(repeated.dropDuplicates(same_row)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ BANDS = 12
 ROWS = 2
 #: How many times more leaders a table bucket has in each further round.
 MORE = 16
-SIGNATURE = "doc_id bigint, n_shingles bigint, node bigint, check bigint, first array<bigint>, second array<bigint>"
+SIGNATURE = "doc_id bigint, row_key bigint, n_shingles bigint, node bigint, check bigint, first array<bigint>, second array<bigint>"
 
 
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,17 +82,17 @@ def _lists(matrix: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).ravel().view(np.int64)))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """Per row: size of its shingle set, two hashes of the set, band keys of both collections."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int, seed: int, key: Column) -> DataFrame:
+    """Per row: ``key``, size of its shingle set, two hashes of the set, band keys of both collections."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, "text"):
             values, counts = shingle_sets(batch.column("text").to_pylist(), words)
             node, check = fingerprints(values, counts)
             keys = band_keys(values, counts, bands, rows, seed)
-            yield pa.record_batch([batch.column("id"), pa.array(counts), pa.array(node), pa.array(check), _lists(keys[:, :bands]), _lists(keys[:, bands:])], names=["doc_id", "n_shingles", "node", "check", "first", "second"])
+            yield pa.record_batch([batch.column("id"), batch.column("row_key"), pa.array(counts), pa.array(node), pa.array(check), _lists(keys[:, :bands]), _lists(keys[:, bands:])], names=["doc_id", "row_key", "n_shingles", "node", "check", "first", "second"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SIGNATURE)
+    return docs.select(F.col(id_col).cast("long").alias("id"), key.cast("long").alias("row_key"), F.col(text_col).alias("text")).mapInArrow(run, SIGNATURE)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _several(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, seed: int = 11) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, seed: int = 11, row_key: Column | None = None) -> DataFrame:
     """Classes of documents linked by similar shingle sets.
 
     Words are lower-cased A-Z and split at ASCII white space; a document's set holds its distinct shingles of
@@ -153,10 +153,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets are one node however many rows have them. Rows that repeat an id are judged each by its own text. A
     null id never names a class: such rows have their class's smallest id if there is one, and are kept otherwise. Empty
     tables give an empty result; other columns are ignored.
+
+    With ``row_key``, a number that is a function of the row, the result also has it as ``row_key``, and ``kept`` marks the
+    row of each class with the smallest id (null last), then key: one row of each class if id and key tell rows apart.
     """
-    rows_ = materialise(signatures(docs, id_col, text_col, words, bands, rows, seed), "signatures")
+    rows_ = materialise(signatures(docs, id_col, text_col, words, bands, rows, seed, F.lit(None) if row_key is None else row_key), "signatures")
     with_set = rows_.filter("n_shingles > 0")
-    sets = with_set.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("first").alias("first"), F.first("second").alias("second"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
+    sets = with_set.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(row).alias("stays"), F.first("n_shingles").alias("size"), F.first("first").alias("first"), F.first("second").alias("second"))
     sets = materialise(sets, "shingle-sets")
 
     each = sets.select("node", "size", F.posexplode(F.concat("first", "second")).alias("place", "band"))
@@ -210,14 +214,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = materialise(left_over.join(_several(left_over), "key", "left_semi"), "bucket-members")
         leaders_per_bucket *= MORE
 
-    smallest = sets.select("node", "rep")
+    smallest = sets.select("node", "rep", "stays")
     if roots is not None:
         labelled = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-        smallest = labelled.join(least, "root").select("node", F.col("component_id"))
+        least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("stays").alias("stays"))
+        smallest = labelled.drop("rep", "stays").join(least, "root").select("node", "component_id", "stays")
     else:
         smallest = smallest.withColumnRenamed("rep", "component_id")
-    out = with_set.select("doc_id", "n_shingles", "node").join(smallest, "node").select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(rows_.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = with_set.select("doc_id", "row_key", "n_shingles", "node").join(smallest, "node").select("doc_id", "row_key", "n_shingles", "component_id", row.eqNullSafe(F.col("stays")).alias("stays"))
+    blank = rows_.filter("n_shingles = 0").select("doc_id", "row_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    out = out.unionByName(blank)
+    if row_key is not None:
+        return out.withColumnRenamed("stays", "kept")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.withColumn("kept", kept)
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

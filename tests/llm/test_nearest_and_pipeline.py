@@ -150,3 +150,20 @@ def test_empty_stages(spark):
 def test_language_stage_without_labels(spark):
     rows = [(1, "der die das"), (2, "12 %"), (3, None), (None, "the of")]
     assert sorted(r["text"] for r in corpus_pipeline.keep_languages(spark, docs(spark, rows), SF).collect()) == ["der die das", "the of"]
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    text = lambda n: " ".join(f"w{n}x{j}" for j in range(60))
+    near = lambda n, j: text(n) + f" end{j}"
+    rows = [(1, text(1)), (5, near(1, 1)), (5, text(2)), (6, text(3)), (6, near(3, 1)), (None, text(4)), (None, near(4, 1)), (None, near(4, 2)), (None, text(5)), (None, near(1, 2)),
+            (7, text(6)), (7, text(6)), (7, near(6, 1)), (None, text(7)), (None, text(7)), (0, text(8)), (None, near(8, 1)), (9, None), (9, None), (None, " ")]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), SF).collect()]
+    classes = {}
+    for i, t in rows:
+        classes.setdefault((t or "").split("x")[0].strip() or len(classes) + 1000, []).append((i, t))
+    classes = {k: c for k, c in classes.items() if isinstance(k, str)}
+    for name, members in classes.items():
+        stay = [g for g in got if g in members]
+        assert len(stay) == 1 and stay[0][0] == min((i for i, _ in members if i is not None), default=None), name
+    assert sorted(map(str, (g for g in got if not (g[1] or "").strip()))) == sorted(map(str, [(9, None), (9, None), (None, " ")]))
+    assert len(got) == len(classes) + 3
