@@ -16,20 +16,33 @@ from tablecheck.llm.sentencepiece_backend import encode_documents
 LEAST_SCORE = 0.5
 
 
+def set_aside(docs: DataFrame, needed: list) -> DataFrame:
+    """The ``needed`` columns for an operator, and all columns under names that no operator uses."""
+    return docs.select(*needed, *[F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(docs.columns)])
+
+
+def carried(docs: DataFrame) -> list[str]:
+    return [f"carried_{i}" for i in range(len(docs.columns))]
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` that :func:`set_aside` carried, under their names."""
+    return rows.select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one prevailing language. Null or letterless texts, and texts in which no language has half, go.
     Where no language can be learned, all texts with a letter stay."""
     learned = learn_languages(docs)
     if learned is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    carried = [c for c in docs.columns if c != "doc_id"]
-    judged = predict_languages(docs, learned, carry=carried)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = predict_languages(set_aside(docs, ["doc_id", "text"]), learned, carry=carried(docs))
+    return restored(judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (white space aside)."""
-    return exact_duplicates(docs, payload=docs.columns).filter("kept").select(*docs.columns)
+    return restored(exact_duplicates(set_aside(docs, ["doc_id", "text"]), payload=carried(docs)).filter("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,15 +58,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     marks = classes.filter("n_shingles > 0").select(parts[0].alias("near_none"), parts[1].alias("near_id"), F.col("row_key").alias("near_key"), "kept")
     marks = marks.groupBy(*same_row).agg(F.max("kept").alias("near_kept"), F.count("*").alias("near_rows"))
     marks = materialise(marks.filter("not near_kept or near_rows > 1"), "near-copies")
-    keyed = docs.withColumns(dict(zip(same_row, [*parts, key], strict=True)))
+    keyed = set_aside(docs, [p.alias(c) for p, c in zip([*parts, key], same_row, strict=True)])
     unmarked = sized_join(keyed, marks.select(*same_row), same_row, "left_anti")
     repeated = sized_join(keyed, materialise(marks.filter("near_kept").select(*same_row), "repeated-rows"), same_row, "left_semi")
-    return unmarked.unionByName(repeated.dropDuplicates(same_row)).select(*docs.columns)
+    return restored(unmarked.unionByName(repeated.dropDuplicates(same_row)), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents as the curriculum takes them, in training order: repeated documents are repeated rows."""
-    return training_order(curriculum(docs, payload=docs.columns), ["doc_id"]).select(*docs.columns)
+    mixed = curriculum(set_aside(docs, ["doc_id", "text", "source"]), payload=carried(docs))
+    return restored(training_order(mixed, [f"carried_{docs.columns.index('doc_id')}"]), docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,3 +167,14 @@ def test_near_copies_with_repeated_and_null_ids(spark):
         assert len(stay) == 1 and stay[0][0] == min((i for i, _ in members if i is not None), default=None), name
     assert sorted(map(str, (g for g in got if not (g[1] or "").strip()))) == sorted(map(str, [(9, None), (9, None), (None, " ")]))
     assert len(got) == len(classes) + 3
+
+
+def test_stages_hand_on_columns_of_any_name(spark):
+    names = ["spans", "positions", "score", "lang_pred", "kept", "keep_id", "group_size", "text_sha256", "size", "source_size", "target", "copies", "taken", "epoch", "position", "near_key", "a.b"]
+    rows = [(i, f"der die das und {i} " + " ".join(f"w{i}x{j}" for j in range(9)), "de", "s", *[f"{n}{i}" for n in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    want = {tuple(r) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == df.columns and set(got) <= want and len(got) >= 10, name
