@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecheck.llm.collocations import collocations
 from tablecheck.llm.common import materialise, words_in
 from tablecheck.llm.curriculum import curriculum
+from tablecheck.llm.decontaminate import contamination
 from tablecheck.llm.exact_dedup import exact_duplicates
+from tablecheck.llm.fill_middle import fill_in_middle, restored
 from tablecheck.llm.katz import katz_scores
 from tablecheck.llm.language_crf import held_out_column, learn_languages, predict_languages
 from tablecheck.llm.minhash import near_duplicates
@@ -193,6 +196,70 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumns({"base_score": F.round("base_score", 6), "score": F.round("score", 6)})
 
 
+OP11_SQL = r"""
+WITH
+w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT item_id, least(10, len(ws)) AS k, unnest(list_transform(range(1, greatest(len(ws) - 10, 0) + 2), lambda s: array_to_string(ws[s:s + 9], ' '))) AS phrase FROM b WHERE len(ws) > 0),
+k AS (SELECT DISTINCT k FROM i),
+p AS (SELECT r, k, unnest(range(1, len(ws) - k + 2)) AS s, ws FROM w, k WHERE len(ws) >= k),
+o AS (SELECT p.r, p.s, p.k, i.item_id FROM p JOIN i ON i.k = p.k AND i.phrase = array_to_string(p.ws[p.s:p.s + p.k - 1], ' ')),
+h AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT DISTINCT r, unnest(range(s, s + k)) AS place FROM o) GROUP BY r),
+t AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM o WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+
+@query("op11_contamination", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_items = F.size("item_ids").cast("long")
+    return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+e AS (SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                  WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(p || m || s) AS restored_sha256
+FROM c
+"""
+
+
+@query("op12_fill_in_middle", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    again = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH
+p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda s: ws[s:s + k - 1])) AS g FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, g, count(*)::HUGEINT AS f FROM g GROUP BY lang, k, g),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+x AS (SELECT lang, g, max(f) AS most FROM (SELECT lang, g[1:2] AS g, f FROM c WHERE k = 3 UNION ALL SELECT lang, g[2:3] AS g, f FROM c WHERE k = 3) GROUP BY lang, g),
+s AS (SELECT c.lang, c.g, c.f AS a, j, l.f AS l, r.f AS r, (1000000::HUGEINT * c.f * c.f) // (l.f * r.f) AS score
+      FROM c, (VALUES (1), (2)) v(j) JOIN f l ON l.lang = c.lang AND l.g = c.g[1:j] JOIN f r ON r.lang = c.lang AND r.g = c.g[j + 1:] WHERE j < c.k),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+k AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN x ON x.lang = b.lang AND x.g = b.g WHERE x.most IS NULL OR 100 * x.most < 50 * b.a)
+SELECT lang, row_number() OVER o AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM k JOIN n USING (lang) WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
