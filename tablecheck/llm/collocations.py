@@ -16,13 +16,15 @@ from tablecheck.llm.words import hash_words, mix
 #: Words that one set of stripes is counted over in a task; three numbers below this fit one 64-bit key.
 HELD_WORDS = 1 << 21
 #: Text cut into words at a time, and text per partition of the merged stripes, in bytes.
-BATCH_BYTES, PART_BYTES = 2_000_000, 16_000_000
+BATCH_BYTES, PART_BYTES = 2_000_000, 8_000_000
 #: Bytes between pieces, and between the words of a piece.
 BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Language of documents without one.
 NO_LANGUAGE = "und"
 
-PACKET = "part int, level int, hashes binary, prefix binary, middle binary, next binary, n binary, words binary, sizes binary, langs array<string>, lang binary"
+#: Columns of a packet: the hashes of its words, then entries as places in those: of level 1 (with spelling), 2 and 3.
+_PLACES = ["x", "x_n", "xy_1", "xy_2", "xy_n", "xyz_1", "xyz_2", "xyz_3", "xyz_n"]
+PACKET = "part int, hashes binary, " + "".join(f"{c} binary, " for c in _PLACES) + "words binary, sizes binary, lang binary, langs array<string>"
 ENTRY = "level int, lang string, word string, a bigint, b bigint, c bigint, n bigint"
 
 _BREAK, _SEPARATES = np.zeros(256, bool), np.zeros(256, bool)
@@ -90,28 +92,34 @@ class Held:
             ids = ids.astype(np.uint64)
             two = follows[s:stop][: len(here) - 1]
             three = two[: len(here) - 2] & follows[s + 1 : stop + 1][: len(here) - 2]
-            single, n = np.unique(ids[:own], return_counts=True)
-            yield from self._dealt(parts, 1, known, [single], n, langs, s + first)
+            single, n1 = np.unique(ids[:own], return_counts=True)
             at = np.flatnonzero(two)
-            pair, n = np.unique(ids[at] * size + ids[at + 1], return_counts=True)
-            yield from self._dealt(parts, 2, known, [pair // size, pair % size], n, langs, None)
+            pair, n2 = np.unique(ids[at] * size + ids[at + 1], return_counts=True)
             at = np.flatnonzero(three)
-            triple, n = np.unique((ids[at] * size + ids[at + 1]) * size + ids[at + 2], return_counts=True)
-            yield from self._dealt(parts, 3, known, [triple // size // size, triple // size % size, triple % size], n, langs, None)
+            triple, n3 = np.unique((ids[at] * size + ids[at + 1]) * size + ids[at + 2], return_counts=True)
+            rest = triple // size
+            levels = [([single], n1), ([pair // size, pair % size], n2), ([rest // size, rest % size, triple % size], n3)]
+            yield from self._dealt(parts, known, levels, langs, s + first)
         self.cuts, self.words = [], 0
 
-    def _dealt(self, parts: int, level: int, known: np.ndarray, columns: list[np.ndarray], n: np.ndarray, langs: list[str], first: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        columns = [c.astype(np.uint32) for c in columns]
-        part = _part(parts, *[known[c] for c in columns])
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[p] : edges[p + 1]]
-            cells = [c[mine] for c in columns]
-            used = np.unique(np.concatenate(cells))
-            cells = [planes(np.searchsorted(used, c).astype("<u4")) for c in cells]
-            body, sizes, lang = self._spelled(first[used], langs) if first is not None else (b"", b"", b"")
-            row = [int(p), level, known[used].tobytes(), cells[0], cells[-2] if level == 3 else b"", cells[-1], planes(n[mine].astype("<u8")), body, sizes, langs if level == 1 else [], lang]
+    def _dealt(self, parts: int, known: np.ndarray, levels: list[tuple[list[np.ndarray], np.ndarray]], langs: list[str], first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        dealt = []
+        for columns, n in levels:
+            part = _part(parts, *[known[c] for c in columns])
+            order = np.argsort(part, kind="stable")  # the order of the words stays
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            dealt.append(([c.astype(np.uint32)[order] for c in columns], n[order], edges))
+        for p in range(parts):
+            mine = [([c[e[p] : e[p + 1]] for c in columns], n[e[p] : e[p + 1]]) for columns, n, e in dealt]
+            used = np.unique(np.concatenate([c for columns, _ in mine for c in columns]))
+            if not len(used):
+                continue
+            row: list = [p, known[used].tobytes()]
+            for columns, n in mine:
+                cells = [np.searchsorted(used, c).astype("<u4") for c in columns]
+                cells[0] = np.diff(cells[0], prepend=np.uint32(0))  # ascending
+                row += [planes(c) for c in (*cells, n.astype("<u4"))]
+            row += [*self._spelled(first[mine[0][0][0]], langs), langs]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _PACKET_TYPES, strict=True)], names=_PACKET_NAMES)
 
     def _spelled(self, at: np.ndarray, langs: list[str]) -> tuple[bytes, bytes, bytes]:
@@ -130,7 +138,7 @@ class Held:
 
 
 _PACKET_NAMES = [c.split(" ")[0] for c in PACKET.split(", ")]
-_PACKET_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 7, pa.list_(pa.string()), pa.binary()]
+_PACKET_TYPES = [pa.int32(), *[pa.binary()] * (len(_PACKET_NAMES) - 2), pa.list_(pa.string())]
 
 
 def _count(parts: int):
@@ -153,13 +161,16 @@ def _merge(least: int):
     """Elementwise sum of all packets of a partition; entries counted less often than ``least`` are in no phrase of the result."""
 
     def merged(table: pa.Table, level: int) -> dict:
-        packets = [r for r in table.to_pylist() if r["level"] == level]
-        if not packets:
+        cells = lambda name: (v.as_py() for v in table.column(name))
+        known = [np.frombuffer(h, np.uint64) for h in cells("hashes")]
+        name = ["x", "xy", "xyz"][level - 1]
+        columns = []
+        for k in range(level):
+            places = [from_planes(c, "<u4") for c in cells(name if level == 1 else f"{name}_{k + 1}")]
+            columns.append(np.concatenate([h[np.cumsum(c) if k == 0 else c] for h, c in zip(known, places, strict=True)]))
+        n = np.concatenate([from_planes(c, "<u4") for c in cells(f"{name}_n")]).astype(np.int64)
+        if not len(n):
             return {}
-        fields = {1: ["next"], 2: ["prefix", "next"], 3: ["prefix", "middle", "next"]}[level]
-        known = [np.frombuffer(r["hashes"], np.uint64) for r in packets]
-        columns = [np.concatenate([k[from_planes(r[f], "<u4")] for k, r in zip(known, packets, strict=True)]) for f in fields]
-        n = np.concatenate([from_planes(r["n"], "<u8") for r in packets]).astype(np.int64)
         key = np.uint64(0)
         for c in columns:
             key = mix(c + key * np.uint64(5))
@@ -175,11 +186,10 @@ def _merge(least: int):
         out = {"columns": [c[order][first] for c in columns], "n": np.add.reduceat(n[order], first)}
         if level == 1:
             words, langs = [], []
-            for r in packets:
-                stop = np.cumsum(np.frombuffer(r["sizes"], "<u4").astype(np.int64)).tolist()
-                words += [r["words"][a:b] for a, b in zip([0, *stop], stop, strict=False)]
-                langs += [r["langs"][i] for i in np.frombuffer(r["lang"], "<u4").tolist()]
-            # the hashes of a packet of level 1 are its entries, in order
+            for body, sizes, lang, own in zip(cells("words"), cells("sizes"), cells("lang"), cells("langs"), strict=True):
+                stop = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
+                words += [body[a:b] for a, b in zip([0, *stop], stop, strict=False)]
+                langs += [own[i] for i in np.frombuffer(lang, "<u4").tolist()]
             out["words"], out["langs"] = [words[i].decode() for i in order[first]], [langs[i] for i in order[first]]
         return out
 
