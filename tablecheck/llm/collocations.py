@@ -13,19 +13,20 @@ from tablecheck.llm.common import materialise
 from tablecheck.llm.token_files import batches
 from tablecheck.llm.words import hash_words, mix
 
-#: Words that one set of stripes is counted over in a task; three numbers below this fit one 64-bit key.
+#: Words held for one set of stripes of a task; three numbers below this fit one 64-bit key.
 HELD_WORDS = 1 << 21
 #: Text cut into words at a time, and text per partition of the merged stripes, in bytes.
-BATCH_BYTES, PART_BYTES = 2_000_000, 8_000_000
+BATCH_BYTES, PART_BYTES = 2_000_000, 12_000_000
 #: Bytes between pieces, and between the words of a piece.
 BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Language of documents without one.
 NO_LANGUAGE = "und"
 
-#: Columns of a packet: the hashes of its words, then entries as places in those: of level 1 (with spelling), 2 and 3.
-_PLACES = ["x", "x_n", "xy_1", "xy_2", "xy_n", "xyz_1", "xyz_2", "xyz_3", "xyz_n"]
-PACKET = "part int, hashes binary, " + "".join(f"{c} binary, " for c in _PLACES) + "words binary, sizes binary, lang binary, langs array<string>"
-ENTRY = "level int, lang string, word string, a bigint, b bigint, c bigint, n bigint"
+#: A packet: the hashes of its words, its entries as places in those, their counts, and on level 1 the spelling of the words.
+PACKET = "part int, hashes binary, first binary, second binary, third binary, n binary, words binary, sizes binary, lang binary, langs array<string>"
+ENTRY = "level int, lang string, word string, a bigint, b bigint, c bigint, n bigint, key bigint"
+#: Bits of the filter of frequent prefixes at most (16 MB): a fuller filter lets more through, and changes no count.
+FILTER_BITS = 27
 
 _BREAK, _SEPARATES = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
@@ -65,61 +66,102 @@ class Cut:
         self.hash = mix(hash_words(body, self.start, self.length) + salt[self.lang]) if len(doc) else np.zeros(0, np.uint64)
 
 
-def _part(parts: int, *words: np.ndarray) -> np.ndarray:
-    key = np.uint64(0)
-    for w in words:
+def chain(words: list[np.ndarray]) -> np.ndarray:
+    """One number of a sequence of words."""
+    key = words[0]
+    for w in words[1:]:
         key = mix(w + key * np.uint64(3))
-    return ((key >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16)
+    return key
+
+
+class Likely:
+    """Bits of the keys of frequent prefixes: says yes to all of them, and to some others."""
+
+    def __init__(self, bits: int, blocks: dict[int, bytes]):
+        self.shift = np.uint64(64 - bits)
+        self.body = np.zeros(1 << (bits - 3), np.uint8)
+        for k, raw in blocks.items():
+            self.body[4096 * k : 4096 * k + len(raw)] = np.frombuffer(raw, np.uint8)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys >> self.shift).astype(np.int64)
+        return (self.body[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def likely(entries: DataFrame, count: int) -> Likely:
+    """The filter of the ``key`` column, its blocks of 32 768 bits put together by Spark; its size is bounded."""
+    bits = min(FILTER_BITS, max(15, (16 * count).bit_length()))
+    at = F.shiftrightunsigned("key", 64 - bits) + 1
+    blocks = entries.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("raw"))
+    return Likely(bits, {r["k"] - 1: bytes(r["raw"]) for r in blocks.collect()})
 
 
 class Held:
-    """Words of a task until there are enough for a set of stripes."""
+    """Words of a task until there are enough for a set of stripes of prefixes of ``level`` - 1 words."""
 
-    def __init__(self):
-        self.cuts: list[Cut] = []
-        self.words = 0
+    def __init__(self, parts: int, level: int, passes: Likely | None):
+        self.parts, self.level, self.passes = parts, level, passes
+        self.clear()
 
-    def packets(self, parts: int) -> Iterator[pa.RecordBatch]:
-        """Counts of the held words, one row per level and partition: stripes are split by the hash of prefix and next word."""
+    def clear(self) -> None:
+        self.cuts: list[Cut] = []
+        self.hashes: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+        self.words = self.entries = 0
+
+    def add(self, cut: Cut) -> None:
+        """Keep the words of a batch, and the places where an entry begins: all its prefixes and rests may be frequent."""
+        if self.level == 1:
+            at = np.arange(len(cut.hash))
+            self.cuts.append(cut)
+        else:
+            if self.level == 2:
+                good = self.passes(cut.hash)
+                start = cut.follows[:-1] & good[:-1] & good[1:]
+            else:
+                pair = cut.follows[:-1] & self.passes(chain([cut.hash[:-1], cut.hash[1:]]))
+                start = pair[:-1] & pair[1:]
+            at = np.flatnonzero(start)
+        self.hashes.append(cut.hash)
+        self.places.append(at + self.words)
+        self.words += len(cut.hash)
+        self.entries += len(at)
+
+    def packets(self) -> Iterator[pa.RecordBatch]:
+        """Counts of the held entries, one row per partition: stripes are split by the hash of prefix and next word."""
         langs = sorted({x for c in self.cuts for x in c.langs})
-        words = np.concatenate([c.hash for c in self.cuts])
-        follows = np.concatenate([c.follows for c in self.cuts])
-        for s in range(0, len(words), HELD_WORDS - 2):
-            stop = min(s + HELD_WORDS - 2, len(words))
-            here = words[s : min(stop + 2, len(words))]
-            known, first, ids = np.unique(here, return_index=True, return_inverse=True)
-            size, own = np.uint64(len(known)), stop - s
-            ids = ids.astype(np.uint64)
-            two = follows[s:stop][: len(here) - 1]
-            three = two[: len(here) - 2] & follows[s + 1 : stop + 1][: len(here) - 2]
-            single, n1 = np.unique(ids[:own], return_counts=True)
-            at = np.flatnonzero(two)
-            pair, n2 = np.unique(ids[at] * size + ids[at + 1], return_counts=True)
-            at = np.flatnonzero(three)
-            triple, n3 = np.unique((ids[at] * size + ids[at + 1]) * size + ids[at + 2], return_counts=True)
-            rest = triple // size
-            levels = [([single], n1), ([pair // size, pair % size], n2), ([rest // size, rest % size, triple % size], n3)]
-            yield from self._dealt(parts, known, levels, langs, s + first)
-        self.cuts, self.words = [], 0
-
-    def _dealt(self, parts: int, known: np.ndarray, levels: list[tuple[list[np.ndarray], np.ndarray]], langs: list[str], first: np.ndarray) -> Iterator[pa.RecordBatch]:
-        dealt = []
-        for columns, n in levels:
-            part = _part(parts, *[known[c] for c in columns])
-            order = np.argsort(part, kind="stable")  # the order of the words stays
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            dealt.append(([c.astype(np.uint32)[order] for c in columns], n[order], edges))
-        for p in range(parts):
-            mine = [([c[e[p] : e[p + 1]] for c in columns], n[e[p] : e[p + 1]]) for columns, n, e in dealt]
-            used = np.unique(np.concatenate([c for columns, _ in mine for c in columns]))
-            if not len(used):
-                continue
-            row: list = [p, known[used].tobytes()]
-            for columns, n in mine:
-                cells = [np.searchsorted(used, c).astype("<u4") for c in columns]
-                cells[0] = np.diff(cells[0], prepend=np.uint32(0))  # ascending
-                row += [planes(c) for c in (*cells, n.astype("<u4"))]
-            row += [*self._spelled(first[mine[0][0][0]], langs), langs]
+        words, places = np.concatenate(self.hashes), np.concatenate(self.places)
+        for s in range(0, len(places), HELD_WORDS // self.level):
+            at = places[s : s + HELD_WORDS // self.level]
+            columns = [words[at + k] for k in range(self.level)]
+            known = np.unique(np.concatenate(columns))
+            size, key = np.uint64(len(known)), np.zeros(len(at), np.uint64)
+            for c in columns:
+                key = key * size + np.searchsorted(known, c).astype(np.uint64)
+            if self.level == 1:
+                key, first, n = np.unique(key, return_index=True, return_counts=True)
+                first = at[first]
+            else:
+                (key, n), first = np.unique(key, return_counts=True), None
+            entry = []
+            for _ in range(self.level):
+                entry.insert(0, (key % size).astype(np.uint32))
+                key = key // size
+            yield from self._dealt(known, entry, n, langs, first)
+        self.clear()
+
+    def _dealt(self, known: np.ndarray, columns: list[np.ndarray], n: np.ndarray, langs: list[str], first: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        part = ((mix(chain([known[c] for c in columns])) >> np.uint64(20)) % np.uint64(self.parts)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")  # the order of the words stays
+        edges = np.searchsorted(part[order], np.arange(self.parts + 1))
+        columns, n, first = [c[order] for c in columns], n[order].astype("<u4"), None if first is None else first[order]
+        for p in np.flatnonzero(np.diff(edges)):
+            mine = slice(edges[p], edges[p + 1])
+            used = np.unique(np.concatenate([c[mine] for c in columns]))
+            cells = [np.searchsorted(used, c[mine]).astype("<u4") for c in columns]
+            cells[0] = np.diff(cells[0], prepend=np.uint32(0))  # ascending
+            spelled = (b"", b"", b"", []) if first is None else (*self._spelled(first[mine], langs), langs)
+            row = [int(p), known[used].tobytes(), *map(planes, cells), *[b""] * (3 - self.level), planes(n[mine]), *spelled]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _PACKET_TYPES, strict=True)], names=_PACKET_NAMES)
 
     def _spelled(self, at: np.ndarray, langs: list[str]) -> tuple[bytes, bytes, bytes]:
@@ -141,39 +183,31 @@ _PACKET_NAMES = [c.split(" ")[0] for c in PACKET.split(", ")]
 _PACKET_TYPES = [pa.int32(), *[pa.binary()] * (len(_PACKET_NAMES) - 2), pa.list_(pa.string())]
 
 
-def _count(parts: int):
+def _count(parts: int, level: int, passes: Likely | None):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held()
+        held = Held(parts, level, passes)
         for batch in batches(stream, "text", BATCH_BYTES):
-            cut = Cut(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("lang").to_pylist())
-            if held.words + len(cut.hash) > HELD_WORDS - 2 and held.words:
-                yield from held.packets(parts)
-            if len(cut.hash):
-                held.cuts.append(cut)
-                held.words += len(cut.hash)
+            held.add(Cut(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("lang").to_pylist()))
+            if held.words > HELD_WORDS or held.entries > HELD_WORDS // level:
+                yield from held.packets()
         if held.words:
-            yield from held.packets(parts)
+            yield from held.packets()
 
     return run
 
 
-def _merge(least: int):
+def _merge(level: int, least: int):
     """Elementwise sum of all packets of a partition; entries counted less often than ``least`` are in no phrase of the result."""
 
-    def merged(table: pa.Table, level: int) -> dict:
+    def merged(table: pa.Table) -> dict:
         cells = lambda name: (v.as_py() for v in table.column(name))
         known = [np.frombuffer(h, np.uint64) for h in cells("hashes")]
-        name = ["x", "xy", "xyz"][level - 1]
         columns = []
-        for k in range(level):
-            places = [from_planes(c, "<u4") for c in cells(name if level == 1 else f"{name}_{k + 1}")]
+        for k, name in enumerate(["first", "second", "third"][:level]):
+            places = (from_planes(c, "<u4") for c in cells(name))
             columns.append(np.concatenate([h[np.cumsum(c) if k == 0 else c] for h, c in zip(known, places, strict=True)]))
-        n = np.concatenate([from_planes(c, "<u4") for c in cells(f"{name}_n")]).astype(np.int64)
-        if not len(n):
-            return {}
-        key = np.uint64(0)
-        for c in columns:
-            key = mix(c + key * np.uint64(5))
+        n = np.concatenate([from_planes(c, "<u4") for c in cells("n")]).astype(np.int64)
+        key = chain(columns)
         order = np.argsort(key)
         new = np.zeros(len(n), bool)
         new[:1] = True
@@ -183,7 +217,7 @@ def _merge(least: int):
             order = np.lexsort(columns[::-1])
             new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
         first = np.flatnonzero(new)
-        out = {"columns": [c[order][first] for c in columns], "n": np.add.reduceat(n[order], first)}
+        out = {"columns": [c[order][first] for c in columns], "n": np.add.reduceat(n[order], first), "key": key[order][first]}
         if level == 1:
             words, langs = [], []
             for body, sizes, lang, own in zip(cells("words"), cells("sizes"), cells("lang"), cells("langs"), strict=True):
@@ -194,23 +228,18 @@ def _merge(least: int):
         return out
 
     def run(table: pa.Table) -> pa.Table:
-        done = []
-        for level in (1, 2, 3):
-            got = merged(table, level)
-            if not got:
-                continue
-            keep = np.flatnonzero(got["n"] >= least)
-            cells = [pa.array(c[keep].view(np.int64)) for c in got["columns"]]
-            cells += [pa.nulls(len(keep), pa.int64())] * (3 - len(cells))
-            names = [pa.nulls(len(keep), pa.string())] * 2
-            if level == 1:
-                names = [pa.array([got[x][i] for i in keep], pa.string()) for x in ("langs", "words")]
-                langs, lang = np.unique(np.array(got["langs"], object), return_inverse=True)
-                total = np.zeros(len(langs), np.int64)
-                np.add.at(total, lang, got["n"])
-                empty = pa.nulls(len(langs), pa.int64())
-                done.append(pa.table([pa.array(np.zeros(len(langs), np.int32)), pa.array(langs, pa.string()), pa.nulls(len(langs), pa.string()), empty, empty, empty, pa.array(total)], names=_ENTRY_NAMES))
-            done.append(pa.table([pa.array(np.full(len(keep), level, np.int32)), *names, *cells, pa.array(got["n"][keep])], names=_ENTRY_NAMES))
+        got, done = merged(table), []
+        keep = np.flatnonzero(got["n"] >= least)
+        cells = [pa.array(c[keep].view(np.int64)) for c in got["columns"]] + [pa.nulls(len(keep), pa.int64())] * (3 - level)
+        names = [pa.nulls(len(keep), pa.string())] * 2
+        if level == 1:
+            names = [pa.array([got[x][i] for i in keep], pa.string()) for x in ("langs", "words")]
+            langs, lang = np.unique(np.array(got["langs"], object), return_inverse=True)
+            total = np.zeros(len(langs), np.int64)
+            np.add.at(total, lang, got["n"])
+            empty = pa.nulls(len(langs), pa.int64())
+            done.append(pa.table([pa.array(np.zeros(len(langs), np.int32)), pa.array(langs, pa.string()), pa.nulls(len(langs), pa.string()), empty, empty, empty, pa.array(total), empty], names=_ENTRY_NAMES))
+        done.append(pa.table([pa.array(np.full(len(keep), level, np.int32)), *names, *cells, pa.array(got["n"][keep]), pa.array(got["key"][keep].view(np.int64))], names=_ENTRY_NAMES))
         return pa.concat_tables(done)
 
     return run
@@ -223,14 +252,22 @@ def stripes(docs: DataFrame, least: int, text_col: str = "text", lang_col: str =
     """The merged counters, written: level 1 to 3 with the hashes of the words (``a``, ``b``, ``c``) and ``n`` >= ``least``;
     level 1 names language and word; level 0 has a part of each language's number of words.
 
-    Tasks count the stripes of what they read and send them in packets; the entries of a stripe are dealt by the hash of
-    prefix and next word, so that a common prefix, however many words follow it, is spread over all partitions.
+    Stripes are made prefix length by prefix length. Tasks count the stripes of what they read and send them in packets; the
+    entries of a stripe are dealt by the hash of prefix and next word, so that a common prefix, however many words follow
+    it, is spread over all partitions. A word or pair counted less often than ``least`` cannot be in a longer entry that
+    is not, so longer entries are counted only where a filter of bounded size lets all their parts through.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(60_000, max(16, -(-size // PART_BYTES)))
-    packets = rows.mapInArrow(_count(parts), PACKET)
-    return materialise(packets.groupBy("part").applyInArrow(_merge(least), ENTRY), "stripes")
+    levels, passes = [], None
+    for level in (1, 2, 3):
+        packets = rows.mapInArrow(_count(parts, level, passes), PACKET)
+        levels.append(materialise(packets.groupBy("part").applyInArrow(_merge(level, least), ENTRY), f"stripes-{level}"))
+        if level < 3:
+            entries = levels[-1].filter(F.col("level") == level)
+            passes = likely(entries, entries.count())
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
 def _score(a: str, left: str, right: str) -> Column:

@@ -219,21 +219,18 @@ def phrase_rows(rng, n):
 def test_collocations_equal_brute_force(spark, monkeypatch, held):
     rows = [*phrase_rows(random.Random(8), 150), (None, None, "en"), (1, "", "de"), (1, "only once", "de"), (2, ". , ;", None), (3, "ab " * 30000, "xx"), *[(9, "repeated row here", "de")] * 12]
     monkeypatch.setattr(col, "HELD_WORDS", held)
-    # the limits in force in workers: counted here, in this process, and merged as a partition is
-    packets = [p for k in range(0, len(rows), 40) for p in counted([(t, x) for _, t, x in rows[k : k + 40]], 3)]
-    assert sum(p.num_rows for p in packets) > 3
     got = col.collocations(docs(spark, rows), least=5, top=40).collect()
     want = brute_collocations([(t, x) for _, t, x in rows], 5, 50, 40)
     assert sorted(tuple(r) for r in got) == want
     assert {r["lang"] for r in got} >= {"en", "fr", "und", "de", "xx"}
-    merged = {}
-    for p in range(3):
-        mine = [b for b in packets if b.column("part")[0].as_py() == p]
-        for e in col._merge(1)(pa.Table.from_batches(mine)).to_pylist():
-            merged[(e["level"], e["lang"], e["a"], e["b"], e["c"])] = merged.get((e["level"], e["lang"], e["a"], e["b"], e["c"]), 0) + e["n"]
-    for level, of in ((1, 0), (2, 1), (3, 2)):
-        singles = sum(n for (k, *_), n in merged.items() if k == level)
-        assert singles == sum(n for _, t, _x in rows for n in [grams(t, level)]), (level, of)
+    # packets of tasks with the limit in force, merged as partitions merge them
+    for level in (1, 2, 3):
+        packets = [p for k in range(0, len(rows), 40) for p in counted([(t, x) for _, t, x in rows[k : k + 40]], 3, level)]
+        assert sum(p.num_rows for p in packets) > 3
+        mine = [[b for b in packets if b.column("part")[0].as_py() == p] for p in range(3)]
+        entries = [e for some in mine for e in col._merge(level, 1)(pa.Table.from_batches(some)).to_pylist() if e["level"] == level]
+        assert len({(e["a"], e["b"], e["c"]) for e in entries}) == len(entries)
+        assert sum(e["n"] for e in entries) == sum(grams(t, level) for _, t, _x in rows)
 
 
 def grams(text, k):
@@ -241,9 +238,18 @@ def grams(text, k):
     return sum(max(0, len(w) - k + 1) for w in pieces)
 
 
-def counted(rows, parts):
+def counted(rows, parts, level):
     batch = pa.record_batch([pa.array([t for t, _ in rows], pa.string()), pa.array([x or "und" for _, x in rows], pa.string())], names=["text", "lang"])
-    return list(col._count(parts)(iter([batch])))
+    everything = col.Likely(15, {0: b"\xff" * 4096})
+    return list(col._count(parts, level, everything)(iter([batch])))
+
+
+def test_filter_lets_all_frequent_keys_through(spark):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(2**63), 2**63 - 1, 3000)
+    passes = col.likely(spark.createDataFrame([(int(k),) for k in keys], "key bigint"), len(keys))
+    assert passes(keys.view(np.uint64)).all()
+    assert passes(rng.integers(0, 2**64, 20000, dtype=np.uint64)).mean() < 0.08
 
 
 def test_collocations_of_empty_tables(spark):
