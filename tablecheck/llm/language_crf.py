@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecheck.llm.common import BLANKS, materialise, spread_key, unit
-from tablecheck.llm.token_files import batches
 from tablecheck.llm.words import hash_words, split_words
 
 #: Sizes of the hashed feature tables: n-grams, affixes, lexicon.
 GRAMS, AFFIXES, LEXICON = 1 << 16, 1 << 15, 1 << 17
+#: Text judged together, in bytes.
+STEP_BYTES = 1_000_000
 UNKNOWN = "und"
 
 
@@ -74,8 +76,8 @@ class LanguageCrf:
     def emissions(self, w: Words) -> np.ndarray:
         if not len(w.start):
             return np.zeros((0, len(self.langs)), np.float32)
-        per_byte = self.grams[w.grams[:, 0]] + self.grams[w.grams[:, 1]]
-        out = np.add.reduceat(per_byte, w.start, axis=0)
+        out = np.add.reduceat(self.grams[w.grams[:, 0]], w.start, axis=0)
+        out += np.add.reduceat(self.grams[w.grams[:, 1]], w.start, axis=0)
         return out + self.affixes[w.affixes[:, 0]] + self.affixes[w.affixes[:, 1]] + self.lexicon_weight * self.lexicon[w.lexicon]
 
     def marginals(self, w: Words) -> np.ndarray:
@@ -204,7 +206,7 @@ def fit(texts: list[str], langs: list[str], steps: int = 32, epochs: int = 8, ra
     return crf
 
 
-def labelled_sample(docs: DataFrame, per_lang: int, chars: int, id_col: str, text_col: str, lang_col: str, seed: str = "crf") -> tuple[list[str], list[str]]:
+def labelled_sample(docs: DataFrame, per_lang: int, chars: int, id_col: str, text_col: str, lang_col: str, most_langs: int = 256, seed: str = "crf") -> tuple[list[str], list[str]]:
     """At most ``per_lang`` texts of each language, in an order hashed from id and text, runs of white space as one blank.
 
     Together they have at most ``chars`` characters of a language: where there are more, texts above one common length are
@@ -212,7 +214,8 @@ def labelled_sample(docs: DataFrame, per_lang: int, chars: int, id_col: str, tex
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), spread_key(seed, F.col(id_col), F.xxhash64(text_col)).alias("k"))
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("k").alias("n"))
+    sizes = materialise(rows.groupBy("lang").agg(F.approx_count_distinct("k").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs), "languages")
+    chars = min(chars, max(1, 8 * chars // max(1, sizes.count())))
     drawn = rows.join(F.broadcast(sizes), "lang").filter(unit(F.col("k")) * F.col("n") < 1.5 * per_lang + 20)
     drawn = drawn.groupBy("lang", "k").agg(F.first("text").alias("text"))
     drawn = materialise(drawn.withColumn("text", F.trim(F.regexp_replace("text", f"{BLANKS}+", " "))), "drawn")
@@ -235,14 +238,16 @@ def _whole_words(span: str) -> str:
 
 
 def held_out_column(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    """Whether crc32 of the id mod 5 is 0; not of a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 200, chars: int = 4_000_000) -> LanguageCrf | None:
+def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 200, chars: int = 4_000_000, most_langs: int = 256) -> LanguageCrf | None:
     """Fit on a bounded sample of the labelled rows that are not held out (crc32 of the id mod 5 is not 0): ``per_lang``
-    texts and ``chars`` characters of each language, spans of texts where they are longer. None if no labelled text has a word."""
-    held = F.coalesce(held_out_column(id_col), F.lit(False))
-    texts, langs = labelled_sample(docs.filter(~held), per_lang, chars, id_col, text_col, lang_col)
+    texts and ``chars`` characters of each language, spans of texts where they are longer; from eight languages up they
+    share ``8 * chars``. Of more than ``most_langs`` values of the language column those with the most labelled texts
+    are learned, so that sample and model are bounded. None if no labelled text has a word."""
+    texts, langs = labelled_sample(docs.filter(~held_out_column(id_col)), per_lang, chars, id_col, text_col, lang_col, most_langs)
     return fit(texts, langs) if texts else None
 
 
@@ -252,26 +257,39 @@ def predict_languages(docs: DataFrame, crf: LanguageCrf | None, id_col: str = "d
 
     ``score`` is the mean probability of ``lang_pred`` over the words that have a letter. ``und`` with score 0 if the
     text is null or has no letter, or nothing could be learned. The text alone decides. One row per row, in place:
-    nothing is shuffled; null ids and repeated rows are rows like others. Carried columns named like a result column
-    are replaced.
+    nothing is shuffled, and only the text goes to Python; null ids and repeated rows are rows like others. Ids keep
+    their type. Carried columns named like a result column are replaced.
     """
     carry = [c for c in (carry or []) if c not in ("doc_id", "lang_pred", "score", "spans")]
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *[F.col(c) for c in carry])
-    schema = "doc_id bigint, lang_pred string, score double" + (", spans array<struct<lang: string, first: int, words: int>>" if spans else "")
-    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carry).schema.fields) if carry else ""
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, "__text", 6_000_000):
-            texts = batch.column("__text").to_pylist()
-            best, score, runs = classify(texts, crf, spans)
-            columns = [batch.column("__id"), pa.array(best, pa.string()), pa.array(score, pa.float64())]
-            names = ["doc_id", "lang_pred", "score"]
-            if spans:
-                columns.append(pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))))
-                names.append("spans")
-            yield pa.record_batch([*columns, *[batch.column(c) for c in carry]], names=[*names, *carry])
-
-    return rows.mapInArrow(run, schema)
+    run = pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())])
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if spans:
+        fields.append(T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())]))))
+
+    @F.arrow_udf(T.StructType(fields))
+    def judge(text: pa.Array) -> pa.Array:
+        best, score, runs = classify_by_length(text, crf, spans)
+        columns = [pa.array(best, pa.string()), pa.array(score, pa.float64()), *([pa.array(runs, pa.list_(run))] if spans else [])]
+        return pa.StructArray.from_arrays(columns, names=[f.name for f in fields])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry], judge(F.col(text_col)).alias("__judged"))
+    return rows.select("doc_id", *[F.col(f"__judged.{f.name}").alias(f.name) for f in fields], *[F.col(c) for c in carry])
+
+
+def classify_by_length(column: pa.Array, crf: LanguageCrf | None, spans: bool) -> tuple[list[str], list[float], list[list[dict]]]:
+    """:func:`classify` of texts of like length together, about ``STEP_BYTES`` at a time (one text at least): the chains of
+    a step then end at about the same word, and what a task holds does not grow with the batch."""
+    size = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(-size, kind="stable")
+    best, score, runs = [UNKNOWN] * len(size), [0.0] * len(size), [[] for _ in size]
+    total, start = np.cumsum(size[order]), 0
+    while start < len(order):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + STEP_BYTES, side="right")))
+        some = order[start:stop]
+        for i, *judged in zip(some.tolist(), *classify(column.take(pa.array(some)).to_pylist(), crf, spans), strict=True):
+            best[i], score[i], runs[i] = judged
+        start = stop
+    return best, score, runs
 
 
 def has_letter(text: str | None) -> bool:
