@@ -36,7 +36,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     learned = learn_languages(docs)
     if learned is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    judged = predict_languages(set_aside(docs, ["doc_id", "text"]), learned, carry=carried(docs))
+    name = lambda c: f"carried_{docs.columns.index(c)}"
+    judged = predict_languages(set_aside(docs, []), learned, id_col=name("doc_id"), text_col=name("text"), carry=carried(docs))
     return restored(judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
