@@ -101,11 +101,28 @@ def local_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def measure(df: DataFrame, figures: dict, most: int = 600) -> dict:
-    """Whole-table aggregates by name, as plain values.
+def by_column(df: DataFrame, values: dict[str, Column], figures: dict[str, Column]) -> dict[str, dict]:
+    """``{column: {figure: value}}`` of aggregates over ``value``: the same ones for each of any number of columns.
 
-    One map-only scan that sends one row per task; tables so wide that the list would outgrow
-    generated code are measured in several.
+    One scan and one plan of fixed size: cells in long form, grouped by column; a task sends one row per column.
+    """
+    if not values:
+        return {}
+    cells = long_form(df, values)
+    rows = cells.groupBy("column").agg(*[f.alias(name) for name, f in figures.items()]).collect()
+    found = {r["column"]: {name: r[name] for name in figures} for r in rows}
+    missing = set(values) - set(found)
+    if missing:  # an empty table has no cells
+        empty = cells.agg(*[f.alias(name) for name, f in figures.items()]).first().asDict()
+        found |= {c: dict(empty) for c in missing}
+    return {c: found[c] for c in values}
+
+
+def measure(df: DataFrame, figures: dict, most: int = 24) -> dict:
+    """Whole-table aggregates by name, as plain values, for figures that differ from column to column.
+
+    Map-only scans that send one row per task. A list of more aggregates than ``most`` is measured in several, as one
+    generated method for all would outgrow what the JVM compiles; figures of many columns go through :func:`by_column`.
     """
     out = {}
     items = list(figures.items())

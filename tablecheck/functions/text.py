@@ -31,42 +31,18 @@ PATTERNS = {
 NUMBER = r"(?i)\A[+\-]?(?:(?:\d+(?:\.\d*)?|\.\d+)(?:e[+\-]?\d+)?|inf|infinity)\z"
 INTEGER = r"\A[+\-]?\d+\z"
 
-# Date shapes: (what the value looks like, rewrites to ISO order tried in turn). Month-first comes
-# before day-first; an impossible month or day makes the cast NULL and the next rewrite is tried.
-DATE_SHAPES = [
-    (r"\A(\d{4}-\d{1,2}-\d{1,2})\z", ["$1"]),
-    (r"\A(\d{4}-\d{2}-\d{2})[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\z", ["$1 $2"]),
-    (r"\A(\d{4}-\d{2}-\d{2})[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?) ?Z\z", ["$1 $2Z"]),
-    (r"\A(\d{4}-\d{2}-\d{2})[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?) ?([+\-]\d{2}):?(\d{2})\z", ["$1 $2$3:$4"]),
-    (r"\A(\d{1,2})/(\d{1,2})/(\d{4})((?: \d{1,2}:\d{2}(?::\d{2})?)?)\z", ["$3-$1-$2$4", "$3-$2-$1$4"]),
-    (r"\A(\d{1,2})-(\d{1,2})-(\d{4})\z", ["$3-$1-$2", "$3-$2-$1"]),
-    (r"\A(\d{1,2})\.(\d{1,2})\.(\d{4})\z", ["$3-$1-$2", "$3-$2-$1"]),
-    (r"\A(\d{4})/(\d{1,2})/(\d{1,2})\z", ["$1-$2-$3"]),
-    (r"\A(\d{4})(\d{2})(\d{2})\z", ["$1-$2-$3"]),
-    (r"\A(\d{4}(?:-\d{2})?)\z", ["$1"]),
-    # A bare time is a time of the first day of the era; it says nothing about a day.
-    (r"\A(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\z", ["1970-01-01 $1"]),
-]
-# Month names and 12-hour clocks: (shape, formats tried in turn), without commas.
-_CLOCK = r" \d{1,2}:\d{2} ?[AaPp][Mm]"
-_CLOCK_SECONDS = r" \d{1,2}:\d{2}:\d{2} ?[AaPp][Mm]"
-NAMED_MONTHS = [
-    (r"\A[A-Z][a-z]{2} \d{1,2},? \d{4}\z", ["MMM d yyyy"]),
-    (r"\A\d{1,2} [A-Z][a-z]{2} \d{4}\z", ["d MMM yyyy"]),
-    (r"\A\d{1,2}-[A-Z][a-z]{2}-\d{4}\z", ["d-MMM-yyyy"]),
-    (r"\A[A-Z][a-z]{3,8} \d{1,2},? \d{4}\z", ["MMMM d yyyy"]),
-    (r"\A\d{1,2} [A-Z][a-z]{3,8} \d{4}\z", ["d MMMM yyyy"]),
-    (rf"\A\d{{1,2}}/\d{{1,2}}/\d{{4}}{_CLOCK}\z", ["M/d/yyyy h:mm a", "d/M/yyyy h:mm a"]),
-    (rf"\A\d{{1,2}}/\d{{1,2}}/\d{{4}}{_CLOCK_SECONDS}\z", ["M/d/yyyy h:mm:ss a", "d/M/yyyy h:mm:ss a"]),
-    (rf"\A\d{{4}}-\d{{2}}-\d{{2}}{_CLOCK}\z", ["yyyy-MM-dd h:mm a"]),
-    (rf"\A\d{{4}}-\d{{2}}-\d{{2}}{_CLOCK_SECONDS}\z", ["yyyy-MM-dd h:mm:ss a"]),
-]
-# Anything a shape can match: a cheap test that spares most cells the rest.
-MAYBE_DATE = (
-    r"\A(?:\d{1,4}[-/]\d[-+/ T:.\d]{0,32}(?:Z| ?[AaPp][Mm])?|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}:\d{2}[:.\d]{0,10}|\d{4}|\d{8}"
-    r"|[A-Z][a-z]{2,8} [ ,\d]{6,9}|\d{1,2}[ -][A-Z][a-z]{2,8}[ -]\d{4})\z"
-)
-FIRST_YEAR, LAST_YEAR = 1678, 2262
+# Dates in text. A family of shapes is told by single characters; one expression then accepts it and rewrites it to ISO order.
+# Years from 1678 to 2262.
+_YEAR = r"(?:16(?:7[89]|[89]\d)|1[7-9]\d\d|2[01]\d\d|22(?:[0-5]\d|6[0-2]))"
+_TIME = r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?"
+_ISO = rf"\A{_YEAR}-(?:\d{{2}}|\d{{1,2}}-\d{{1,2}}|\d{{2}}-\d{{2}}[ T]{_TIME}(?: ?Z| ?[+\-]\d{{2}}:?\d{{2}})?)\z"
+_YEAR_FIRST = rf"\A{_YEAR}/\d{{1,2}}/\d{{1,2}}\z"
+# Two numbers and the year; only slashes may have a time behind them.
+_YEAR_LAST = rf"\A(\d{{1,2}})(?:/(?=\d{{1,2}}/)|-(?=\d{{1,2}}-\d{{4}}\z)|\.(?=\d{{1,2}}\.\d{{4}}\z))(\d{{1,2}})[/.\-]({_YEAR})((?: \d{{1,2}}:\d{{2}}(?::\d{{2}})?)?)\z"
+_CLOCK = rf"\A(?:\d{{1,2}}/\d{{1,2}}/{_YEAR}|{_YEAR}-\d{{2}}-\d{{2}}) \d{{1,2}}:\d{{2}}(?::\d{{2}})? ?[AaPp][Mm]\z"
+_NAMED = rf"\A(?:[A-Z][a-z]{{2,8}} \d{{1,2}},? {_YEAR}|\d{{1,2}} [A-Z][a-z]{{2,8}} {_YEAR}|\d{{1,2}}-[A-Z][a-z]{{2}}-{_YEAR})\z"
+# English names of the months.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 
 
 def strip(c: Column) -> Column:
@@ -96,13 +72,37 @@ def to_number(c: Column) -> Column:
 
 
 def parse_datetime(stripped: Column) -> Column:
-    """Timestamp or NULL. The shape decides how a cell is read, so each is parsed once or twice."""
-    out = F.when(~stripped.rlike(MAYBE_DATE), F.lit(None).cast("timestamp"))
-    for shape, rewrites in DATE_SHAPES:
-        tries = [F.regexp_replace(stripped, shape, r).try_cast("timestamp") for r in rewrites]
-        out = out.when(stripped.rlike(shape), F.coalesce(*tries))
-    plain = F.upper(F.regexp_replace(F.regexp_replace(stripped, ",", ""), r"(?i) ?([AP]M)\z", " $1"))
-    for shape, formats in NAMED_MONTHS:
-        told = plain if " a" in formats[0] else F.regexp_replace(stripped, ",", "")
-        out = out.when(stripped.rlike(shape), F.coalesce(*[F.try_to_timestamp(told, F.lit(f)) for f in formats]))
-    return F.when(F.year(out).between(FIRST_YEAR, LAST_YEAR), out)
+    """Timestamp or NULL.
+
+    Read are ISO dates with or without time and zone, years and year-months, ``yyyyMMdd``, two numbers and the year (month first
+    unless the first number can only be a day) with slashes, dashes or dots, English month names, 12-hour clocks, and bare
+    times (of 1970-01-01: they say nothing about a day). First, third, fifth and last characters tell the family, so that a cell
+    meets one or two regular expressions whatever it holds; an impossible month or day makes it NULL.
+    """
+    s, size = stripped, F.char_length(stripped)
+    char = lambda k: F.substring(s, k, 1)
+    last = F.right(s, F.lit(1))
+    second_or_third = lambda *of: char(2).isin(*of) | char(3).isin(*of)
+    day_first = (~char(2).isin("/", "-", ".")) & (F.substring(s, 1, 2) > "12")
+
+    zone = F.regexp_replace(s, r" ?([+\-]\d{2}):?(\d{2})\z", "$1:$2")
+    iso = F.when(size <= 16, s).when(last == "Z", F.replace(s, F.lit(" Z"), F.lit("Z"))).when(F.substring(s, -6, 6).rlike(r"[+\-]"), zone).otherwise(s)
+    compact = F.concat(F.substring(s, 1, 4), F.lit("-"), F.substring(s, 5, 2), F.lit("-"), F.substring(s, 7, 2))
+    months = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS, 1) for name in sorted({m, m[:3]}) for x in (name, f"-{k}-")])
+    number = F.try_element_at(months, F.regexp_extract(s, "[A-Z][a-z]+", 0))
+    named = F.concat(F.right(s, F.lit(4)), number, F.regexp_extract(s, r"\d{1,2}", 0))
+    text = (
+        F.when(~size.between(4, 40), None)
+        .when(char(1).between("A", "Z") | (size.between(10, 17) & F.substring(s, 3, 2).rlike("[A-Z]")), F.when(s.rlike(_NAMED), named))
+        .when(~char(1).between("0", "9"), None)
+        .when(second_or_third("/", "-", "."), F.when(s.rlike(_YEAR_LAST), F.regexp_replace(s, _YEAR_LAST, F.when(day_first, "$3-$2-$1$4").otherwise("$3-$1-$2$4"))))
+        .when(second_or_third(":"), F.when(s.rlike(rf"\A{_TIME}\z"), F.concat(F.lit("1970-01-01 "), s)))
+        .when(char(5) == "-", F.when(s.rlike(_ISO), iso))
+        .when(char(5) == "/", F.when(s.rlike(_YEAR_FIRST), F.replace(s, F.lit("/"), F.lit("-"))))
+        .when(size == 8, F.when(s.rlike(rf"\A{_YEAR}\d{{4}}\z"), compact))
+        .when(size == 4, F.when(s.rlike(rf"\A{_YEAR}\z"), s))
+    )
+    date = F.when(char(5) == "-", "yyyy-MM-dd").when(day_first, "d/M/yyyy").otherwise("M/d/yyyy")
+    form = F.concat(date, F.when(F.regexp_count(s, F.lit(":")) == 2, " h:mm:ss a").otherwise(" h:mm a"))
+    spoken = F.try_to_timestamp(F.upper(F.regexp_replace(s, r" ?([AaPp][Mm])\z", " $1")), form)
+    return F.when(last.isin("m", "M"), F.when(s.rlike(_CLOCK), spoken)).otherwise(text.try_cast("timestamp"))

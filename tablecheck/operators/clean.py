@@ -199,7 +199,7 @@ def fill_values(df: DataFrame, facts: _Facts, numeric: str, text: str) -> dict[s
     if gaps and numeric == "median":
         out |= {c: q[0] for c, q in exact_quantiles(df, {c: [0.5] for c in gaps}, facts.bounds).items() if q[0] is not None}
     elif gaps and numeric == "mean":
-        means = measure(df, {c: F.avg(C.as_number(df, c)) for c in gaps})
+        means = {c: m["mean"] for c, m in C.by_column(df, {c: C.as_number(df, c) for c in gaps}, {"mean": F.avg("value")}).items()}
         out |= {c: m for c, m in means.items() if m is not None}
     elif numeric == "zero":
         out |= dict.fromkeys(gaps, 0.0)
@@ -218,8 +218,8 @@ def outlier_bounds(df: DataFrame, method: str, facts: _Facts) -> dict[str, tuple
     if not numeric:
         return {}
     if method == "zscore":
-        m = measure(df, {(c, k): f(C.as_number(df, c)) for c in numeric for k, f in (("mean", F.avg), ("std", F.stddev_samp))})
-        found = {c: zscore_bounds({"mean": m[c, "mean"], "std": m[c, "std"]}) for c in numeric}
+        m = C.by_column(df, {c: C.as_number(df, c) for c in numeric}, {"mean": F.avg("value"), "std": F.stddev_samp("value")})
+        found = {c: zscore_bounds(m[c]) for c in numeric}
     else:
         q = exact_quantiles(df, {c: [0.25, 0.75] for c in numeric}, facts.bounds)
         found = {c: iqr_bounds({"q1": q[c][0], "q3": q[c][1]}) for c in numeric}

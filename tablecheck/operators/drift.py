@@ -69,8 +69,7 @@ class Drift:
         fs = (F.count, F.avg, F.stddev_samp, F.min, F.max)
         sides = []
         for df in (self.ref, self.new):
-            m = measure(df, {(c, f.__name__): f(C.as_number(df, c)) for c in self.numeric for f in fs})
-            sides.append({c: {f.__name__: m[c, f.__name__] for f in fs} for c in self.numeric})
+            sides.append(C.by_column(df, {c: C.as_number(df, c) for c in self.numeric}, {f.__name__: f("value") for f in fs}))
         ref, new = sides
         enough = [c for c in self.numeric if min(ref[c]["count"], new[c]["count"]) >= MIN_VALUES]
         return {c: {"ref": ref[c], "new": new[c]} for c in enough}

@@ -11,6 +11,7 @@ from tablecheck.functions import columns as C
 from tablecheck.functions import text as X
 from tablecheck.functions.columns import col, local_frame, measure
 from tablecheck.functions.figures import sample_kurtosis, sample_skewness
+from tablecheck.operators.comoments import co_moments
 from tablecheck.operators.profile import Profile, iqr_bounds
 from tablecheck.operators.quantiles import exact_quantiles, group_quantile, numeric_bounds
 
@@ -83,8 +84,8 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, quartiles, mean, std and bias-corrected skewness and excess kurtosis per column."""
     df = C.normalise_missing(df)
     fs = (F.count, F.min, F.max, F.avg, F.stddev_samp, F.skewness, F.kurtosis)
-    m = measure(df, {(c, f.__name__): f(C.as_number(df, c)) for c in columns for f in fs})
-    figures = {c: [m[c, f.__name__] for f in fs] for c in columns}
+    m = C.by_column(df, {c: C.as_number(df, c) for c in columns}, {f.__name__: f("value") for f in fs})
+    figures = {c: list(m[c].values()) for c in columns}
     q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, {c: tuple(f[:3]) for c, f in figures.items()})
     rows = [(c, *figures[c], *q[c]) for c in columns]
     t = local_frame(
@@ -138,11 +139,10 @@ def boxplot(df: DataFrame, columns: list[str]) -> DataFrame:
         v = C.as_number(df, c)
         low, high = iqr_bounds({"q1": q[c][0], "q3": q[c][2]})
         inside = F.lit(True) if low is None else v.between(low, high)
-        figures[c, "low"] = F.min(F.when(inside, v))
-        figures[c, "high"] = F.max(F.when(inside, v))
-        figures[c, "beyond"] = F.count_if(v.isNotNull() & ~inside)
-    m = measure(df, figures)
-    rows = [(c, m[c, "low"], *q[c], m[c, "high"], m[c, "beyond"]) for c in columns]
+        figures[c] = F.struct(v.alias("v"), inside.alias("inside"))
+    v, inside = F.col("value.v"), F.col("value.inside")
+    m = C.by_column(df, figures, {"low": F.min(F.when(inside, v)), "high": F.max(F.when(inside, v)), "beyond": F.count_if(v.isNotNull() & ~inside)})
+    rows = [(c, m[c]["low"], *q[c], m[c]["high"], m[c]["beyond"]) for c in columns]
     return local_frame(
         df.sparkSession, rows,
         "column string, whisker_low double, q1 double, median double, q3 double, whisker_high double, beyond long",
@@ -227,26 +227,12 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = HISTOGRAM_BINS, colo
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation over pairwise complete rows, long form ``(x, y, r)`` with both orders.
 
-    All pairs come from one scan. A column without variance gives NULL (``corr`` would fail on it).
+    All pairs come from one scan (:mod:`comoments`). A column without variance gives NULL.
     """
-    df = C.normalise_missing(df)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    figures = {}
-    for a, b in pairs:
-        va, vb = C.as_number(df, a), C.as_number(df, b)
-        both = va.isNotNull() & vb.isNotNull()
-        figures[a, b, "cov"] = F.covar_samp(va, vb)
-        figures[a, b, "sd_a"] = F.stddev_samp(F.when(both, va))
-        figures[a, b, "sd_b"] = F.stddev_samp(F.when(both, vb))
-    m = measure(df, figures)
-    rows = []
-    for a, b in pairs:
-        cov, sa, sb = (m[a, b, k] for k in ("cov", "sd_a", "sd_b"))
-        if not sa or not sb or math.isnan(sa) or math.isnan(sb):
-            r = None
-        else:
-            r = 1.0 if a == b else max(-1.0, min(1.0, cov / (sa * sb)))
-        rows += [(a, b, r)] + ([(b, a, r)] if a != b else [])
+    if not columns:
+        return local_frame(df.sparkSession, [], "x string, y string, r double")
+    r = co_moments(df, columns).correlation()
+    rows = [(a, b, None if math.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
     return local_frame(df.sparkSession, rows, "x string, y string, r double")
 
 

@@ -86,22 +86,23 @@ class Profile:
         """Row count and, per column, (non-null, constant, bytes): one scan, nothing shuffled."""
         if not self.columns:
             return 0, {}
-        figures: dict = {"rows": F.count("*")}
+        cells = {}
         for c in self.columns:
             nested = self.classes[c] == C.NESTED
             v = F.to_json(F.struct(col(c))) if nested else col(c)
-            figures[c, "n"] = F.count(col(c))
-            figures[c, "same"] = F.min(v) == F.max(v)
-            if nested or self.classes[c] == C.TEXT:
-                figures[c, "bytes"] = F.sum(F.octet_length(v).cast("long"))
-        m = measure(self.df, figures)
-        rows, out = m["rows"], {}
+            size = F.octet_length(v) if nested or self.classes[c] == C.TEXT else F.lit(0)
+            cells[c] = F.struct(F.when(col(c).isNotNull(), F.xxhash64(v)).alias("h"), size.cast("long").alias("bytes"))
+        m = C.by_column(self.df, cells, {"rows": F.count("*"), "n": F.count("value.h"), "low": F.min("value.h"), "high": F.max("value.h"), "bytes": F.sum("value.bytes")})
+        rows, out = next(iter(m.values()))["rows"], {}
+        # One hash in all rows all but proves one value; the few columns with it are looked at again.
+        alike = [c for c in self.columns if 0 < m[c]["n"] == rows and m[c]["low"] == m[c]["high"]]
+        same = measure(self.df, {c: F.min(v) == F.max(v) for c in alike for v in [F.to_json(F.struct(col(c))) if self.classes[c] == C.NESTED else col(c)]}) if alike else {}
         for c in self.columns:
-            n = m[c, "n"]
+            n = m[c]["n"]
             # Null counts as a value here: all-null is constant, one value plus nulls is not.
-            constant = n == 0 or (n == rows and bool(m[c, "same"]))
+            constant = n == 0 or bool(same.get(c))
             width = _WIDTHS.get(type(self.df.schema[c].dataType), 0)
-            out[c] = (n, constant, (m.get((c, "bytes")) or 0) + width * rows)
+            out[c] = (n, constant, (m[c]["bytes"] or 0) + width * rows)
         return rows, out
 
     def non_null(self, c: str) -> int:
@@ -167,8 +168,7 @@ class Profile:
             return {}
         v = {c: C.as_number(self.df, c) for c in self.numeric}
         moments = {"n": F.count, "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
-        m = measure(self.df, {(c, k): f(x) for c, x in v.items() for k, f in moments.items()})
-        out = {c: {k: m[c, k] for k in moments} for c in self.numeric}
+        out = C.by_column(self.df, v, {k: f("value") for k, f in moments.items()})
         quartiles = exact_quantiles(
             self.df, {c: [0.25, 0.5, 0.75] for c in v}, {c: (d["n"], d["min"], d["max"]) for c, d in out.items()}
         )
@@ -176,10 +176,9 @@ class Profile:
         for c, d in out.items():
             d["q1"], d["median"], d["q3"] = quartiles[c]
             d["low"], d["high"] = iqr_bounds(d)
-            tests[c, "iqr_outliers"] = F.count_if(outside(v[c], d["low"], d["high"]))
-            tests[c, "zscore_outliers"] = F.count_if(outside(v[c], *zscore_bounds(d)))
-        for (c, k), n in measure(self.df, tests).items():
-            out[c][k] = n
+            tests[c] = F.struct(outside(v[c], d["low"], d["high"]).alias("iqr"), outside(v[c], *zscore_bounds(d)).alias("zscore"))
+        for c, counts in C.by_column(self.df, tests, {f"{k}_outliers": F.count_if(f"value.{k}") for k in ("iqr", "zscore")}).items():
+            out[c] |= counts
         return out
 
     # ── result tables ──────────────────────────────────────────────────────────────────────

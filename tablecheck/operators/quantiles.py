@@ -3,7 +3,7 @@
 ``percentile`` keeps every distinct value of a group in one hash map, so it is used only behind a
 counted bound. Larger columns are narrowed down by histograms: each pass is one scan with map-side
 partial aggregation, shuffling at most ``BINS`` rows per task and quantile, until the bracket around
-each wanted rank is small enough to be ordered.
+each wanted rank is small enough to be ordered. The bin that holds a rank is picked in Spark: one row per rank comes back.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecheck.functions.columns import as_number, col, measure
+from tablecheck.functions.columns import as_number, by_column, col, long_form, measure
 from tablecheck.sources.storage import materialise
 
 SMALL = 100_000  # rows of a column that one `percentile` hash map may hold
@@ -35,35 +35,40 @@ class _Bracket:
     inside: int
 
 
-def _bin(value: Column, b: _Bracket, scale: str) -> Column:
-    """Monotone bin number in 0..BINS-1; ``log`` resolves brackets that span many magnitudes."""
-    low, high = max(b.low, -_LARGEST), min(b.high, _LARGEST)  # infinite values fall into the end bins
+def _bin(scale: str) -> Column:
+    """Monotone bin number in 0..BINS-1 of ``value`` between ``start`` and ``stop``; ``log`` resolves brackets that span many magnitudes."""
+    value = F.col("value")
     if scale == "log":
-        unit = max(abs(low), abs(high)) * 1e-12 or 1e-300
-
-        def curve(x):
-            return F.signum(x) * F.log1p(F.abs(x) / F.lit(unit))
-
-        start, end = curve(F.lit(low)), curve(F.lit(high))
-        share = F.try_divide(curve(value) - start, end - start)
+        value = F.signum(value) * F.log1p(F.abs(value) / F.col("unit"))
+        share = F.try_divide(value - F.col("start"), F.col("stop") - F.col("start"))
     else:
         # Halving first keeps the width finite for brackets as wide as the double range.
-        share = F.try_divide(value / 2 - F.lit(low / 2), F.lit(high / 2 - low / 2))
+        share = F.try_divide(value / 2 - F.col("start") / 2, F.col("stop") / 2 - F.col("start") / 2)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
     return F.least(F.lit(BINS - 1), F.floor(share * BINS)).cast("int")
 
 
+def _ends(b: _Bracket, scale: str) -> tuple[float, float, float]:
+    """(start, stop, unit) of the scale of a bracket; infinite values fall into the end bins."""
+    low, high = max(b.low, -_LARGEST), min(b.high, _LARGEST)
+    if scale != "log":
+        return low, high, 1.0
+    unit = max(abs(low), abs(high)) * 1e-12 or 1e-300
+    curve = lambda x: math.copysign(math.log1p(abs(x) / unit), x)
+    return curve(low), curve(high), unit
+
+
 def _rows_of(df: DataFrame, brackets: list[_Bracket], bins: str | None) -> DataFrame:
-    """``(bracket, bin, value)`` for every cell that falls into a bracket."""
-    cells = []
-    for i, b in enumerate(brackets):
-        v = as_number(df, b.column)
-        fields = [F.lit(i).alias("bracket"), v.alias("value")]
-        if bins:
-            fields.insert(1, _bin(v, b, bins).alias("bin"))
-        cells.append(F.when(v.between(b.low, b.high), F.struct(*fields)))
-    exploded = df.select(F.explode(F.array(*cells)).alias("c")).where(F.col("c").isNotNull())
-    return exploded.select("c.*")
+    """``(bracket, bin, value)`` for every cell that falls into a bracket: cells in long form meet the few brackets of
+    their column, so the plan does not grow with columns or brackets."""
+    columns = list(dict.fromkeys(b.column for b in brackets))
+    cells = long_form(df, {c: as_number(df, c) for c in columns})
+    rows = [(i, columns.index(b.column), b.low, b.high, *_ends(b, bins or "linear")) for i, b in enumerate(brackets)]
+    table = df.sparkSession.createDataFrame(rows, "bracket int, place int, low double, high double, start double, stop double, unit double")
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i)])[F.col("column")]
+    cells = cells.select(place.alias("place"), "value").where("value is not null")
+    met = cells.join(F.broadcast(table), "place").where(F.col("value").between(F.col("low"), F.col("high")))
+    return met.select("bracket", *([_bin(bins).alias("bin")] if bins else []), "value")
 
 
 def exact_quantiles(
@@ -108,65 +113,49 @@ def exact_quantiles(
 
 
 def numeric_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
-    m = measure(df, {(c, f.__name__): f(as_number(df, c)) for c in columns for f in (F.count, F.min, F.max)})
-    return {c: (m[c, "count"], m[c, "min"], m[c, "max"]) for c in columns}
+    m = by_column(df, {c: as_number(df, c) for c in columns}, {f.__name__: f("value") for f in (F.count, F.min, F.max)})
+    return {c: tuple(m[c].values()) for c in columns}
+
+
+def _at_ranks(counts: DataFrame, by: str, ranks: list[tuple[int, int]]) -> list:
+    """Rows of ``counts`` (bracket, ``by``, n) in which the wanted (bracket, rank inside it) lie, with ``rank`` and ``before``."""
+    order = Window.partitionBy("bracket").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumn("before", F.sum("n").over(order) - F.col("n"))
+    wanted = counts.sparkSession.createDataFrame(ranks, "bracket int, rank long")
+    hit = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+    return run.join(F.broadcast(wanted), "bracket").where(hit).collect()  # one row per wanted rank
 
 
 def _values_at(df: DataFrame, wanted: dict[tuple[str, int], _Bracket], small: int) -> dict:
+    def inside(keys: list[tuple[str, int]]) -> tuple[list[_Bracket], dict[tuple[int, int], list[tuple[str, int]]]]:
+        """Brackets of these keys, and which keys want which rank of which bracket."""
+        brackets = {(b.column, b.low, b.high): b for b in (wanted[k] for k in keys)}
+        at = {k: i for i, k in enumerate(brackets)}
+        ranks: dict[tuple[int, int], list[tuple[str, int]]] = {}
+        for k in keys:
+            b = wanted[k]
+            ranks.setdefault((at[b.column, b.low, b.high], k[1] - b.below), []).append(k)
+        return list(brackets.values()), ranks
+
     for step in range(PASSES):
-        wide = {
-            (b.column, b.low, b.high): b
-            for b in wanted.values()
-            if b.inside > small and b.low < b.high
-        }
+        wide = [k for k, b in wanted.items() if b.inside > small and b.low < b.high]
         if not wide:
             break
-        brackets = list(wide.values())
-        hist = (
-            _rows_of(df, brackets, "linear" if step % 2 == 0 else "log")
-            .groupBy("bracket", "bin")
-            .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-            .orderBy("bracket", "bin")
-            .collect()  # at most BINS rows per bracket
-        )
-        bins: dict[tuple, list] = {k: [] for k in wide}
-        for r in hist:
-            b = brackets[r.bracket]
-            bins[b.column, b.low, b.high].append(r)
-        for key, b in wanted.items():
-            below = b.below
-            for r in bins.get((b.column, b.low, b.high), []):
-                if below <= key[1] < below + r.n:
-                    wanted[key] = _Bracket(b.column, r.low, r.high, below, r.n)
-                    break
-                below += r.n
+        brackets, ranks = inside(wide)
+        hist = _rows_of(df, brackets, "linear" if step % 2 == 0 else "log").groupBy("bracket", "bin")
+        hist = hist.agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        for r in _at_ranks(hist, "bin", list(ranks)):
+            for k in ranks[r["bracket"], r["rank"]]:
+                wanted[k] = _Bracket(k[0], r["low"], r["high"], wanted[k].below + r["before"], r["n"])
 
     out = {k: b.low for k, b in wanted.items() if b.low == b.high}
-    open_ = {k: b for k, b in wanted.items() if k not in out}
-    if open_:
-        distinct = {(b.column, b.low, b.high): b for b in open_.values()}
-        brackets = list(distinct.values())
-        at = {k: i for i, k in enumerate(distinct)}
-        ranks: dict[int, list[int]] = {}
-        for (c, rank), b in open_.items():
-            ranks.setdefault(at[b.column, b.low, b.high], []).append(rank - b.below)
+    left = [k for k in wanted if k not in out]
+    if left:
+        brackets, ranks = inside(left)
         # Equal values are merged before the shuffle, so ties never crowd a bracket.
         counts = _rows_of(df, brackets, None).groupBy("bracket", "value").agg(F.count("*").alias("n"))
-        w = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        run = counts.withColumn("upto", F.sum("n").over(w))
-        hit = [
-            (F.col("bracket") == i) & (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r)
-            for i, rs in ranks.items()
-            for r in rs
-        ]
-        any_hit = hit[0]
-        for h in hit[1:]:
-            any_hit = any_hit | h
-        rows = run.where(any_hit).collect()  # one row per wanted rank
-        for (c, rank), b in open_.items():
-            i = at[b.column, b.low, b.high]
-            r = rank - b.below
-            out[c, rank] = next(x.value for x in rows if x.bracket == i and x.upto - x.n <= r < x.upto)
+        for r in _at_ranks(counts, "value", list(ranks)):
+            out |= dict.fromkeys(ranks[r["bracket"], r["rank"]], r["value"])
     return out
 
 
