@@ -18,6 +18,7 @@ from tablecheck.functions import columns as C
 from tablecheck.functions import text as X
 from tablecheck.functions.columns import col, local_frame, measure
 from tablecheck.functions.figures import clip
+from tablecheck.operators import duplicates
 from tablecheck.operators.duplicates import drop_duplicate_rows
 from tablecheck.operators.frequency import modes
 from tablecheck.operators.profile import Profile, iqr_bounds, outside, zscore_bounds
@@ -360,6 +361,26 @@ def change_log(before: DataFrame, plan: CleanPlan, keys: list[str]) -> DataFrame
     return rows.select(*[col(k) for k in new_keys], "x.column", "x.before", "x.after")
 
 
+def removed_rows(before: DataFrame, plan: CleanPlan) -> DataFrame:
+    """Rows that have no row of their own behind cleaning: the columns, ``copies`` and ``reason``.
+
+    Tables without a key are aligned as multisets of rows, as they are compared (names, trimming and null tokens done, before
+    anything is filled): ``duplicate`` rows are further copies of a row that stays, ``outlier`` rows went beyond the bounds.
+    Only rows whose hash repeats are shuffled for the first, and only outliers for the second kind.
+    """
+    ready = prepare(before, plan.options)
+    columns = ready.columns
+    out = duplicates.repeated_rows(ready, "__copies") if plan.options.drop_duplicates else ready.limit(0).withColumn("__copies", F.lit(0).cast("long"))
+    out = out.withColumn("__reason", F.lit("duplicate"))
+    if plan.options.outliers == "remove":
+        rows = duplicates.drop_duplicate_rows(ready) if plan.options.drop_duplicates else ready
+        whole = rows.select(*[col(c) for c in columns if c not in plan.dropped], F.struct(*[col(c) for c in columns]).alias("__row"))
+        filled = fill(whole, plan.fills)
+        gone = filled.where(plan.is_outlier(filled)).groupBy("__row").agg(F.count("*").alias("__copies"))
+        out = out.unionByName(gone.select("__row.*", "__copies").withColumn("__reason", F.lit("outlier")))
+    return out.select(*[col(c) for c in columns], F.col("__copies").alias("copies"), F.col("__reason").alias("reason"))
+
+
 def _same(before: DataFrame, after: DataFrame, c: str) -> Column:
     """Equal cells; widening an integer to double is no change."""
     old = F.col("__old").getField(c)

@@ -12,6 +12,7 @@ from tablecheck.functions.columns import col, local_frame, measure
 from tablecheck.functions.figures import ks_p_value, psi_term
 from tablecheck.operators.frequency import value_counts
 from tablecheck.operators.quantiles import with_bucket
+from tablecheck.sources.storage import materialise
 
 MIN_VALUES = 5  # fixed value: fewer non-null values on a side and a numeric column is skipped
 MAX_CATEGORIES = 50  # fixed value: more distinct values in the union and a text column is skipped
@@ -215,6 +216,52 @@ class Drift:
             (F.col("psi") >= PSI_MODERATE).alias("drifted"),
         )
 
+    def categorical_drift_all(self, top: int = MAX_CATEGORIES - 1) -> DataFrame:
+        """PSI of every common text column with values on both sides, whatever their number: the ``top`` most frequent
+        values of the reference (ties by value) are classes of their own, all others one more. ``(column, classes, psi, drifted)``.
+
+        Values are counted exactly; only the first ``top`` of each task and column meet in one window.
+        """
+        if not self.text:
+            return local_frame(self.spark, [], "column string, classes long, psi double, drifted boolean")
+
+        def side(df: DataFrame, ref: int) -> DataFrame:
+            return value_counts(df, self.text).select("column", "value", *[(F.col("n") * x).alias(k) for k, x in (("ref", ref), ("new", 1 - ref))])
+
+        counts = side(self.ref, 1).unionByName(side(self.new, 0)).groupBy("column", "value").agg(F.sum("ref").alias("ref"), F.sum("new").alias("new"))
+        counts = materialise(counts, "value-counts")
+        order = Window.partitionBy("column").orderBy(F.desc("ref"), "value")
+        first = counts.where("ref > 0").withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).select("column", "value", "ref", "new")
+        whole = counts.groupBy("column").agg(F.sum("ref").alias("n"), F.sum("new").alias("m"))
+        named = first.groupBy("column").agg(F.collect_list(F.struct("ref", "new")).alias("named"), F.sum("ref").alias("r"), F.sum("new").alias("w"))  # at most ``top`` each
+        rows = whole.join(named, "column").where("n > 0 and m > 0")
+        others = F.struct((F.col("n") - F.col("r")).alias("ref"), (F.col("m") - F.col("w")).alias("new"))
+        classes = F.filter(F.concat("named", F.array(others)), lambda c: c["ref"] + c["new"] > 0)
+        psi = F.aggregate(classes, F.lit(0.0), lambda a, c: a + psi_term(c["ref"] / F.col("n"), c["new"] / F.col("m")))
+        out = rows.select("column", F.size(classes).cast("long").alias("classes"), psi.alias("psi"))
+        return out.select("column", "classes", F.round("psi", 4).alias("psi"), (F.col("psi") >= PSI_MODERATE).alias("drifted"))
+
+    def skipped(self) -> DataFrame:
+        """``(column, reason)`` of every column of either table that no drift figure covers."""
+        rows = [(c, "only in the new table") for c in sorted(set(self.new.columns) - set(self.common))]
+        rows += [(c, "only in the reference") for c in sorted(set(self.ref.columns) - set(self.common))]
+        rows += [(c, "neither numeric nor text on both sides") for c in self.common if c not in self.numeric and c not in self.text]
+        rows += [(c, f"fewer than {MIN_VALUES} values on a side") for c in self.numeric if c not in self._moments]
+        covered = {r["column"] for r in self.categorical_drift().select("column").collect()}
+        few = set(self._few_valued)
+        left = [c for c in self.text if c not in covered]
+        small = {}
+        if any(c in few for c in left):
+            totals = self._categories.groupBy("column").agg(F.count("*").alias("k"), F.sum("ref").alias("n"), F.sum("new").alias("m"))
+            small = {r["column"]: r for r in totals.collect()}
+        for c in left:
+            r = small.get(c)
+            if c not in few or (r and r["k"] > MAX_CATEGORIES):
+                rows.append((c, f"more than {MAX_CATEGORIES} different values"))
+            else:
+                rows.append((c, "no values on a side" if not r or not r["n"] or not r["m"] else "a single value"))
+        return local_frame(self.spark, rows, "column string, reason string")
+
     # ── reports ────────────────────────────────────────────────────────────────────────────
 
     def summary(self) -> DataFrame:

@@ -49,21 +49,32 @@ def repeated_hashes(df: DataFrame) -> tuple[DataFrame, int]:
     return kept, kept.count()
 
 
+def _suspects(df: DataFrame) -> DataFrame:
+    """All rows whose hash repeats (the whole table where that is cheaper than finding out)."""
+    if _is_narrow(df):
+        return df
+    hashes, repeated = repeated_hashes(df)
+    if repeated > BROADCAST_HASHES:
+        return df
+    return df.withColumn(_HASH, row_hash(df)).join(F.broadcast(hashes), _HASH, "left_semi").drop(_HASH)
+
+
 def duplicate_rows(df: DataFrame) -> int:
     """Rows equal to an earlier row; nulls equal each other."""
-    suspects = df
-    if not _is_narrow(df):
-        hashes, repeated = repeated_hashes(df)
-        if repeated == 0:
-            return 0
-        if repeated <= BROADCAST_HASHES:
-            suspects = df.withColumn(_HASH, row_hash(df)).join(
-                F.broadcast(hashes), _HASH, "left_semi"
-            ).drop(_HASH)
+    suspects = _suspects(df)
     groups = suspects.groupBy(*_comparable(suspects)).agg(F.count("*").alias("n")).where("n > 1")
     return int(groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0])
 
 
+def repeated_rows(df: DataFrame, name: str) -> DataFrame:
+    """One of each group of equal rows, with the number of its further copies as ``name``."""
+    suspects = _suspects(df)
+    keys = _comparable(suspects)
+    row = F.first(F.struct(*[col(c) for c in df.columns])).alias("__row")
+    groups = suspects.groupBy(*keys).agg(row, (F.count("*") - 1).alias("__more")).where("__more > 0")
+    return groups.select("__row.*", F.col("__more").alias(name))
+
+
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     """One copy of every distinct row.
 

@@ -21,6 +21,7 @@ from tablecheck.functions.figures import percent_of, round_half_up
 from tablecheck.operators import dependencies, duplicates, neardup
 from tablecheck.operators.frequency import distinct_counts
 from tablecheck.operators.quantiles import exact_quantiles
+from tablecheck.sources.storage import materialise
 
 _WIDTHS = {
     T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4,
@@ -32,8 +33,9 @@ class Profile:
     """Lazy collection of per-column figures of ``df``.
 
     ``approx_distinct`` counts distinct values by sketch; ``fd_max_pairs`` is an optional budget of column
-    pairs for dependencies (by default all are checked) and ``fd_sample`` an optional share of rows to check them
-    on (candidates are chosen on the full table, and by default so is the check); ``near_dup_columns`` limits the near-duplicate search,
+    pairs for dependencies (by default all are checked) and ``fd_sample`` an optional share or number of rows to check them
+    on, the same rows whatever the partitioning, drawn by a hash of the columns ``fd_sample_by`` (all; candidates are chosen on
+    the full table, and by default so is the check); ``near_dup_columns`` limits the near-duplicate search,
     by default every text column takes part.
     """
 
@@ -43,7 +45,8 @@ class Profile:
         *,
         approx_distinct: bool = False,
         fd_max_pairs: int | None = None,
-        fd_sample: float | None = None,
+        fd_sample: float | int | None = None,
+        fd_sample_by: list[str] | None = None,
         near_dup_threshold: float = 80.0,
         near_dup_columns: list[str] | None = None,
     ):
@@ -55,7 +58,7 @@ class Profile:
         self.text = [c for c in self.columns if self.classes[c] == C.TEXT]
         self.numeric = [c for c in self.columns if self.classes[c] == C.NUMERIC]
         self.approx_distinct = approx_distinct
-        self.fd_max_pairs, self.fd_sample = fd_max_pairs, fd_sample
+        self.fd_max_pairs, self.fd_sample, self.fd_sample_by = fd_max_pairs, fd_sample, fd_sample_by
         self.near_dup_threshold = near_dup_threshold
         self.near_dup_columns = self.text if near_dup_columns is None else near_dup_columns
 
@@ -345,7 +348,9 @@ class Profile:
     def _dependencies(self) -> list[tuple]:
         if self.empty:
             return []
-        df = self.df if self.fd_sample is None else self.df.sample(self.fd_sample, seed=42)
+        df = self.df
+        if self.fd_sample is not None:
+            df = materialise(dependencies.sampled_rows(df, self.fd_sample, self.fd_sample_by), "sample")
         return dependencies.functional_dependencies(df, self.rows, self.distinct, self.fd_max_pairs)
 
     def functional_deps(self) -> DataFrame:

@@ -228,10 +228,10 @@ register(
 )
 
 
-def _fd_sql(columns: list[str], source: str, prefix: str) -> str:
+def _fd_sql(columns: list[str], source: str, prefix: str, sample: str | None = None) -> str:
     branches = Q.union(
         f"SELECT '{a}' AS determinant, '{b}' AS dependent, count(*) AS groups_checked, max(k) AS most FROM "
-        f"(SELECT {a}, count(DISTINCT {b}) AS k FROM {source} WHERE {a} IS NOT NULL GROUP BY {a}) "
+        f"(SELECT {a}, count(DISTINCT {b}) AS k FROM {sample or source} WHERE {a} IS NOT NULL GROUP BY {a}) "
         f"WHERE (SELECT count(DISTINCT {a}) BETWEEN 2 AND greatest(0.5 * count(*), 2) FROM {source})"
         for a in columns
         for b in columns
@@ -258,6 +258,11 @@ register(
     lambda spark, sf: Profile(_geo(spark, sf)).functional_deps(),
     _fd_sql(["c_custkey", "c_mktsegment", "n_nationkey", "n_name", "r_regionkey", "r_name"], "geo", f"WITH geo AS ({_GEO})"),
 )
+register(
+    "functional_deps_sampled",
+    lambda spark, sf: Profile(_geo(spark, sf), fd_sample=1000, fd_sample_by=["c_custkey"]).functional_deps(),
+    _fd_sql(["c_custkey", "c_mktsegment", "n_nationkey", "n_name", "r_regionkey", "r_name"], "geo", f"WITH geo AS ({_GEO}), drawn AS (SELECT * FROM geo ORDER BY md5(c_custkey::VARCHAR) LIMIT 1000)", "drawn"),
+)
 
 # ── score ──────────────────────────────────────────────────────────────────────────────────────
 
@@ -499,7 +504,8 @@ register(
 def _change_log(df: DataFrame) -> DataFrame:
     result = K.clean(df, max_missing_pct=70.0)
     log = K.change_log(df, result.plan, ["id"])
-    return log.where("column != 'balance'")  # its cells are doubles; their text differs between engines
+    number = lambda c: F.when(col("column") == "balance", col(c).cast("double").cast("decimal(18,4)").cast("string")).otherwise(col(c))
+    return log.select("id", "column", number("before").alias("before"), number("after").alias("after"))  # the text of doubles differs between engines
 
 
 _CHANGED = Q.union(
@@ -507,8 +513,25 @@ _CHANGED = Q.union(
     for c in Q.TEXT
     if c != "empty_col"
 )
+_CHANGED += " UNION ALL SELECT id, 'balance', balance::DECIMAL(18,4)::VARCHAR, coalesce(balance, (SELECT quantile_cont(balance, 0.5) FROM deduped))::DECIMAL(18,4)::VARCHAR FROM dirty_customer"
 register("change_log", on("dirty_customer", _change_log), f'{Q.CLEANED} SELECT * FROM ({_CHANGED}) WHERE "before" IS DISTINCT FROM "after"')
 
+
+def _removed(df: DataFrame) -> DataFrame:
+    return K.removed_rows(df, K.clean(df, max_missing_pct=70.0, outliers="remove").plan)
+
+
+_BOUNDED = ["id", "balance", "nation_key", "region_key"]
+register(
+    "removed_rows",
+    on("dirty_customer", _removed),
+    f"{Q.CLEANED}, f AS (SELECT deduped.*, coalesce(balance, (SELECT quantile_cont(balance, 0.5) FROM deduped)) AS filled FROM deduped), "
+    f"q AS (SELECT {', '.join(f'quantile_cont({v}, 0.25) AS a_{c}, quantile_cont({v}, 0.75) AS b_{c}' for c in _BOUNDED for v in ['filled' if c == 'balance' else c])} FROM f) "
+    "SELECT *, count(*) - 1 AS copies, 'duplicate' AS reason FROM tokened GROUP BY ALL HAVING count(*) > 1 UNION ALL "
+    "SELECT f.* EXCLUDE filled, 1, 'outlier' FROM f, q WHERE "
+    + " OR ".join(f"(b_{c} > a_{c} AND ({v} < a_{c} - 1.5 * (b_{c} - a_{c}) OR {v} > b_{c} + 1.5 * (b_{c} - a_{c})))" for c in _BOUNDED for v in ["filled" if c == "balance" else c]),
+)
+
 # ── insights ───────────────────────────────────────────────────────────────────────────────────
 
 
@@ -789,6 +812,29 @@ register(
     "QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, category) <= 12",
 )
 
+
+def _halves(spark: SparkSession, sf: str) -> Drift:
+    df = table(spark, sf, "dirty_customer")
+    return Drift(df.where("id % 2 = 0"), df.where("id % 2 = 1"))
+
+
+_VALUES = Q.union(f"SELECT '{c}' AS col, {c} AS v, (id % 2 = 0)::INT AS r, (id % 2 = 1)::INT AS w FROM dirty_customer WHERE {c} IS NOT NULL" for c in Q.TEXT if c != "empty_col")
+_COUNTED = f"{Q.view('dirty_customer')}, k AS (SELECT col, v, sum(r) AS r, sum(w) AS w FROM ({_VALUES}) GROUP BY col, v)"
+register(
+    "psi_wide",
+    lambda spark, sf: _halves(spark, sf).categorical_drift_all(),
+    f"{_COUNTED}, n AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY r DESC, v) AS place FROM k), "
+    "c AS (SELECT col, CASE WHEN r > 0 AND place <= 49 THEN v ELSE NULL END AS v, sum(r) AS r, sum(w) AS w FROM n GROUP BY ALL), "
+    "p AS (SELECT col, greatest(r::DOUBLE / sum(r) OVER (PARTITION BY col), 1e-6) AS a, greatest(w::DOUBLE / sum(w) OVER (PARTITION BY col), 1e-6) AS b FROM c), "
+    "x AS (SELECT col AS \"column\", count(*) AS classes, sum((b - a) * ln(b / a)) AS psi FROM p GROUP BY col) SELECT \"column\", classes, round(psi, 4) AS psi, psi >= 0.1 AS drifted FROM x",
+)
+register(
+    "drift_skipped",
+    lambda spark, sf: _halves(spark, sf).skipped(),
+    f"{_COUNTED} SELECT col AS \"column\", CASE WHEN count(*) > 50 THEN 'more than 50 different values' WHEN sum(r) = 0 OR sum(w) = 0 THEN 'no values on a side' ELSE 'a single value' END AS reason "
+    "FROM k GROUP BY col HAVING count(*) NOT BETWEEN 2 AND 50 OR sum(r) = 0 OR sum(w) = 0 UNION ALL SELECT 'empty_col', 'no values on a side'",
+)
+
 # ── dates in text ──
 
 # Shape, format of the date, what is put in front and behind.
@@ -906,9 +952,9 @@ register(
 
 
 def _wide(spark: SparkSession, sf: str) -> DataFrame:
-    """1200 columns whose header alone is longer than 20 000 characters: all must come back with their sums."""
-    names = [f"a_rather_long_column_name_{i}" for i in range(1200)]
-    df = table(spark, sf, "nation").select(*[(F.col("n_nationkey") + i).alias(c) for i, c in enumerate(names)])
+    """700 columns whose header alone is longer than 20 000 characters: all must come back with their sums."""
+    names = [f"a_rather_long_column_name_{i}" for i in range(700)]
+    df = table(spark, sf, "supplier").select(*[(F.col("s_suppkey") + i).alias(c) for i, c in enumerate(names)])
     got = tables.read_csv(spark, _csv_copy(spark, df)).df
     sums = got.agg(*[F.sum(c).alias(c) for c in got.columns]).unpivot([], got.columns, "column", "total")
     return sums.select("column", F.col("total").cast("long").alias("total"))
@@ -917,30 +963,35 @@ def _wide(spark: SparkSession, sf: str) -> DataFrame:
 register(
     "csv_wide",
     _wide,
-    "SELECT 'a_rather_long_column_name_' || i AS \"column\", (sum(n_nationkey) + i * count(*))::BIGINT AS total FROM nation, range(1200) r(i) GROUP BY i",
+    "SELECT 'a_rather_long_column_name_' || i AS \"column\", (sum(s_suppkey) + i * count(*))::BIGINT AS total FROM supplier, range(700) r(i) GROUP BY i",
 )
 
 
+def _multiline(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with line breaks and quotes in their text, written as CSV and read split by split."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit('"'), "text", F.lit('"\n')).alias("text"), "source")
+    got = tables.read_csv(spark, _csv_copy(spark, docs), multi_line=True, separator=",").df
+    return got.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "source")
+
+
+register("csv_multiline", _multiline, "SELECT doc_id, sha256('\"' || text || '\"' || chr(10)) AS text_sha256, source FROM documents")
+
+
 def _guarded(spark: SparkSession, sf: str) -> DataFrame:
-    """Files made from orders with one fault each: what the reader says, or how many rows it has."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    line = F.concat_ws(",", "o_orderkey", "o_orderpriority")
+    """Files made from orders with one faulty line each, in a file of its own: what the reader says, or how many rows it has."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"))
+    last = orders.agg(F.max("key").alias("key"))
     head = spark.createDataFrame([("key,priority",)], "value string")
-    body = orders.select(line.alias("value"))
-    last = orders.agg(F.max("o_orderkey").alias("o_orderkey"))
-    kinds = {
-        "sound": body,
-        "empty surplus": body.unionByName(last.select(F.concat("o_orderkey", F.lit(",x,")).alias("value"))),
-        "surplus behind an empty field": body.unionByName(last.select(F.concat("o_orderkey", F.lit(",x,,99")).alias("value"))),
-        "quoted separators": body.unionByName(last.select(F.concat("o_orderkey", F.lit(',"x,y,z"')).alias("value"))),
-        "short row": body.unionByName(last.select(F.col("o_orderkey").cast("string").alias("value"))),
-        "no rows": body.limit(0),
-    }
+    kinds = {"sound": None, "empty surplus": ",x,", "surplus behind an empty field": ",x,,99", "quoted separators": ',"x,y,z"', "short row": "", "no rows": None}
     rows = []
-    for kind, lines in kinds.items():
+    for kind, tail in kinds.items():
         path = storage.scratch_path(spark, "guard")
-        in_order = head.withColumn("at", F.lit(0)).unionByName(lines.withColumn("at", F.lit(1)))
-        in_order.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+        if kind == "no rows":
+            head.write.text(path)
+        else:
+            export.write_csv(orders, path)
+        if tail is not None:
+            last.select(F.concat(F.lit("key,priority\n"), "key", F.lit(tail)).alias("value")).write.mode("append").text(path)
         got = tables.read_csv(spark, path, separator=",")
         rows.append((kind, got.error.split(":")[0] if got.error else None, got.df.count() if got.df else 0))
     path = storage.scratch_path(spark, "guard")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tablecheck.functions import columns as C
 from tablecheck.functions import text as X
 from tablecheck.functions.columns import col
+from tablecheck.sources.records import quoted_records
 
 SEPARATORS = [",", ";", "\t", "|"]  # fixed value: separators that are told apart
 SAMPLE_LINES = 100  # default of the lines of the file's head that the separator is judged by
@@ -186,7 +187,7 @@ def read_csv(
     """Read a delimited file or directory of files with a header line.
 
     Files are split over tasks by Spark whatever their size. ``multi_line`` allows line breaks within
-    quotes, at the price of one task per file. The separator is judged by the first ``sample_lines``
+    quotes, which costs one more scan (:func:`quoted_records`; UTF-16 files are then read by one task each). The separator is judged by the first ``sample_lines``
     lines. A row with more fields than the header, empty ones included, makes the file malformed; shorter
     rows are filled with nulls.
     """
@@ -213,7 +214,10 @@ def read_csv(
         )
         if encoding.startswith("UTF-16") and not multi_line:
             raw = raw.option("lineSep", "\n")
-        raw = raw.csv(path)
+        if multi_line and not encoding.startswith("UTF-16"):
+            raw = _from_records(spark, path, "ISO-8859-1" if encoding == "windows-1252" else encoding, schema, separator)
+        else:
+            raw = raw.csv(path)
         if encoding.startswith("UTF-16"):  # a carriage return before the line break is not cut off there
             last = f"c{len(names) - 1}"
             raw = raw.withColumn(last, F.regexp_replace(last, r"\r\z", ""))
@@ -235,6 +239,15 @@ def read_csv(
         return LoadResult(None, f"Malformed file: {e}", meta)
 
 
+def _from_records(spark: SparkSession, path: str, encoding: str, schema: T.StructType, separator: str) -> DataFrame:
+    """The fields of all records but the header of each file, the last column as for rows with a wrong number of fields."""
+    records = quoted_records(spark, path, encoding)
+    extra = schema.fieldNames()[-1]
+    options = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": extra, "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, len(schema) + 1)), "multiLine": "true"}
+    rows = records.where("not first")
+    return rows.select(F.from_csv("record", ", ".join(f"{c} STRING" for c in schema.fieldNames()), options).alias("r")).select("r.*")
+
+
 def read_table(
     spark: SparkSession, path: str, fmt: str | None = None, persist: bool = False, **options
 ) -> LoadResult:

@@ -1,10 +1,13 @@
+import csv
+import io
 import json
+import random
 
 import pytest
 
 from tablecheck.operators.profile import Profile
 from tablecheck.operators.clean import clean
-from tablecheck.sources import export, storage, tables
+from tablecheck.sources import export, records, storage, tables
 
 
 @pytest.fixture
@@ -139,6 +142,32 @@ def test_line_breaks_in_quotes(spark, write):
     assert r.df.first().b == "x\ny"
 
 
+@pytest.mark.parametrize("size", [7, 64, 1000])
+def test_records_over_splits(spark, tmp_path, size):
+    rng = random.Random(size)
+    cell = lambda: rng.choice(["", "a", "x,y", 'say ""hi""', "one\ntwo", "\n", "long " * 30 + "\n\n" + "é" * 40, "1\r\n2"])
+    rows = [(str(i), cell(), cell()) for i in range(200)]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for part in range(3):
+        body = "".join(f'{a},"{b}","{c}"\n' for a, b, c in rows[part::3])
+        (folder / f"{part}.csv").write_bytes(("id,b,\"the\nc\"\n" + body).encode())
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size * 10))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = records.quoted_records(spark, str(folder)).where("not first")
+        assert got.rdd.getNumPartitions() > 3
+        found = sorted(next(csv.reader(io.StringIO(r["record"], newline=""))) for r in got.collect())
+        r = tables.read_csv(spark, str(folder), multi_line=True, separator=",")
+        assert r.error is None and r.df.count() == 200
+        assert {tuple(x)[1] for x in r.df.select("id", "b").collect()} <= {b.replace('""', '"') or None for _, b, _c in rows}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+    assert found == sorted([a, b.replace('""', '"'), c.replace('""', '"')] for a, b, c in rows)
+
+
 def test_several_tables(spark, write, tmp_path):
     got = tables.read_tables(spark, {"one_t": write("a,b\n1,2\n", "1.csv"), "bad_t": write("", "2.csv"), "gone_t": str(tmp_path / "x.csv")})
     assert [r.error is None for r in got.values()] == [True, False, False]
