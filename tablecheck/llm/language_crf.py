@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -286,8 +287,8 @@ def classify_by_length(column: pa.Array, crf: LanguageCrf | None, spans: bool) -
     while start < len(order):
         stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + STEP_BYTES, side="right")))
         some = order[start:stop]
-        for i, *judged in zip(some.tolist(), *classify(column.take(pa.array(some)).to_pylist(), crf, spans), strict=True):
-            best[i], score[i], runs[i] = judged
+        for i, lang, sure, parts in zip_longest(some.tolist(), *classify(column.take(pa.array(some)).to_pylist(), crf, spans)):
+            best[i], score[i], runs[i] = lang, sure, parts
         start = stop
     return best, score, runs
 
