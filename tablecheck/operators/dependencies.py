@@ -97,13 +97,13 @@ def _confirmed(df: DataFrame, pairs: list[tuple[str, str]], keys: dict) -> dict[
 
 
 def sampled_rows(df: DataFrame, size: int | float, by: list[str] | None = None) -> DataFrame:
-    """The rows with the least MD5 of their cells: exactly ``size`` of them if that is a whole number, else that share.
+    """A share of the rows, drawn row by row, or exactly ``size`` rows: those with the least MD5 of their cells.
 
-    The same rows whatever the partitioning or order of the table; each task keeps its own ``size`` least ones. ``by`` names the
-    columns that are hashed (all by default); rows that agree in them have one hash and are drawn as they come.
+    The latter are the same whatever the partitioning or order of the table; each task keeps its own ``size`` least ones. ``by``
+    names the columns that are hashed (all by default). Rows that agree in them have one hash and come together, so tables
+    with many equal rows are better sampled by share.
     """
+    if isinstance(size, float):
+        return df.sample(size, seed=42)
     cells = [F.coalesce(F.col("`" + c.replace("`", "``") + "`").cast("string"), F.lit("\u0000")) for c in (by or df.columns)]
-    key = F.md5(F.concat_ws("|", *cells))
-    if isinstance(size, int):
-        return df.withColumn("__key", key).orderBy("__key").limit(size).drop("__key")
-    return df.where(F.conv(F.substring(key, 1, 13), 16, 10).cast("double") < size * 2.0**52)
+    return df.withColumn("__key", F.md5(F.concat_ws("|", *cells))).orderBy("__key").limit(size).drop("__key")

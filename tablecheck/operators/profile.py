@@ -33,8 +33,8 @@ class Profile:
     """Lazy collection of per-column figures of ``df``.
 
     ``approx_distinct`` counts distinct values by sketch; ``fd_max_pairs`` is an optional budget of column
-    pairs for dependencies (by default all are checked) and ``fd_sample`` an optional share or number of rows to check them
-    on, the same rows whatever the partitioning, drawn by a hash of the columns ``fd_sample_by`` (all; candidates are chosen on
+    pairs for dependencies (by default all are checked) and ``fd_sample`` an optional share (float) or number (int) of rows to check
+    them on, a number by a hash of the columns ``fd_sample_by`` (all), whatever the partitioning (candidates are chosen on
     the full table, and by default so is the check); ``near_dup_columns`` limits the near-duplicate search,
     by default every text column takes part.
     """
