@@ -104,7 +104,7 @@ def test_graph_finds_near_centroids():
 
 
 def test_registry():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) == {n for n in entry.oracle_sql() if n in QUERIES}
 
 
