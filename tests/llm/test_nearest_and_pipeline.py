@@ -113,7 +113,8 @@ def test_equals_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), check_oracles.duck(SF).execute(ORACLES[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    key = lambda f: sorted(map(str, f[columns].astype(object).where(f[columns].notna(), None).itertuples(index=False, name=None)))
+    # whole numbers with nulls come as floats from one side: both are given the narrowest type that holds them
+    key = lambda f: sorted(map(str, f[columns].convert_dtypes().astype(object).where(f[columns].notna(), None).itertuples(index=False, name=None)))
     assert key(got) == key(want)
 
 
