@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecheck.functions import text as X
-from tablecheck.functions.columns import col, type_names
+from tablecheck.functions.columns import col, long_form, type_names
 from tablecheck.operators import clean as K
 from tablecheck.operators import dependencies, duplicates, frequency, neardup
 from tablecheck.operators import insights as I
@@ -956,8 +956,8 @@ def _wide(spark: SparkSession, sf: str) -> DataFrame:
     names = [f"a_rather_long_column_name_{i}" for i in range(700)]
     df = table(spark, sf, "supplier").select(*[(F.col("s_suppkey") + i).alias(c) for i, c in enumerate(names)])
     got = tables.read_csv(spark, _csv_copy(spark, df)).df
-    sums = got.agg(*[F.sum(c).alias(c) for c in got.columns]).unpivot([], got.columns, "column", "total")
-    return sums.select("column", F.col("total").cast("long").alias("total"))
+    cells = long_form(got, {c: col(c) for c in got.columns})
+    return cells.groupBy("column").agg(F.sum("value").cast("long").alias("total"))
 
 
 register(
