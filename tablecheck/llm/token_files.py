@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablecheck.llm.pieces import PieceMemory, tokenizer_path
+from tablecheck.llm.pieces import PieceTable, tokenizer_path
 from tablecheck.sources.storage import scratch_path
 
 #: Ids in a block of a file, about; a document is never cut.
@@ -25,7 +25,7 @@ BATCH_CHARS = 4_000_000
 #: Lengths of the four values that a control byte describes: two bits each, lowest first, length less one.
 LENGTHS = (((np.arange(256)[:, None] >> (2 * np.arange(4))[None, :]) & 3) + 1).astype(np.uint8)
 
-TOKEN_SCHEMA = "part int, block int, doc_ids array<bigint>, lengths array<int>, ids binary"
+TOKEN_SCHEMA = "part int, block int, doc_ids array<bigint>, lengths array<int>, ids binary, seen array<int>, times array<bigint>"
 FILE_SCHEMA = "part int, block int, doc_ids array<bigint>, lengths array<int>, control binary, data binary"
 READ_SCHEMA = "part int, block int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -64,7 +64,7 @@ REMEMBERED, JOINED = 1_000_000, 512
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> PieceMemory:
+def _encoder(path: str) -> PieceTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
@@ -72,40 +72,39 @@ def _encoder(path: str) -> PieceMemory:
     vocabulary = tokenizer.get_vocab()
     begins = np.zeros(max(vocabulary.values()) + 1, bool)
     begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # the byte-level sign of a space
+    none = np.zeros(0, np.int64)
 
-    def ids_of(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(pieces: list[str]) -> list[bytes]:
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # a space and a word: strings of them are cut again where a token begins with the space
         words = [k for k, p in enumerate(pieces) if _WORD(p)]
-        out: list[bytes] = [b""] * len(pieces)
-        for k, ids in zip(words, _cut(ids_of(["".join([pieces[k] for k in words[i : i + JOINED]]) for i in range(0, len(words), JOINED)])), strict=True):
-            out[k] = ids
-        rest = sorted(set(range(len(pieces))) - set(words))
-        for k, ids in zip(rest, ids_of([pieces[k] for k in rest]), strict=True):
-            out[k] = ids.tobytes()
-        return out
-
-    def _cut(strings: list[np.ndarray]) -> list[bytes]:
-        whole = np.concatenate([*strings, np.zeros(0, "<u4")]).astype("<u4")
-        edges = (4 * np.append(np.flatnonzero(begins[whole]), len(whole))).tolist()
-        body = whole.tobytes()
-        return [body[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-
-    memory = PieceMemory(encode, REMEMBERED)
+        strings = ["".join([pieces[k] for k in words[i : i + JOINED]]) for i in range(0, len(words), JOINED)]
+        ids = np.concatenate([none, *[e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]])
+        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        edges = np.flatnonzero(begins[ids])
+        starts[words], sizes[words] = edges, np.diff(np.append(edges, len(ids)))
+        rest = np.setdiff1d(np.arange(len(pieces)), words)
+        others = [e.ids for e in tokenizer.encode_batch_fast([pieces[k] for k in rest.tolist()], add_special_tokens=False)]
+        sizes[rest] = [len(x) for x in others]
+        starts[rest] = len(ids) + np.cumsum(sizes[rest]) - sizes[rest]
+        return np.concatenate([ids, *others]).astype(np.uint32), starts, sizes
+
+    table = PieceTable(encode, REMEMBERED)
     # special tokens are searched in the whole text, so texts that hold one are encoded whole
-    memory.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return memory
+    table.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return table
+
+
+def encode_batch(texts: list[str], path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other and each with the end id, and how many each text has."""
+    table = _encoder(path)
+    cut = ([t] if _UNSURE.search(t) or any(s in t for s in table.special) else _PIECES.findall(t) for t in texts)
+    return table.ids(cut, end_id)
 
 
 def encode_texts(texts: list[str], path: str, end_id: int | None) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers, with the end id."""
-    memory = _encoder(path)
-    cut = [[t] if _UNSURE.search(t) or any(s in t for s in memory.special) else _PIECES.findall(t) for t in texts]
-    known = memory.learn(cut)
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    return [b"".join(map(known.__getitem__, pieces)) + end for pieces in cut]
+    ids, sizes = encode_batch(texts, path, end_id)
+    return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
 
 def batches(stream: Iterator[pa.RecordBatch], text: str, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
@@ -121,27 +120,45 @@ def batches(stream: Iterator[pa.RecordBatch], text: str, chars: int = BATCH_CHAR
 
 
 def _tokenise(path: str, end_id: int):
+    """Blocks of encoded documents, and at the end of the task one row with the counts of all its ids."""
+    names = ["part", "block", "doc_ids", "lengths", "ids", "seen", "times"]
+    types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path_here, part, block = tokenizer_path(path), TaskContext.get().partitionId(), 0
-        names, sizes, ids, held = [], [], [], 0
+        docs, sizes, ids, held = [], [], [], 0
+        total = np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
-            raw = np.frombuffer(b"".join(ids), "<u4")
+            raw = np.concatenate(ids)
             width = "<u2" if raw.max(initial=0) < 65536 else "<u4"
             body = bytes([2 if width == "<u2" else 4]) + raw.astype(width).tobytes()
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([body], pa.binary())], names=["part", "block", "doc_ids", "lengths", "ids"])
+            return row(part, block, np.concatenate(docs), np.concatenate(sizes), body, None, None)
 
         for batch in batches(stream, "text"):
-            for name, got in zip(batch.column("id").to_pylist(), encode_texts([t or "" for t in batch.column("text").to_pylist()], path_here, end_id), strict=True):
-                names.append(name)
-                sizes.append(len(got) // 4)
-                ids.append(got)
-                held += sizes[-1]
+            got, lengths = encode_batch([t or "" for t in batch.column("text").to_pylist()], path_here, end_id)
+            some = np.bincount(got, minlength=len(total))
+            some[: len(total)] += total
+            total = some
+            of, stops, start = batch.column("id"), np.cumsum(lengths), 0
+            while start < len(lengths):  # documents up to the one that fills the block
+                before = int(stops[start - 1]) if start else 0
+                stop = min(len(lengths), int(np.searchsorted(stops, before + BLOCK_IDS - held)) + 1)
+                docs.append(of.slice(start, stop - start).to_numpy(zero_copy_only=False) if not of.null_count else np.array(of.slice(start, stop - start).to_pylist(), object))
+                sizes.append(lengths[start:stop].astype(np.int32))
+                ids.append(got[before : int(stops[stop - 1])])
+                held, start = held + int(stops[stop - 1]) - before, stop
                 if held >= BLOCK_IDS:
                     yield out()
-                    names, sizes, ids, held, block = [], [], [], 0, block + 1
-        if names:
+                    docs, sizes, ids, held, block = [], [], [], 0, block + 1
+        if docs:
             yield out()
+        seen = np.flatnonzero(total)
+        if len(seen):
+            yield row(None, None, None, None, None, seen.astype(np.int32), total[seen])
 
     return run
 
@@ -150,17 +167,6 @@ def _raw_ids(body: bytes) -> np.ndarray:
     return np.frombuffer(body, "<u2" if body[0] == 2 else "<u4", offset=1)
 
 
-def _count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in stream:
-        for body in batch.column("ids"):
-            some = np.bincount(_raw_ids(body.as_py()), minlength=len(total)).astype(np.int64)
-            some[: len(total)] += total
-            total = some
-    seen = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
     """Encode every whole text and write the ids under ``path``: ``path/ranks`` (rank, id) and ``path/blocks``.
 
@@ -169,15 +175,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     control bytes and data bytes. Null text counts as empty and has the end id alone; a text of any length lies in
     one block; an empty table gives files without blocks. Other columns are ignored.
 
-    Texts are range-sorted and encoded once into a written table; ranks come from counts over all of it (one row
-    per id of the vocabulary comes back), and a second pass over it writes the files.
+    Texts are range-sorted and encoded once into a written table, which also holds the counts of each task; ranks come
+    from the sums of these (one row per id of the vocabulary comes back), and a second pass over it writes the files.
     """
     spark = docs.sparkSession
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
     raw = scratch_path(spark, "tokens")
     ordered.mapInArrow(_tokenise(tokenizer, end_id), TOKEN_SCHEMA).write.option("compression", "zstd").parquet(raw)
-    tokens = spark.read.schema(TOKEN_SCHEMA).parquet(raw)
-    counts = tokens.select("ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
+    rows = spark.read.schema(TOKEN_SCHEMA).parquet(raw)
+    tokens = rows.where("part is not null").drop("seen", "times")
+    counted = rows.where("seen is not null").select(F.explode(F.arrays_zip("seen", "times")).alias("x")).select(F.col("x.seen").alias("id"), F.col("x.times").alias("n"))
+    counts = counted.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
     ids = [r["id"] for r in counts.select("id").collect()]
     rank = np.zeros(max(ids, default=0) + 1, np.uint32)
     rank[np.array(ids, np.int64)] = np.arange(len(ids), dtype=np.uint32)
