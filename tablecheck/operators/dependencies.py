@@ -78,22 +78,20 @@ def _confirmed(df: DataFrame, pairs: list[tuple[str, str]], keys: dict) -> dict[
     """Pairs that hold on the values themselves, with the number of determinant groups."""
     if not pairs:
         return {}
-    dependents: dict[str, list[str]] = {}
-    for a, b in pairs:
-        dependents.setdefault(a, []).append(b)
-    # One grouping for all dependents of a determinant: least and greatest value merge map-side.
-    verdicts = None
-    for i, (a, bs) in enumerate(dependents.items()):
-        cells = df.select(keys[a].alias("a"), *[keys[b].alias(f"b{j}") for j, b in enumerate(bs)]).where("a is not null")
-        groups = cells.groupBy("a").agg(*[f(f"b{j}").alias(f"{f.__name__}{j}") for j in range(len(bs)) for f in (F.min, F.max)])
-        broken = F.array(*[F.max(F.col(f"min{j}") != F.col(f"max{j}")) for j in range(len(bs))])
-        verdict = groups.agg(F.lit(i).alias("i"), F.count("*").alias("groups"), broken.alias("broken"))
-        verdicts = verdict if verdicts is None else verdicts.unionByName(verdict)
-    out = {}
-    for r in verdicts.collect():  # one row per determinant
-        a, bs = list(dependents.items())[r["i"]]
-        out |= {(a, b): r["groups"] for b, x in zip(bs, r["broken"], strict=True) if x is False}
-    return out
+    a_of = list(dict.fromkeys(a for a, _ in pairs))
+    b_of = list(dict.fromkeys(b for _, b in pairs))
+    asked = {b: [i for i, a in enumerate(a_of) if (a, b) in set(pairs)] for b in b_of}
+    # One grouping for all determinants: least and greatest value merge map-side. A cell nobody asks for is null.
+    cells = df.select(
+        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), keys[a].alias("a")) for i, a in enumerate(a_of)])).alias("d"),
+        *[keys[b].alias(f"b{j}") for j, b in enumerate(b_of)],
+    ).where(F.col("d.a").isNotNull())
+    cells = cells.select("d.i", "d.a", *[F.when(F.col("d.i").isin(asked[b]), F.col(f"b{j}")).alias(f"b{j}") for j, b in enumerate(b_of)])
+    slots = range(len(b_of))
+    groups = cells.groupBy("i", "a").agg(*[f(f"b{j}").alias(f"{f.__name__}{j}") for j in slots for f in (F.min, F.max)])
+    broken = F.array(*[F.max(F.col(f"min{j}") != F.col(f"max{j}")) for j in slots])
+    verdict = {a_of[r["i"]]: r for r in groups.groupBy("i").agg(F.count("*").alias("groups"), broken.alias("broken")).collect()}  # one row per determinant
+    return {(a, b): verdict[a]["groups"] for a, b in pairs if a in verdict and verdict[a]["broken"][b_of.index(b)] is False}
 
 
 def sampled_rows(df: DataFrame, size: int | float, by: list[str] | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ MAX_CATEGORIES = 50  # fixed value: more distinct values in the union and a text
 ALPHA = 0.05  # fixed value: KS significance
 PSI_MODERATE, PSI_SIGNIFICANT = 0.1, 0.2  # fixed values
 EDGES = 256  # histogram edges per numeric column in the first KS pass
+PIECE_ROWS = 1_000_000  # rows whose values are put in order together in the second pass, about
 
 NUMERIC_SCHEMA = (
     "column string, mean_ref double, mean_new double, delta_pct double, ks_statistic double, "
@@ -29,12 +30,12 @@ NUMERIC_SCHEMA = (
 class Drift:
     """Drift of ``new`` against ``ref``. ``method`` is ``"ks"`` or ``"mean_shift"``."""
 
-    def __init__(self, ref: DataFrame, new: DataFrame, method: str = "ks", edges: int = EDGES):
+    def __init__(self, ref: DataFrame, new: DataFrame, method: str = "ks", edges: int = EDGES, piece_rows: int = PIECE_ROWS):
         if method not in ("ks", "mean_shift"):
             raise ValueError(f"unknown method {method!r}")
         self.spark = ref.sparkSession
         self.ref, self.new = C.normalise_missing(ref), C.normalise_missing(new)
-        self.method, self.edges = method, edges
+        self.method, self.edges, self.piece_rows = method, edges, piece_rows
         self.common = sorted(set(ref.columns) & set(new.columns))
         number_like = (C.NUMERIC, C.BOOLEAN)
         self.numeric = [c for c in self.common if self._class(ref, c) in number_like and self._class(new, c) in number_like]
@@ -81,8 +82,8 @@ class Drift:
 
         A histogram over shared edges gives both distribution functions at the edges and, between
         two edges, a bound on how far apart they can get. Only values between edges whose bound
-        beats the best edge are counted one by one, so a small part of the data is shuffled, and the
-        running sums stay within one pair of edges.
+        beats the best edge are counted one by one, so a small part of the data is shuffled. Their running
+        sums are taken in two levels: over pieces of the value range, and over the values of a piece.
         """
         columns = list(self._moments)
         if not columns:
@@ -105,13 +106,13 @@ class Drift:
         hist = long.groupBy("i", "b").agg(*sides).orderBy("i", "b").collect()  # at most `edges` rows per column
 
         best = dict.fromkeys(range(len(columns)), 0.0)
-        inside: list[tuple[int, float, float, float, float, int, int]] = []
+        inside: list[tuple[int, float, float, float, int, int, int]] = []
         for i, c in enumerate(columns):
             n, m = self._moments[c]["ref"]["count"], self._moments[c]["new"]["count"]
             a = b = 0
             for r in (r for r in hist if r["i"] == i):
                 gap = a / n - b / m
-                inside.append((i, r["b"], gap + r["ref"] / n, gap - r["new"] / m, gap, a, b))
+                inside.append((i, r["b"], gap + r["ref"] / n, gap - r["new"] / m, r["ref"] + r["new"], a, b))
                 a, b = a + r["ref"], b + r["new"]
                 best[i] = max(best[i], abs(a / n - b / m))
         deep = [x for x in inside if max(x[2], -x[3]) > best[x[0]]]
@@ -123,7 +124,9 @@ class Drift:
                 .groupBy("i", "b", "a0", "b0", "v")
                 .agg(*sides)
             )
-            w = Window.partitionBy("i", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+            pieces = -(-sum(x[4] for x in deep) // self.piece_rows)
+            counts = self._in_pieces(counts, pieces)
+            w = Window.partitionBy("i", "b", "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
             size = F.create_map(
                 *[x for i, c in enumerate(columns) for x in (
                     F.lit(i), F.array(F.lit(float(self._moments[c]["ref"]["count"])), F.lit(float(self._moments[c]["new"]["count"])))
@@ -134,6 +137,20 @@ class Drift:
                 best[r["i"]] = max(best[r["i"]], r["d"])
         return {c: best[i] for i, c in enumerate(columns)}
 
+    @staticmethod
+    def _in_pieces(counts: DataFrame, pieces: int) -> DataFrame:
+        """Cut the counted values of each cell into pieces of the value range, and add to the cell's start what the
+        pieces before hold. The pieces of a table are its range partitions, so none holds more than its share of
+        the values however many lie in one cell."""
+        ranged = counts.repartitionByRange(max(1, pieces), "i", "b", "v").withColumn("piece", F.spark_partition_id())
+        ranged = materialise(ranged, "ks-pieces")
+        sums = ranged.groupBy("i", "b", "piece").agg(F.sum("ref").alias("ref"), F.sum("new").alias("new"))
+        earlier = Window.partitionBy("i", "b").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+        before = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in ("ref", "new")]
+        starts = sums.select("i", "b", "piece", *before)
+        moved = {"a0": F.col("a0") + F.col("before_ref"), "b0": F.col("b0") + F.col("before_new")}
+        return ranged.join(starts, ["i", "b", "piece"]).withColumns(moved)
+
     def numeric_drift(self) -> DataFrame:
         """One row per comparable numeric column.
 

@@ -1025,8 +1025,8 @@ register("persisted_read", _persisted, "SELECT true AS kept, count(*) AS rows, c
 def _exported(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "dirty_customer")
     path = storage.scratch_path(spark, "export")
-    parts = export.export_tables(K.clean(df).df, Profile(df), path)
-    counts = [spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("part"), F.count("*").alias("rows")) for n in parts]
+    export.export_tables(K.clean(df).df, Profile(df), path)
+    counts = [t.agg(F.lit(n).alias("part"), F.count("*").alias("rows")) for n, t in export.read_exported(spark, path).items()]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)

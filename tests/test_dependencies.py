@@ -2,8 +2,9 @@ import random
 
 import pytest
 
+from tablecheck.functions.columns import as_key
 from tablecheck.operators import dependencies, duplicates
-from tablecheck.operators.dependencies import functional_dependencies
+from tablecheck.operators.dependencies import _confirmed, functional_dependencies
 from tablecheck.operators.duplicates import drop_duplicate_rows, duplicate_rows
 from tablecheck.operators.profile import Profile
 
@@ -71,3 +72,22 @@ def test_maps_can_be_deduplicated(spark):
 def test_sampled_check(spark):
     df = spark.range(1000).selectExpr("id % 5 AS a", "id % 5 * 2 AS b")
     assert ("a", "b", 5) in [tuple(r) for r in Profile(df, fd_sample=0.5).functional_deps().collect()]
+
+
+def test_survivors_are_confirmed_in_one_scan(spark):
+    """Many determinants survive; confirming them takes one job's worth of groups, with the groups of each counted."""
+    rows = [(i, i % 4, (i % 4) * 2, f"k{i % 4}", None if i % 4 == 1 else i % 2, i % 3) for i in range(48)]
+    df = spark.createDataFrame(rows, "u int, a int, b int, c string, d int, e int")
+    keys = {c: as_key(df, c) for c in df.columns}
+    pairs = [(x, y) for x in "abcde" for y in "abcde" if x != y]
+    got = _confirmed(df, pairs, keys)
+    groups = {"a": 4, "b": 4, "c": 4, "d": 2, "e": 3}
+
+    def holds(x, y):
+        met = {}
+        for r in rows:
+            cell = dict(zip("uabcde", r))
+            if cell[x] is not None and cell[y] is not None:
+                met.setdefault(cell[x], set()).add(cell[y])
+        return all(len(v) == 1 for v in met.values())
+    assert got == {(x, y): groups[x] for x, y in pairs if holds(x, y)}

@@ -62,6 +62,24 @@ def test_ks_equals_brute_force(spark, edges, seed):
     assert d == pytest.approx(want, abs=1e-12)
 
 
+def test_ks_values_of_a_cell_in_pieces(spark, monkeypatch):
+    """Two cells, twelve pieces: no window holds more than about its share, and the result stays exact."""
+    r = random.Random(5)
+    a, b = [r.gauss(0, 1) for _ in range(3000)], [r.gauss(0.05, 1) for _ in range(2500)] + [1.5] * 200
+    seen, cut = [], Drift._in_pieces
+
+    def watched(counts, pieces):
+        out = cut(counts, pieces)
+        seen.extend(x["count"] for x in out.groupBy("i", "b", "piece").count().collect())
+        return out
+
+    monkeypatch.setattr(Drift, "_in_pieces", staticmethod(watched))
+    d = Drift(frame(spark, a), frame(spark, b), edges=2, piece_rows=500).ks_statistics["v"]
+    want = max(abs(sum(x <= v for x in a) / len(a) - sum(x <= v for x in b) / len(b)) for v in {*a, *b})
+    assert d == pytest.approx(want, abs=1e-12)
+    assert len(seen) >= 5 and max(seen) <= 1200
+
+
 def test_ks_of_itself_is_zero(spark):
     x = frame(spark, rng.normal(0, 1, 100))
     r = Drift(x, x).numeric_drift().first()

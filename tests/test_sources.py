@@ -202,6 +202,31 @@ def test_exports(spark, tmp_path):
     assert report["treatment_report"]["rows_after"] == 20 and report["generated_at"]
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_export_is_read_whole_or_not_at_all(spark, tmp_path, fmt, monkeypatch):
+    df = spark.createDataFrame([(v, None if v == 3 else 'x\n"y"') for v in [*range(1, 20), 1000]], "v int, c string")
+    p, r = Profile(df), clean(df)
+    path = str(tmp_path / "e")
+    export.export_tables(r.df, p, path, fmt)
+    got = export.read_exported(spark, path)
+    assert {n: t.count() for n, t in got.items()} == {"data": 20, "missing": 1, "outliers": 1}
+    (spark.range(3).selectExpr("int(id) v", "'z' c").write.mode("append").format(fmt).options(header=True).save(path + "/data"))
+    with pytest.raises(ValueError, match="holds 23 rows, the manifest says 20"):
+        export.read_exported(spark, path)
+
+    def fails(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(Profile, "outlier_table", lambda self: fails())
+    with pytest.raises(OSError):
+        export.export_tables(r.df, Profile(df), str(tmp_path / "f"), fmt)
+    # a failure while the tables are written, after the first of them
+    (r.df.write.format(fmt)).save(str(tmp_path / "g/data"))
+    for broken in ("f", "g"):
+        with pytest.raises(FileNotFoundError):
+            export.read_exported(spark, str(tmp_path / broken))
+
+
 def test_persisted_read(spark, write):
     r = tables.read_table(spark, write("a,b\n1,2\n"), persist=True)
     assert r.df.is_cached and r.df.count() == 1
