@@ -109,7 +109,7 @@ def uniform_shards(rows: DataFrame, shards: int, id_col: str = "doc_id", payload
 
     A local partition holds about ``PART_ROWS`` rows; a shard is never gathered: slots come from
     :func:`running_total`. The payload is exchanged twice, to its local partition and to its shard; nothing of it is
-    written between. The payload decides among rows of one id, so its columns must be sortable.
+    written between. Rows of one id are ordered by a hash of the payload; their bucket sums depend on the id alone.
     """
     payload = [c for c in (payload if payload is not None else [id_col]) if c not in ("law", "shard", "slot")]
     base = rows.select(*[F.col(c).alias(f"p_{c}") for c in payload], F.col(id_col).alias("__id"), spread_key(seed, F.col(id_col)).alias("__key"))
@@ -119,11 +119,12 @@ def uniform_shards(rows: DataFrame, shards: int, id_col: str = "doc_id", payload
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = communication_matrix(rows.sparkSession, base.groupBy("part").agg(F.count("*").alias("n")), parts, sizes, seed)
 
-    ties = [f"p_{c}" for c in payload]
+    moved, ties = [f"p_{c}" for c in payload], ["__tie"]
+    base = base.withColumn("__tie", F.xxhash64(*moved) if moved else F.lit(0))
     local = Window.partitionBy("part").orderBy("__local", "__id", *ties)
     placed = base.join(matrix, "part").withColumn("__local", spread_key(seed + "-local", F.col("__id"))).withColumn("__rank", F.row_number().over(local))
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("shard"))
     shard = F.aggregate("quota", zero, lambda s, q: F.struct((s["sum"] + q).alias("sum"), (s["shard"] + (s["sum"] + q < F.col("__rank")).cast("int")).alias("shard")), lambda s: s["shard"])
-    placed = placed.select("__id", *ties, shard.alias("shard"), spread_key(seed + "-slot", F.col("__id")).alias("__slot"))
+    placed = placed.select("__id", *moved, *ties, shard.alias("shard"), spread_key(seed + "-slot", F.col("__id")).alias("__slot"))
     placed = running_total(placed, ["shard"], "__slot", ["__id", *ties], F.lit(1), "slot", total)
     return placed.select(*[F.col(f"p_{c}").alias(c) for c in payload], F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"))
