@@ -99,11 +99,11 @@ def communication_matrix(spark: SparkSession, part_counts: DataFrame, parts: int
 def uniform_shards(rows: DataFrame, shards: int, id_col: str = "doc_id", payload: list[str] | None = None, seed: str = "shards") -> DataFrame:
     """Put every row into one of ``shards`` shards, as a uniform shuffle would, with sizes at most one row apart.
 
-    Rows fall into local partitions by a hash of the id. Exact partition-to-shard counts are drawn first; a local
+    Rows fall into local partitions by a hash of the id and the payload. Exact partition-to-shard counts are drawn first; a local
     permutation of each partition says which rows make up each count; after the exchange each shard is permuted
     again. The law is ``rows``: sizes are exact in rows. Result: ``payload`` columns (default: the id), ``law``,
     ``shard`` (from 0), ``slot`` (gapless from 0 within a shard). One row per input row; null ids and repeated rows
-    are rows like others (rows with the same id share a local partition). Empty tables give an empty result,
+    are rows like others (only rows that are alike in id and payload share a local partition). Empty tables give an empty result,
     shards without rows none. Payload columns named like a result column are replaced. The same rows and seed
     give the same shards whatever their order or partitioning, up to the order among identical rows.
 
@@ -111,7 +111,9 @@ def uniform_shards(rows: DataFrame, shards: int, id_col: str = "doc_id", payload
     :func:`running_total`.
     """
     payload = [c for c in (payload if payload is not None else [id_col]) if c not in ("law", "shard", "slot")]
-    base = rows.select(*[F.col(c).alias(f"p_{c}") for c in payload], F.col(id_col).alias("__id"), spread_key(seed, F.col(id_col)).alias("__key"))
+    base = rows.select(*[F.col(c).alias(f"p_{c}") for c in payload], F.col(id_col).alias("__id"))
+    # rows of one id, and rows without any, are spread by what else they hold
+    base = base.withColumn("__row", F.xxhash64("__id", *[f"p_{c}" for c in payload])).withColumn("__key", spread_key(seed, F.col("__id"), F.col("__row")))
     total = base.count()
     parts = max(1, math.ceil(total / PART_ROWS))
     base = base.withColumn("part", F.floor(F.shiftrightunsigned("__key", 29).cast("double") * F.lit(parts / 2.0**31)).cast("long"))
@@ -120,9 +122,9 @@ def uniform_shards(rows: DataFrame, shards: int, id_col: str = "doc_id", payload
 
     ties = [f"p_{c}" for c in payload]
     local = Window.partitionBy("part").orderBy("__local", "__id", *ties)
-    placed = base.join(matrix, "part").withColumn("__local", spread_key(seed + "-local", F.col("__id"))).withColumn("__rank", F.row_number().over(local))
+    placed = base.join(matrix, "part").withColumn("__local", spread_key(seed + "-local", F.col("__id"), F.col("__row"))).withColumn("__rank", F.row_number().over(local))
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("shard"))
     shard = F.aggregate("quota", zero, lambda s, q: F.struct((s["sum"] + q).alias("sum"), (s["shard"] + (s["sum"] + q < F.col("__rank")).cast("int")).alias("shard")), lambda s: s["shard"])
-    placed = materialise(placed.select("__id", *ties, shard.alias("shard"), spread_key(seed + "-slot", F.col("__id")).alias("__slot")), "sharded")
+    placed = materialise(placed.select("__id", *ties, shard.alias("shard"), spread_key(seed + "-slot", F.col("__id"), F.col("__row")).alias("__slot")), "sharded")
     placed = running_total(placed, ["shard"], "__slot", ["__id", *ties], F.lit(1), "slot", total)
     return placed.select(*[F.col(f"p_{c}").alias(c) for c in payload], F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"))

@@ -30,3 +30,12 @@ def test_places_are_even_over_seeds(spark):
         seen.update((r.shard, r.late) for r in got.where("doc_id < 10").collect())
     # 120 draws over six equally likely halves of shards: 20 each, standard deviation about 4
     assert len(seen) == 6 and max(abs(n - 20) for n in seen.values()) <= 16
+
+
+def test_rows_of_one_id_are_spread_by_their_texts(spark):
+    rows = docs(spark, [(None, f"t{i}") for i in range(300)]).select("doc_id", "text")
+    got = uniform_shards(rows, 7, payload=["doc_id", "text"]).collect()
+    assert sorted(r.text for r in got) == sorted(f"t{i}" for i in range(300))
+    counts = Counter(r.shard for r in got)
+    assert sorted(counts.values()) == [42] + [43] * 6
+    assert [r.text for r in sorted(got, key=lambda r: (r.shard, r.slot))] != sorted(r.text for r in got)
