@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.sources.storage import materialise
 
-__all__ = ["BLANKS", "materialise", "running_total", "sized_join", "spread_key", "unit", "words_in"]
+__all__ = ["BLANKS", "give_back", "materialise", "running_total", "sized_join", "spread_key", "unit", "words_in"]
 
 #: Fixed value: the white space that separates words, as a Java character class.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -19,6 +21,15 @@ BROADCAST_ROWS = 100_000
 BUCKET_ROWS, COARSE = 512, 4096
 
 
+def give_back() -> None:
+    """Hand memory that numpy and Arrow have freed back to the system. A Python worker outlives its task, and what it
+    keeps would add to the memory of every later stage on its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library alone has it, and needs to be told
+    if trim:
+        trim(0)
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecheck.llm.common import BLANKS, materialise, spread_key, unit
+from tablecheck.llm.common import BLANKS, give_back, materialise, spread_key, unit
 from tablecheck.llm.words import hash_words, split_words
 
 #: Sizes of the hashed feature tables: n-grams, affixes, lexicon.
@@ -270,6 +270,7 @@ def predict_languages(docs: DataFrame, crf: LanguageCrf | None, id_col: str = "d
     @F.arrow_udf(T.StructType(fields))
     def judge(text: pa.Array) -> pa.Array:
         best, score, runs = classify_by_length(text, crf, spans)
+        give_back()
         columns = [pa.array(best, pa.string()), pa.array(score, pa.float64()), *([pa.array(runs, pa.list_(run))] if spans else [])]
         return pa.StructArray.from_arrays(columns, names=[f.name for f in fields])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import materialise, sized_join
+from tablecheck.llm.common import give_back, materialise, sized_join
 from tablecheck.llm.components import components
 from tablecheck.llm.token_files import batches
 from tablecheck.llm.words import mix, word_hashes
@@ -18,6 +18,8 @@ from tablecheck.llm.words import mix, word_hashes
 BANDS = 12
 #: MinHashes in a band.
 ROWS = 2
+#: Text whose shingles are made together, in bytes.
+BATCH_BYTES = 1_000_000
 #: How many times more leaders a table bucket has in each further round.
 MORE = 16
 SIGNATURE = "doc_id bigint, row_key bigint, n_shingles bigint, node bigint, check bigint, first array<bigint>, second array<bigint>"
@@ -86,11 +88,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
     """Per row: ``key``, size of its shingle set, two hashes of the set, band keys of both collections."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, "text"):
+        for batch in batches(stream, "text", BATCH_BYTES):
             values, counts = shingle_sets(batch.column("text").to_pylist(), words)
             node, check = fingerprints(values, counts)
             keys = band_keys(values, counts, bands, rows, seed)
             yield pa.record_batch([batch.column("id"), batch.column("row_key"), pa.array(counts), pa.array(node), pa.array(check), _lists(keys[:, :bands]), _lists(keys[:, bands:])], names=["doc_id", "row_key", "n_shingles", "node", "check", "first", "second"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), key.cast("long").alias("row_key"), F.col(text_col).alias("text")).mapInArrow(run, SIGNATURE)
 
@@ -99,10 +102,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wor
     """``node``, ``shingles`` of the wanted (node, rep) sets, from the texts of their representatives."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, "text"):
+        for batch in batches(stream, "text", BATCH_BYTES):
             values, counts = shingle_sets(batch.column("text").to_pylist(), words)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.record_batch([pa.array(fingerprints(values, counts)[0]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], names=["node", "shingles"])
+        give_back()
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     texts = sized_join(texts.withColumn("none", F.col("rep").isNull()).fillna({"rep": 0}), wanted.select(F.coalesce("rep", F.lit(0)).alias("rep"), F.col("rep").isNull().alias("none")).distinct(), ["rep", "none"], "left_semi")

@@ -13,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecheck.llm.common import give_back
 from tablecheck.llm.pieces import PieceMemory, tokenizer_path
 from tablecheck.llm.token_files import batches
 
 #: Fixed values of the model format: the space marker, model types, piece types.
 SPACE, UNIGRAM, BPE, UNKNOWN, CONTROL, BYTE = "▁", 1, 2, 2, 3, 6
+#: Text encoded together, in bytes, and pieces a worker remembers before it starts anew.
+BATCH_BYTES, PIECES = 1_000_000, 200_000
 ENCODED_SCHEMA = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, parity boolean, round_trip boolean"
 
 
@@ -77,7 +80,7 @@ class Backend:
         proto.normalizer_spec.remove_extra_whitespaces = False
         proto.normalizer_spec.precompiled_charsmap = b""
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.memory = PieceMemory(self._learn)
+        self.memory = PieceMemory(self._learn, PIECES)
 
     def normalise(self, text: str) -> str:
         if self.plain:
@@ -131,7 +134,7 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = backend(tokenizer_path(model), threads)
-        for batch in batches(stream, "text"):
+        for batch in batches(stream, "text", BATCH_BYTES):
             got = here.encode_batch([t or "" for t in batch.column("text").to_pylist()])
             size = np.array([len(g[0]) // 4 for g in got], np.int64)
             columns = [batch.column("doc_id"), pa.array(size), pa.array([zlib.crc32(g[0]) for g in got], pa.int64()), pa.array([g[1] for g in got]), pa.array([g[2] for g in got])]
@@ -142,6 +145,7 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, ENCODED_SCHEMA + (", ids array<int>" if with_ids else ""))
