@@ -15,6 +15,7 @@ from tablecheck.operators import insights as I
 from tablecheck.operators import score as S
 from tablecheck.operators.drift import Drift
 from tablecheck.operators.profile import Profile
+from tablecheck.operators.profile_state import add_parts, stored_profile
 from tablecheck.plans import sql as Q
 from tablecheck.plans.views import table
 from tablecheck.sources import export, storage, tables
@@ -1088,3 +1089,32 @@ register(
     _multi_load,
     "SELECT 'tc_nation' AS name, true AS loaded, count(*) AS rows FROM nation UNION ALL SELECT 'tc_orders', true, count(*) FROM orders UNION ALL SELECT 'tc_absent', false, 0",
 )
+
+
+# ── stored profile ─────────────────────────────────────────
+
+
+def _profile_increment(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of the years before 1996 are profiled first, the later ones added to the stored state, 1996 twice."""
+    orders, path = table(spark, sf, "orders"), storage.scratch_path(spark, "profile-state")
+    year = F.year("o_orderdate")
+    add_parts(orders.filter((year < 1996) | year.isNull()), path, year)
+    add_parts(orders.filter(year >= 1996), path, year)
+    add_parts(orders.filter(year == 1996), path, year)
+    return rounded(stored_profile(spark, path).drop("distinct_estimate", "infinite"), 4, "mean", "std")
+
+
+def _increment_sql(c: str, kind: str) -> str:
+    figures = ("min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std" if kind == "numeric"
+               else "NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::DOUBLE AS mean, NULL::DOUBLE AS std")
+    return f"""SELECT '{c}' AS "column", '{kind}' AS class, count(*) AS rows, count({c}) AS non_null, count(*) - count({c}) AS missing, {figures.format(c=c)} FROM orders"""
+
+
+register(
+    "profile_increment",
+    _profile_increment,
+    Q.union(_increment_sql(c, kind) for c, kind in (
+        ("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "text"),
+        ("o_totalprice", "numeric"), ("o_orderdate", "datetime"), ("o_orderpriority", "text"),
+    )),
+)
