@@ -921,6 +921,24 @@ register(
 )
 
 
+def _misleading_head(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of the early years carry a remark with as many commas as the header, so the head of the file looks like commas."""
+    remark = F.when(F.year("o_orderdate") < 1998, F.lit("a,b,c,d,e,f,g,h,i"))
+    path = _csv_copy(spark, table(spark, sf, "orders").withColumn("n,o,t,e,s,x,y,z,w", remark).orderBy("o_orderdate"), ";")
+    sep = tables.detect_separator(spark, path)
+    total, fields, having = tables.separator_figures(spark, path)[sep]
+    # every file of the copy has a header
+    return spark.createDataFrame([(tables.detect_separator(spark, path, lines=100), sep, fields, having == total, tables.read_csv(spark, path).df.count())],
+                                 "by_head string, by_all string, fields long, regular boolean, rows long")
+
+
+register(
+    "sniff_delimiter_misleading_head",
+    _misleading_head,
+    "SELECT ',' AS by_head, ';' AS by_all, 7 AS fields, true AS regular, count(*) AS rows FROM orders",
+)
+
+
 _ACCENT = "João “€”"
 
 

@@ -21,7 +21,6 @@ from tablecheck.functions.columns import col
 from tablecheck.sources.records import quoted_records
 
 SEPARATORS = [",", ";", "\t", "|"]  # fixed value: separators that are told apart
-SAMPLE_LINES = 100  # default of the lines of the file's head that the separator is judged by
 
 # Byte-order marks as they stand before the first line, and the bytes of a line break.
 MARKS = {"FFFE": "UTF-16LE", "FEFF": "UTF-16BE"}
@@ -67,18 +66,23 @@ def _to_windows(c: Column) -> Column:
     return F.translate(c, WINDOWS_FROM, WINDOWS_TO)
 
 
-def _head(spark: SparkSession, path: str, encoding: str, lines: int = SAMPLE_LINES) -> list[str]:
-    """First lines of the file, each of them whole."""
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """All lines as text, in a column ``line``."""
     wide = encoding.startswith("UTF-16")
     reader = spark.read.option("encoding", encoding).option("lineSep", "\n") if wide else spark.read
-    head = reader.text(path).limit(lines)
+    raw = reader.text(path)
     if wide:
         decoded = F.decode(F.col("value").cast("binary"), encoding)
     elif encoding == "UTF-8":
         decoded = F.col("value")
     else:
         decoded = _to_windows(_latin(F.col("value"))) if encoding == "windows-1252" else _latin(F.col("value"))
-    return [r[0].lstrip("\ufeff").rstrip("\r") for r in head.select(decoded).collect()]
+    return raw.select(F.rtrim(F.ltrim(decoded, F.lit("\ufeff")), F.lit("\r")).alias("line"))
+
+
+def _head(spark: SparkSession, path: str, encoding: str, lines: int) -> list[str]:
+    """First lines of the file that are not blank, each of them whole."""
+    return [r[0] for r in _lines(spark, path, encoding).filter(F.col("line").rlike(r"\S")).limit(lines).collect()]
 
 
 def sniff_separator(lines: list[str]) -> str:
@@ -100,8 +104,34 @@ def sniff_separator(lines: list[str]) -> str:
     return best
 
 
-def detect_separator(spark: SparkSession, path: str, encoding: str = "UTF-8", lines: int = SAMPLE_LINES) -> str:
-    return sniff_separator(_head(spark, path, encoding, lines))
+def separator_figures(spark: SparkSession, path: str, encoding: str = "UTF-8") -> dict[str, tuple[int, int, int]]:
+    """Per separator over all lines that are not blank: (lines, their most frequent number of fields, lines that have it).
+
+    A field in quotes counts as one; a quote opens at the start of a field. One scan: a task sends its counts of lines by
+    separator and number of fields, four rows come to the driver. A record with line breaks in quotes is several lines.
+    """
+    def fields(sep: str) -> Column:
+        mark = re.escape(sep)
+        bare = F.regexp_replace("line", f'(^|{mark})(?:"[^"]*+(?:"|$))++', "$1")
+        return F.length(bare) - F.length(F.translate(bare, sep, "")) + 1
+
+    counts = F.array(*[F.struct(F.lit(i).alias("sep"), fields(sep).alias("fields")) for i, sep in enumerate(SEPARATORS)])
+    lines = _lines(spark, path, encoding).filter(F.col("line").rlike(r"\S")).select(F.explode(counts).alias("c"))
+    found = lines.groupBy("c.sep", "c.fields").count().groupBy("sep").agg(F.sum("count").alias("lines"), F.max(F.struct("count", "fields")).alias("usual"))
+    return {SEPARATORS[r["sep"]]: (r["lines"], r["usual"]["fields"], r["usual"]["count"]) for r in found.collect()}
+
+
+def detect_separator(spark: SparkSession, path: str, encoding: str = "UTF-8", lines: int | None = None) -> str:
+    """By the rule of :func:`sniff_separator`, over all lines of the file or the first ``lines``."""
+    if lines is not None:
+        return sniff_separator(_head(spark, path, encoding, lines))
+    best, best_rank = ",", (0.0, 0)
+    figures = separator_figures(spark, path, encoding)
+    for sep in SEPARATORS:
+        total, usual, having = figures.get(sep, (0, 0, 0))
+        if usual > 1 and (having / total, usual) > best_rank:
+            best, best_rank = sep, (having / total, usual)
+    return best
 
 
 def _header_names(names: list[str], case_sensitive: bool) -> list[str]:
@@ -182,25 +212,25 @@ def read_csv(
     separator: str | None = None,
     encoding: str | None = None,
     multi_line: bool = False,
-    sample_lines: int = SAMPLE_LINES,
+    sample_lines: int | None = None,
 ) -> LoadResult:
     """Read a delimited file or directory of files with a header line.
 
     Files are split over tasks by Spark whatever their size. ``multi_line`` allows line breaks within
-    quotes, which costs one more scan (:func:`quoted_records`; UTF-16 files are then read by one task each). The separator is judged by the first ``sample_lines``
-    lines. A row with more fields than the header, empty ones included, makes the file malformed; shorter
+    quotes, which costs one more scan (:func:`quoted_records`; UTF-16 files are then read by one task each). The separator is judged by all
+    lines, or the first ``sample_lines`` that are not blank. A row with more fields than the header, empty ones included, makes the file malformed; shorter
     rows are filled with nulls.
     """
     meta: dict[str, str] = {}
     try:
         encoding = encoding or detect_encoding(spark, path)
-        lines = _head(spark, path, encoding, sample_lines)
+        first = _head(spark, path, encoding, 1)
         meta["encoding"] = encoding
-        if not any(line.strip() for line in lines):
+        if not first:
             return LoadResult(None, "The file is empty.", meta)
-        separator = separator or sniff_separator(lines)
+        separator = separator or detect_separator(spark, path, encoding, sample_lines)
         meta["separator"] = separator
-        header = next(csv.reader([next(line for line in lines if line.strip())], delimiter=separator))
+        header = next(csv.reader(first, delimiter=separator))
         names = _header_names(header, spark.conf.get("spark.sql.caseSensitive") == "true")
         # A row with too few or too many fields also comes back whole; its fields are counted then.
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])

@@ -231,3 +231,25 @@ def test_persisted_read(spark, write):
     r = tables.read_table(spark, write("a,b\n1,2\n"), persist=True)
     assert r.df.is_cached and r.df.count() == 1
     r.df.unpersist()
+
+
+def test_separator_by_all_lines_follows_the_rule_for_samples(spark, tmp_path):
+    from tablecheck.sources.tables import SEPARATORS, detect_separator, separator_figures, sniff_separator
+
+    files = [
+        ['a;b', '"x;y";1', '"p""q;";2', "", '";open', 'u"v;w"'],
+        ["a|b,c", "1|2,3", "4|5,6,7", "|,"],
+        ["one", "two"],
+        ['"a,b"\t"c"', "1\t2,3", '""\t""'],
+        ["\ufeffa;b", "ä;é"],
+    ]
+    for i, lines in enumerate(files):
+        path = tmp_path / f"{i}.csv"
+        path.write_text("\r\n".join(lines) + "\n", encoding="utf-8", newline="")
+        assert detect_separator(spark, str(path)) == sniff_separator(lines)
+        for sep in SEPARATORS:
+            counts = [len(next(csv.reader([x.lstrip("\ufeff")], delimiter=sep))) for x in lines if x.strip()]
+            usual = max(sorted(set(counts), reverse=True), key=counts.count)
+            assert separator_figures(spark, str(path))[sep] == (len(counts), usual, counts.count(usual))
+    (tmp_path / "empty.csv").write_text("\n\n")
+    assert detect_separator(spark, str(tmp_path / "empty.csv")) == ","
