@@ -22,6 +22,8 @@ ROWS = 2
 BATCH_BYTES = 1_000_000
 #: How many times more leaders a table bucket has in each further round.
 MORE = 16
+#: After the first round, all pairs of a bucket meet at once where the buckets have no more than so many pairs in all, counted.
+PAIRS = 20_000_000
 SIGNATURE = "doc_id bigint, row_key bigint, n_shingles bigint, node bigint, check bigint, first array<bigint>, second array<bigint>"
 
 
@@ -120,13 +122,25 @@ def _able(members: DataFrame, reach: Column, percent: int) -> DataFrame:
     return members.join(least, "key").filter(100 * reach >= percent * (F.col("size") + F.col("least") - reach)).drop("least")
 
 
-def _outside(members: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def _shared(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Written pairs (a, b) of sets, with how many shingles both have and the sum of their sizes."""
+    left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = sized_join(left, pairs, ["a"]).join(right, "b")
+    return materialise(both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("sizes")), "compared")
+
+
+def _outside(with_hub: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """Members of buckets of another kind: the key is a shingle that a member has and the hub it was compared with has not.
-    Only members that meet there share anything outside the hub."""
-    with_hub = members.filter("lead is not null").select("node", "lead", "size", "common", "label").distinct()
-    both = with_hub.join(left.withColumnRenamed("a", "node"), "node").join(right.withColumnRenamed("b", "lead"), "lead")
-    keys = both.select("node", "size", "common", "label", "lead", F.explode(F.array_except("sa", "sb")).alias("s"))
-    return keys.select(F.xxhash64("lead", "s").alias("key"), "node", "size", "common", "label", F.lit(None).cast("int").alias("hub"))
+    Only members that meet there share anything outside the hub. What a member shares with the hub and the shingles that lead
+    it to another class bound what it shares with any of them; those who cannot reach the limit are dropped."""
+    both = sized_join(shingles, with_hub, ["node"]).join(shingles.select(F.col("node").alias("lead"), F.col("shingles").alias("sb")), "lead")
+    keys = both.select("node", "lead", "size", "hub", "label", F.explode(F.array_except("shingles", "sb")).alias("s"))
+    keys = materialise(keys.select(F.xxhash64("lead", "s").alias("key"), "node", "lead", "size", "hub", "label"), "outside")
+    keys = materialise(keys.join(_several(keys), "key", "left_semi"), "outside")
+    reach = keys.groupBy("node", "lead").agg((F.first("hub") + F.count("*")).alias("common"), F.first("size").alias("whole"))
+    reach = reach.filter(100 * F.col("common") >= percent * F.col("whole")).drop("whole")
+    return keys.join(reach, ["node", "lead"]).select("key", "node", "size", "common", "label", F.lit(None).cast("int").alias("hub"))
 
 
 def _several(members: DataFrame) -> DataFrame:
@@ -147,9 +161,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its similarity to any other: members that cannot reach the limit with the smallest of their bucket are dropped, pairs
     whose bounds forbid a link are never formed. In each bucket, leaders (the member with the smallest such part first: the
     original of a family of copies) are compared with the others; then links are merged into classes. Members of
-    different classes that no leader has met are taken up in further rounds with ``MORE`` times the leaders: in their
-    buckets if what both share with the first leader (the hub) is enough for a link, and else in buckets of the
-    shingles that they have and the hub has not. The rounds end when no bucket holds two classes: so every pair of a
+    different classes that no leader has met are taken up in further rounds, all with all where there are at most ``PAIRS``
+    pairs and else with ``MORE`` times the leaders: in one bucket of each first leader (the hub) if what they share with it
+    is enough for a link, and in buckets of the shingles that they have and the hub has not, if these and the hub
+    together are enough. The rounds end when no bucket holds two classes: so every pair of a
     bucket is compared, ruled out by a bound, or already in one class.
 
     Result: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id of the class), ``kept`` (the id is the
@@ -184,11 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(_able(members, F.col("common"), percent), "bucket-members")
     members = materialise(members.join(_several(members), "key", "left_semi"), "bucket-members")
 
-    left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    links, tested, roots, leaders_per_bucket = None, None, None, 1
+    tested, roots, leaders_per_bucket, every = None, None, 1, False
     while members.take(1):
-        group = F.pmod(F.xxhash64("node", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket))
+        group = F.col("node") if every else F.pmod(F.xxhash64("node", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket))
         order = F.struct((1 - F.col("common") / F.col("size")).alias("own"), F.xxhash64("node").alias("h"), "node", "size", "common", "label", "hub")
         leaders = members.groupBy("key", group.alias("g")).agg(F.min(order).alias("lead")).select("key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "size", "common", "label", "hub")])
         # two that share nothing outside the bucket's hub share at most what either shares with it; others meet elsewhere
@@ -197,25 +210,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = met.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        common = F.size(F.array_intersect("sa", "sb"))
-        linked = 100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))
-        compared = pairs.join(left, "a").join(right, "b").withColumn("shared", common)
-        compared = materialise(compared.select("a", "b", "shared", linked.alias("linked")), "compared")
+        compared = _shared(materialise(pairs, "pairs"), shingles)
         tested = compared if tested is None else tested.unionByName(compared)
-        confirmed = compared.filter("linked").select("a", "b")
-        links = confirmed if links is None else links.unionByName(confirmed)
-        roots = components(links)
+        links = compared.filter(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b")
+        found = bool(links.take(1))
+        if found:
+            # the classes so far are links of their members with their roots
+            roots = components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if every:
+            break
         left_over = members.join(leaders.select("key", F.col("lead_node").alias("node")), ["key", "node"], "left_anti")
-        left_over = left_over.drop("label").join(roots.select("node", "root"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        if found:
+            left_over = left_over.join(roots.select(F.col("node").alias("label"), F.col("root").alias("now")), "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
         if leaders_per_bucket == 1:
-            hubs = leaders.select("key", F.col("lead_node").alias("lead")).join(left_over.select("key", "node"), "key")
-            hubs = hubs.select("key", "node", "lead", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).join(tested, ["a", "b"])
-            left_over = left_over.drop("hub").join(hubs.select("key", "node", "lead", F.col("shared").alias("hub")), ["key", "node"], "left")
-            left_over = materialise(left_over, "left-over")
-            left_over = materialise(left_over.join(_several(left_over), "key", "left_semi"), "open-members")
-            left_over = left_over.select(members.columns).unionByName(_outside(left_over, left, right).select(members.columns))
+            left_over = materialise(left_over.join(leaders.select("key", F.col("lead_node").alias("lead")), "key").drop("common", "hub"), "left-over")
+            # buckets of one hub are one bucket: each member of open ones once, with all that it shares with the hub, linked or not
+            met = left_over.join(_several(left_over), "key", "left_semi").select("node", "lead", "size", "label", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+            met = materialise(met.distinct(), "open-members")
+            rest = materialise(met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = tested.unionByName(_shared(rest, shingles))
+            met = materialise(met.join(tested, ["a", "b"]).select("node", "lead", "size", "label", F.col("shared").alias("hub")), "hub-members")
+            inside = met.filter(100 * F.col("hub") >= percent * F.col("size")).select(F.xxhash64("lead").alias("key"), "node", "size", F.col("hub").alias("common"), "label", "hub")
+            left_over = inside.unionByName(_outside(met, shingles, percent))
         left_over = materialise(left_over.select(members.columns), "left-over")
         members = materialise(left_over.join(_several(left_over), "key", "left_semi"), "bucket-members")
+        every = (members.groupBy("key").count().agg(F.sum(F.col("count").cast("double") ** 2)).first()[0] or 0) <= PAIRS
         leaders_per_bucket *= MORE
 
     smallest = sets.select("node", "rep", "stays")

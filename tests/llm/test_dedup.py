@@ -1,14 +1,19 @@
 """Exact and near duplicates, and components, beside brute force."""
 
 import random
+import time
 from collections import defaultdict
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tablecheck.llm import components as linked
+from tablecheck.llm import minhash
 from tablecheck.llm.components import components
 from tablecheck.llm.exact_dedup import exact_duplicates
 from tablecheck.llm.minhash import near_duplicates
+from tablecheck.sources.storage import materialise
 from tests.llm.helpers import docs, empty, frame, given
 
 
@@ -110,6 +115,39 @@ def test_near_chains_and_hubs(spark):
     assert as_rows(near_duplicates(docs(spark, rows)).toPandas()) == expected(rows)
 
 
+@pytest.mark.parametrize("pairs", [0, 20_000_000])
+def test_near_loose_family_takes_few_rounds(spark, monkeypatch, pairs):
+    """Variants about as like their original as the limit asks, most of them less like each other."""
+    rng = random.Random(8)
+    base = [f"y{rng.randrange(10**9)}" for _ in range(120)]
+    rows = []
+    for k in range(240):
+        some = list(base)
+        for at in rng.sample(range(120), 2 + k % 4):
+            some[at] = f"y{rng.randrange(10**9)}"
+        rows.append((k, " ".join(some)))
+    written = []
+    for module in (minhash, linked):
+        keep = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, label, keep=keep: written.append(label) or keep(df, label))
+    monkeypatch.setattr(minhash, "PAIRS", pairs, raising=False)
+    got = near_duplicates(docs(spark, rows)).toPandas()
+    assert as_rows(got) == expected(rows)
+    assert pairs == 0 or (written.count("compared") <= 3 and len(written) <= 40)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = files()
+    table = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "cleaned")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert table.count() == 7
+
+
 def test_near_given_documents(spark):
     table = given("documents")
     rows = list(zip(table.doc_id.tolist(), table.text.tolist()))
