@@ -99,21 +99,22 @@ def communication_matrix(spark: SparkSession, part_counts: DataFrame, parts: int
 def uniform_shards(rows: DataFrame, shards: int, id_col: str = "doc_id", payload: list[str] | None = None, seed: str = "shards") -> DataFrame:
     """Put every row into one of ``shards`` shards, as a uniform shuffle would, with sizes at most one row apart.
 
-    Rows fall into local partitions by a hash of the id and the payload. Exact partition-to-shard counts are drawn first; a local
+    Rows fall into local partitions by a hash of all their columns. Exact partition-to-shard counts are drawn first; a local
     permutation of each partition says which rows make up each count; after the exchange each shard is permuted
     again. The law is ``rows``: sizes are exact in rows. Result: ``payload`` columns (default: the id), ``law``,
     ``shard`` (from 0), ``slot`` (gapless from 0 within a shard). One row per input row; null ids and repeated rows
-    are rows like others (only rows that are alike in id and payload share a local partition). Empty tables give an empty result,
+    are rows like others (only rows that are alike in all columns always share a local partition). Empty tables give an empty result,
     shards without rows none. Payload columns named like a result column are replaced. The same rows and seed
-    give the same shards whatever their order or partitioning, up to the order among identical rows.
+    give the same shards whatever their order, partitioning or payload, up to the order among identical rows.
 
     A local partition holds about ``PART_ROWS`` rows; a shard is never gathered: slots come from
     :func:`running_total`.
     """
     payload = [c for c in (payload if payload is not None else [id_col]) if c not in ("law", "shard", "slot")]
-    base = rows.select(*[F.col(c).alias(f"p_{c}") for c in payload], F.col(id_col).alias("__id"))
-    # rows of one id, and rows without any, are spread by what else they hold
-    base = base.withColumn("__row", F.xxhash64("__id", *[f"p_{c}" for c in payload])).withColumn("__key", spread_key(seed, F.col("__id"), F.col("__row")))
+    # rows of one id, and rows without any, are spread by what else they hold, whatever of it is asked for; maps have no hash
+    row = F.xxhash64(*[F.col(f"`{name}`") for name, kind in rows.dtypes if "map<" not in kind])
+    base = rows.select(*[F.col(c).alias(f"p_{c}") for c in payload], F.col(id_col).alias("__id"), row.alias("__row"))
+    base = base.withColumn("__key", spread_key(seed, F.col("__id"), F.col("__row")))
     total = base.count()
     parts = max(1, math.ceil(total / PART_ROWS))
     base = base.withColumn("part", F.floor(F.shiftrightunsigned("__key", 29).cast("double") * F.lit(parts / 2.0**31)).cast("long"))
