@@ -10,25 +10,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.llm.common import give_back
-from tablecheck.llm.pieces import PieceMemory, tokenizer_path
+from tablecheck.llm.pieces import PieceStore, cut_pieces, tokenizer_path
 from tablecheck.llm.token_files import batches
 
 #: Fixed values of the model format: the space marker, model types, piece types.
 SPACE, UNIGRAM, BPE, UNKNOWN, CONTROL, BYTE = "▁", 1, 2, 2, 3, 6
 #: Text encoded together, in bytes, and pieces a worker remembers before it starts anew.
 BATCH_BYTES, PIECES = 1_000_000, 200_000
+#: Pieces encoded and checked as one string; flags of a piece whose ids differ, or that decoding does not give again.
+JOINED, DIFFERS, LOST = 64, 1, 2
 ENCODED_SCHEMA = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, parity boolean, round_trip boolean"
 
 
 class Backend:
     """A model as the tokenizers library runs it, with the sentencepiece library beside it for the parity check.
 
-    ``normalise`` turns a text into what is segmented (the model's character map, blanks, space markers);
-    ``pieces`` cuts that where no entry of the vocabulary could lie across; ``encode`` segments pieces.
+    ``normalise`` turns texts into what is segmented (the model's character map, blanks), with spaces for space markers;
+    ``cuts`` tells where no entry of the vocabulary could lie across; ``encode`` segments texts cut there.
     """
 
     def __init__(self, model: bytes):
@@ -68,9 +71,12 @@ class Backend:
         self.plain = not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
         self.prefix = SPACE if norm.add_dummy_prefix else ""
         # a piece with a space marker behind a letter would span words; none has, in most models
-        spans = any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, t in rows if t not in (CONTROL, BYTE, UNKNOWN))
-        lines = self.byte_fallback and not any("\n" in p for p, _, _ in rows)
-        self.cut = None if spans else re.compile(rf"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+" if lines else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.spans = any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, t in rows if t not in (CONTROL, BYTE, UNKNOWN))
+        self.lines = self.byte_fallback and not any("\n" in p for p, _, _ in rows)
+        # a space and a word have one id that begins with the space, so strings of them are cut again; sums of scores
+        # over long strings would round otherwise than over words
+        self.begins = np.array([p.startswith(SPACE) and t not in (CONTROL, BYTE, UNKNOWN) for p, _, t in rows])
+        self.joins = trainer.model_type == BPE and not self.spans
 
         fuse = [decoders.ByteFallback()] if self.byte_fallback else []
         self.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), *fuse, decoders.Fuse()])
@@ -80,24 +86,49 @@ class Backend:
         proto.normalizer_spec.remove_extra_whitespaces = False
         proto.normalizer_spec.precompiled_charsmap = b""
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.memory = PieceMemory(self._learn, PIECES)
+        self.store = PieceStore(self._learn, PIECES)
 
-    def normalise(self, text: str) -> str:
+    def normalise(self, texts: pa.Array) -> pa.Array:
         if self.plain:
-            return (self.prefix if text else "") + text.replace(" ", SPACE)
-        return self.normaliser.normalize_str(text) if text else ""
-
-    def pieces(self, normal: str) -> list[str]:
-        if not self.cut:
-            return [normal] if normal else []
-        return self.cut.findall(normal)
-
-    def _learn(self, pieces: list[str]) -> list[tuple[bytes, bool, bool]]:
-        """(ids, as the sentencepiece library has them, decoded to the piece again) of each, in one threaded batch."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        spaced = [p.replace(SPACE, " ") for p in pieces]
-        told = self.reference.encode(spaced, num_threads=1)
-        return [(np.array(g, "<u4").tobytes(), g == t, self.text(g) == s) for g, t, s in zip(got, told, spaced, strict=True)]
+            spaced = pa.compute.replace_substring(pa.compute.fill_null(texts, ""), SPACE, " ")
+            led = pa.compute.binary_join_element_wise(self.prefix.replace(SPACE, " "), spaced, "")
+            return pa.compute.if_else(pa.compute.equal(spaced, ""), "", led)
+        return pa.array([self.normaliser.normalize_str(t).replace(SPACE, " ") if t else "" for t in texts.to_pylist()], pa.string())
+
+    def cuts(self, body: np.ndarray, follow: np.ndarray) -> np.ndarray:
+        """Before spaces that follow something else, and around line breaks if no entry has any."""
+        if self.spans:
+            return np.zeros(len(body), bool)
+        before = np.append(np.uint8(0), body[:-1])[: len(body)]
+        cut = (body == 32) & (before != 32)
+        return cut | (body == 10) | (before == 10) if self.lines else cut
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where those of each piece start and how many they are, and flags."""
+        words = [k for k, p in enumerate(pieces) if len(p) > 1 and p.rfind(" ") == 0] if self.joins else []
+        strings = ["".join([pieces[k] for k in words[i : i + JOINED]]) for i in range(0, len(words), JOINED)]
+        starts, sizes, flags = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.uint8)
+        alone, found, held = np.ones(len(pieces), bool), [np.zeros(0, np.uint32)], 0
+        for i, (ids, wrong) in enumerate(self._check(strings)):
+            some, got = words[i * JOINED : (i + 1) * JOINED], np.array(ids, np.uint32)
+            edges = np.flatnonzero(self.begins[got])
+            if wrong or len(edges) != len(some):
+                continue  # the words are told apart one by one below
+            starts[some], sizes[some], alone[some] = held + edges, np.diff(edges, append=len(got)), False
+            found.append(got)
+            held += len(got)
+        rest = np.flatnonzero(alone)
+        checked = self._check([pieces[k] for k in rest])
+        flags[rest] = [wrong for _, wrong in checked]
+        sizes[rest] = [len(ids) for ids, _ in checked]
+        starts[rest] = held + np.cumsum(sizes[rest]) - sizes[rest]
+        return np.concatenate([*found, np.array([x for ids, _ in checked for x in ids], np.uint32)]), starts, sizes, flags
+
+    def _check(self, strings: list[str]) -> list[tuple[list[int], int]]:
+        """(ids, flags) of each string, in one threaded batch."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([s.replace(" ", SPACE) for s in strings], add_special_tokens=False)]
+        told = self.reference.encode(strings, num_threads=1)
+        return [(g, DIFFERS * (g != t) | LOST * (self.text(g) != s)) for g, t, s in zip(got, told, strings, strict=True)]
 
     def text(self, ids: list[int]) -> str:
         """Decoded without removing the space put before a text."""
@@ -107,12 +138,15 @@ class Backend:
         text = self.text(ids)
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, how many each has, and its flags."""
+        return self.store.ids(*cut_pieces(self.normalise(texts), self.cuts), None)
+
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """Of each text: ids as little-endian 32-bit integers, parity, round trip of the normalised text."""
-        cut = [self.pieces(self.normalise(t)) for t in texts]
-        known = self.memory.learn(cut)
-        found = [[known[p] for p in pieces] for pieces in cut]
-        return [(b"".join([f[0] for f in some]), all(f[1] for f in some), all(f[2] for f in some)) for some in found]
+        ids, sizes, flags = self.encode(pa.array(texts, pa.string()))
+        parts = np.split(ids.astype("<u4"), np.cumsum(sizes)[:-1]) if texts else []
+        return [(x.tobytes(), not f & DIFFERS, not f & LOST) for x, f in zip(parts, flags.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -135,14 +169,13 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = backend(tokenizer_path(model), threads)
         for batch in batches(stream, "text", BATCH_BYTES):
-            got = here.encode_batch([t or "" for t in batch.column("text").to_pylist()])
-            size = np.array([len(g[0]) // 4 for g in got], np.int64)
-            columns = [batch.column("doc_id"), pa.array(size), pa.array([zlib.crc32(g[0]) for g in got], pa.int64()), pa.array([g[1] for g in got]), pa.array([g[2] for g in got])]
+            ids, size, flags = here.encode(batch.column("text"))
+            ids, stops = ids.astype("<u4"), np.append(0, np.cumsum(size))
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(stops[:-1], stops[1:], strict=True)]
+            columns = [batch.column("doc_id"), pa.array(size), pa.array(crc, pa.int64()), pa.array(flags & DIFFERS == 0), pa.array(flags & LOST == 0)]
             names = ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"]
             if with_ids:
-                values = np.frombuffer(b"".join([g[0] for g in got]), "<i4")
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+                columns.append(pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids.view("<i4"))))
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
         give_back()

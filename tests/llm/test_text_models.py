@@ -2,10 +2,12 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from tablecheck.llm.katz import discounts, from_sized, katz_scores, planes, from
 from tablecheck.llm.language_crf import classify, fit, labelled_sample, learn_languages, predict_languages
 from tablecheck.llm.sentencepiece_backend import Backend, decode_documents, encode_documents
 from tablecheck.llm.token_files import encode_texts, pack, read_token_files, unpack, write_token_files
-from tablecheck.llm.pieces import tokenizer_path
+from tablecheck.llm.pieces import cut_pieces, tokenizer_path
 from tablecheck.llm.words import word_hashes
 from tests.llm.helpers import docs, empty, given
 
@@ -201,6 +203,52 @@ def test_pair_model_parity_and_decoding(spark):
     assert sorted((-1 if np.isnan(i) else int(i), t) for i, t in zip(back.doc_id, back.text)) == plain
 
 
+def test_pieces_are_checked_together(monkeypatch):
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        here = Backend(f.read())
+    calls, text = [], here.text
+    monkeypatch.setattr(here, "text", lambda ids: calls.append(len(ids)) or text(ids))
+    words = [f"w{i}é{i * 7919 % 1000}" for i in range(3000)]
+    got = here.encode_batch([" ".join(words[i : i + 300]) for i in range(0, 3000, 300)])
+    assert all(g[1] and g[2] for g in got) and len(calls) <= 300  # 3000 when each word was checked by itself
+
+
+def test_a_piece_that_differs_marks_its_texts_alone():
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        here = Backend(f.read())
+    true, told = here.reference, here.text
+
+    class Reference:
+        def encode(self, strings, num_threads):
+            return [[*ids, 7] if "wrong" in s else ids for s, ids in zip(strings, true.encode(strings, num_threads=1))]
+
+    want = true.encode([" a wrong b", " a right b", " a lost b", "", " lost wrong"])
+    here.reference, here.text = Reference(), lambda ids: told(ids).replace("lost", "")
+    got = here.encode_batch(["a wrong b", "a right b", "a lost b", "", "lost wrong"])
+    assert [np.frombuffer(g[0], "<u4").tolist() for g in got] == want
+    assert [g[1:] for g in got] == [(False, True), (True, True), (True, False), (True, True), (False, False)]
+
+
+def test_cuts_beside_the_pattern():
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        here = Backend(f.read())
+    texts = ["left out", None, *odd_texts(), "", None, "a ", " b", "\n", "c"]
+    normal = here.normalise(pa.array(texts)[1:])
+    distinct, places, pieces = cut_pieces(normal, here.cuts)
+    got = np.split(np.array(distinct, object)[places], np.cumsum(pieces)[:-1])
+    assert normal.to_pylist() == [" " * bool(t) + (t or "").replace("▁", " ") for t in texts[1:]]
+    assert [list(g) for g in got] == [re.findall(r" *[^ \n]+|\n| +", t) for t in normal.to_pylist()] and len(set(distinct)) == len(distinct)
+    assert cut_pieces(pa.array([], pa.string()), here.cuts)[0] == [] and cut_pieces(pa.array([None, ""], pa.string()), here.cuts)[2].tolist() == [0, 0]
+
+
+def test_forgotten_pieces_are_learned_again():
+    model = unigram_model()
+    here, there = Backend(model), Backend(model)
+    here.store.limit = 2
+    texts = ["the other hand", "a  the   and ", " there\nand z", "the other"]
+    assert [here.encode_batch([t])[0] for t in texts] == there.encode_batch(texts)
+
+
 def test_sentencepiece_empty(spark):
     assert encode_documents(empty(spark)).count() == 0
 
