@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 from collections import defaultdict
-from collections.abc import Callable, Iterable
-from itertools import count, islice
+from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -85,39 +85,3 @@ class PieceStore:
         if end is not None:
             out, lengths = np.insert(out, ends, np.uint32(end)), lengths + 1
         return out, lengths, told
-
-
-class PieceTable:
-    """Ids of pieces in one flat array. A piece is looked up once: it is numbered when first met, and the new ones of
-    a batch are encoded together. ``encode`` gives for a list of pieces their ids in one array, and for each piece
-    where its ids start and how many they are."""
-
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int = REMEMBERED):
-        self.encode, self.limit = encode, limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def ids(self, texts: Iterable[list[str]], end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, given as lists of pieces, with ``end`` after each, and the number of ids of each text.
-        A batch is never split by the limit."""
-        if max(len(self.numbers), len(self.flat) // 8) > self.limit:
-            self._forget()
-        number, old = self.numbers.__getitem__, len(self.starts)
-        met = [np.fromiter(map(number, pieces), np.int64, len(pieces)) for pieces in texts]
-        fresh = list(islice(reversed(self.numbers), len(self.numbers) - old))[::-1]
-        if fresh:
-            ids, starts, sizes = self.encode(fresh)
-            self.starts, self.sizes = np.concatenate([self.starts, starts + len(self.flat)]), np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, ids])
-        out, lengths = [np.zeros(0, np.uint32)], np.zeros(len(met), np.int64)
-        last = np.zeros(0 if end is None else 1, np.uint32) + np.uint32(end or 0)
-        for k, pieces in enumerate(met):
-            sizes = self.sizes[pieces]
-            stops = np.cumsum(sizes)
-            shift = np.repeat(self.starts[pieces] - stops + sizes, sizes)
-            out += [self.flat[shift + np.arange(len(shift))], last]
-            lengths[k] = len(shift) + len(last)
-        return np.concatenate(out), lengths

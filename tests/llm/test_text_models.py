@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecheck.llm import language_crf as crf_module
+from tablecheck.llm import token_files
 from tablecheck.llm.katz import discounts, from_sized, katz_scores, planes, from_planes, sized
 from tablecheck.llm.language_crf import classify, fit, labelled_sample, learn_languages, predict_languages
 from tablecheck.llm.sentencepiece_backend import Backend, decode_documents, encode_documents
@@ -136,6 +137,32 @@ def test_pieces_give_the_ids_of_whole_texts():
     assert [np.frombuffer(g, "<u4").tolist()[:-1] for g in got] == want
 
 
+def test_white_space_and_signs_are_cut_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path("byte_bpe_50k.json"), random.Random(2)
+    alphabet = [" ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x7f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u3000", "\ufeff", "a", "Th", "é", "\u0301", "1", "'s", "'", ".", "|", "<|endoftext|>", "日", "🎉", "²"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u4").tolist()[:-1] for g in encode_texts(texts, path, 0)] == want
+
+
+def test_equal_pieces_of_a_batch_are_looked_up_once(monkeypatch):
+    path, looked = tokenizer_path("byte_bpe_50k.json"), []
+
+    class Numbers(defaultdict):
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return super().__getitem__(piece)
+
+    table = token_files._encoder(path)
+    numbers = Numbers(table.numbers.default_factory)
+    numbers.update(table.numbers)
+    monkeypatch.setattr(table, "numbers", numbers)
+    ids = [np.frombuffer(g, "<u4") for g in encode_texts(["the of " * 20_000, None, "of the"], path, 0)]
+    assert [len(x) for x in ids] == [40_002, 1, 3] and ids[1].tolist() == [0] and len(looked) <= 10  # 40 003 before
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
